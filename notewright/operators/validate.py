@@ -56,11 +56,12 @@ def verdict(is_valid: Column, score: Column, issues: Column) -> Column:
 
 
 def basic_issues(order: Column) -> Column:
-    device = order["device"]
+    """Issues of an order; where there is no order there is nothing to object to."""
+    device, given = order["device"], order.isNotNull()
     return F.array_compact(
         F.array(
-            F.when(~is_set(device) | (device == UNKNOWN), issue(*NO_DEVICE)),
-            F.when(~is_set(order["patient_name"]), issue(*NO_PATIENT)),
+            F.when(given & (~is_set(device) | (device == UNKNOWN)), issue(*NO_DEVICE)),
+            F.when(given & ~is_set(order["patient_name"]), issue(*NO_PATIENT)),
         )
     ).cast(f"array<{ISSUE_TYPE}>")
 

@@ -64,7 +64,7 @@ from notewright.plans.prompts import (
 )
 from notewright.plans.staged import replay, stage_table, with_rule_order, with_single_order
 from notewright.schema import ORDER_COLUMNS
-from notewright.session import configure, run_dir
+from notewright.session import configure, materialize, run_dir
 from notewright.sources.completions import attach_responses, response_column
 from notewright.sources.notes import notes_from_table, open_envelopes, read_notes
 from notewright.streaming.notes import order_stream, write_stream
@@ -367,7 +367,9 @@ def repost_pending(spark, sf_dir):
         F.array(F.lit("delivered"), F.lit("exhausted"), F.lit("permanent_failure")),
         (pick(F.col("note_id"), "settled", 3) + 1).cast("int"),
     )
-    report = ready.select("idempotency_key", outcome.alias("outcome"))
+    report = materialize(
+        ready.select("idempotency_key", outcome.alias("outcome")), "delivery-report"
+    )
     return undelivered(ready, report).select("note_id", "payload_chars")
 
 
@@ -541,8 +543,7 @@ def validation_columns(name: str) -> list:
 def validate_basic(spark, sf_dir):
     """The basic check of single-pass answers as they came."""
     made = clean_notes(patients(spark, sf_dir)).select("note_id", single_response().alias("r"))
-    parsed = parse_response(made, "r").filter(F.col("model_order").isNotNull())
-    checked = add_basic_validation(parsed, "model_order")
+    checked = add_basic_validation(parse_response(made, "r"), "model_order")
     return checked.select("note_id", *validation_columns("validation"))
 
 
@@ -615,8 +616,11 @@ def compare_paths(spark, sf_dir):
     source = notes(spark, sf_dir)
     df = attach_responses(source, stage_responses(source), (SINGLE_PASS,))
     both = parse_response(with_rule_order(df), response_column(SINGLE_PASS))
-    both = both.filter(F.col("model_order").isNotNull())
-    return both.select("note_id", *compare_columns("rule_order", "model_order"))
+    return both.select(
+        "note_id",
+        F.col("model_order").isNotNull().alias("readable"),
+        *compare_columns("rule_order", "model_order"),
+    )
 
 
 def compare_summary(spark, sf_dir):
