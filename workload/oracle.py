@@ -28,7 +28,6 @@ def pick(salt: str, n: int, key: str = "note_id") -> str:
 
 
 def choose(salt: str, values, key: str = "note_id") -> str:
-    listed = ", ".join(v if v is None or isinstance(v, int) else text(v) for v in values)
     listed = ", ".join(
         "NULL" if v is None else (str(v) if isinstance(v, int) else text(v)) for v in values
     )

@@ -281,7 +281,7 @@ def payloads(spark, sf_dir):
     """Posted form of loosely read orders, where empty strings occur and are kept."""
     answers = with_objects(
         clean_notes(patients(spark, sf_dir)),
-        {"_answer": (single_response(), ORDER_COLUMNS)},
+        {"_answer": (strip_fence(single_response()), ORDER_COLUMNS)},
     )
     fields = [
         F.try_variant_get(F.col("_answer")["liters"], "$", "string").alias("liters"),
