@@ -59,3 +59,13 @@ def strip_fence(c: Column) -> Column:
     """Drop one Markdown fence around a model response, and whitespace around both."""
     body = F.regexp_replace(trim_all(c), r"\A```(?:json)?", "")
     return trim_all(F.regexp_replace(body, r"```\z", ""))
+
+
+def fill(template: str, *values: Column) -> Column:
+    """``template`` with each %s replaced by a column, null as nothing. A plain concat:
+    the built-in formatter goes through Java's, which is many times slower."""
+    parts = template.split("%s")
+    columns = [F.lit(parts[0])]
+    for value, part in zip(values, parts[1:], strict=True):
+        columns += [F.coalesce(value, F.lit("")), F.lit(part)]
+    return F.concat(*columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import fill
 from ..schema import ORDER_COLUMNS, order_struct
 
 # Devices of random orders, and how often liters and usage are given.
@@ -60,14 +61,12 @@ def note_sentence() -> Column:
     return (
         F.when(
             (device == "Oxygen Tank") & liters.isNotNull() & usage.isNotNull(),
-            F.format_string(
-                "Patient requires oxygen tank with %s flow rate for %s.", liters, usage
-            ),
+            fill("Patient requires oxygen tank with %s flow rate for %s.", liters, usage),
         )
         .when(
             (device == "CPAP") & mask.isNotNull(),
             F.concat(
-                F.format_string("Patient requires CPAP machine with %s mask", mask),
+                fill("Patient requires CPAP machine with %s mask", mask),
                 clause(accessorised, " with ", listed),
                 clause(qualifier.isNotNull(), ". ", qualifier),
                 F.lit("."),
@@ -84,18 +83,18 @@ def note_sentence() -> Column:
             ),
         )
         .when(device == "TENS Unit", F.lit("Patient requires TENS unit for pain management."))
-        .otherwise(F.format_string("Patient requires %s.", F.lower(device)))
+        .otherwise(fill("Patient requires %s.", F.lower(device)))
     )
 
 
 def note_header() -> Column:
     """The four labelled lines for the order columns of the row."""
-    return F.format_string(
+    return fill(
         "Patient Name: %s\nDOB: %s\nDiagnosis: %s\nOrdering Physician: %s\n",
-        "patient_name",
-        "dob",
-        "diagnosis",
-        "ordering_provider",
+        F.col("patient_name"),
+        F.col("dob"),
+        F.col("diagnosis"),
+        F.col("ordering_provider"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import fill
 from ..params import JobParams
 from ..schema import or_blank
 from ..sources.completions import attach_responses, response_column
@@ -51,11 +52,11 @@ def process_notes(
 
 def batch_lines(processed: DataFrame) -> DataFrame:
     """One report line per processed note."""
-    line = F.format_string(
+    line = fill(
         "%s → %s for %s",
-        "file_name",
-        "order.device",
-        F.coalesce("order.patient_name", F.lit("")),
+        F.col("file_name"),
+        F.col("order.device"),
+        F.col("order.patient_name"),
     )
     return processed.filter("status = 'ok'").select("note_id", "path", line.alias("line"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import fill
 from ..operators.responses import merge_outputs
 from ..operators.stages import ASSESSOR, EXTRACTOR, STAGE_BY_ID, VALIDATOR
 from ..params import STAGE_TEMPERATURE_CAP, ModelParams, StagedParams
@@ -77,15 +78,6 @@ Note:
 Answer with the whole order as one JSON object with the same keys."""
 
 
-def fill(template: str, *values: Column) -> Column:
-    """``template`` with each %s replaced by a column."""
-    parts = template.split("%s")
-    columns = [F.lit(parts[0])]
-    for value, part in zip(values, parts[1:], strict=True):
-        columns += [F.coalesce(value, F.lit("")), F.lit(part)]
-    return F.concat(*columns)
-
-
 def request(
     df: DataFrame, stage: str, system: str, prompt: Column, model: ModelParams
 ) -> DataFrame:

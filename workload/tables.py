@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notewright.functions.text import fill
 from notewright.operators.rules import DEVICE_LABELS
 from notewright.operators.synth import choose, pick, random_orders, render_notes
 from notewright.plans.prompts import CORRECTION, SINGLE_PASS, VALIDATION
@@ -79,7 +80,7 @@ def messy_notes(patients: DataFrame) -> DataFrame:
         .when(layout == 4, F.replace(text, dob_line, F.lit("DOB:")))
         .when(
             layout == 5,
-            F.format_string(
+            fill(
                 " Patient needs a %s with full face mask and humidifier. AHI > 20. Ordered by %s.",
                 F.lower(expected["device"]),
                 expected["ordering_provider"],
