@@ -208,15 +208,17 @@ def run_live(
     checked = staged_extract(answered, staged, fallback, response_column(VALIDATION))
     if not staged.self_correction:
         return checked.drop(fallback)
-    # only orders that fail the check are asked about again
-    wrong = needs_correction(params=staged)
+    # only orders that fail the check are asked about again; the verdicts are written first
+    # so that the filter reads two columns and does not repeat the work behind them
+    verdicts = materialize(
+        checked.select("note_id", "path", "text", F.col("order").alias("_draft"), "validation"),
+        "verdicts",
+    )
     asked = correction_request(
-        checked.filter(wrong).withColumn("_draft", F.col("order")), "_draft", "validation", model
+        verdicts.filter(needs_correction(params=staged)), "_draft", "validation", model
     )
     fixes = complete(
-        asked.select("note_id", *[c for c in asked.columns if c not in checked.columns and c != "_draft"]),
-        completion,
-        response_column(CORRECTION),
+        asked.drop("path", "text", "_draft", "validation"), completion, response_column(CORRECTION)
     ).drop("stage")
     fixes = materialize(fixes, "correction")
     return staged_extract(
