@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from notewright.operators.rules import DEVICE_RULES
 from notewright.operators.synth import RANDOM_DEVICES, USAGE_WORDS
-from notewright.plans import prompts
 from notewright.schema import ORDER_COLUMNS
 
 from .queries import ENVELOPE_KINDS, SCRIPTS
@@ -447,3 +446,102 @@ SELECT event_type, count(ms) AS notes, min(ms) AS min_ms, max(ms) AS max_ms,
   CAST(sum(ms) AS BIGINT) AS total_ms, round(avg(ms), 4) AS avg_ms,
   round(stddev_pop(ms), 4) AS stddev_ms,
   round(count(ms) * 1000.0::DOUBLE / sum(ms), 4) AS notes_per_s FROM timed GROUP BY event_type"""
+
+# --- staged runs -----------------------------------------------------------------------
+
+KINDS = f"""kinds AS (SELECT note_id, {pick("analyzer", FOUR_KINDS)} AS ana,
+  {pick("extractor", EXTRACTOR_KINDS)} AS ext_kind, {pick("validator", FOUR_KINDS)} AS med,
+  {pick("assessor", SIX_KINDS)} AS ass, {pick("validation", SIX_KINDS)} AS val,
+  {pick("correction", FOUR_KINDS)} AS cor FROM base)"""
+DOUBLE = "CAST({} AS DOUBLE)"
+SQL["stage_lookup"] = f"""{NOTES}, {KINDS},
+logged AS (SELECT 'document_analyzer' AS stage, 0 AS ordinal, 'Document Analysis Agent' AS name,
+    'Analyze document structure and identify key sections' AS role,
+    count(*) FILTER (ana < 3) AS responses FROM kinds
+  UNION ALL SELECT 'primary_extractor', 1, 'Primary Extraction Agent',
+    'Extract device order information with medical context', 2 * count(*) FILTER (ext_kind < 11) FROM kinds
+  UNION ALL SELECT 'medical_validator', 2, 'Medical Validation Agent',
+    'Validate medical accuracy and completeness', count(*) FILTER (med < 3) FROM kinds
+  UNION ALL SELECT 'confidence_assessor', 3, 'Confidence Assessment Agent',
+    'Assess extraction confidence and identify uncertainties', count(*) FILTER (ass < 5) FROM kinds)
+SELECT * FROM logged"""
+SQL["stage_steps"] = f"""{NOTES}, {KINDS},
+steps AS (
+  SELECT note_id, 'document_analyzer' AS agent_name, 'Analyze document structure and identify key sections' AS action,
+    CASE WHEN ana < 2 THEN 'two sections' END AS told, CASE WHEN ana < 2 THEN 0.85 END AS sure,
+    CASE WHEN ana < 2 THEN 'ok' WHEN ana = 2 THEN 'unreadable' ELSE 'fallback' END AS state FROM kinds
+  UNION ALL SELECT note_id, 'primary_extractor', 'Extract device order information with medical context',
+    CASE WHEN ext_kind < 7 THEN 'read' END, CASE WHEN ext_kind < 7 THEN 0.9 WHEN ext_kind = 10 THEN 0.65 END,
+    CASE WHEN ext_kind < 8 OR ext_kind = 10 THEN 'ok' WHEN ext_kind = 8 THEN 'unreadable' ELSE 'fallback' END FROM kinds
+  UNION ALL SELECT note_id, 'medical_validator', 'Validate medical accuracy and completeness',
+    CASE WHEN med = 0 THEN 'complete' END, CASE med WHEN 0 THEN 0.7 WHEN 1 THEN 1.0 END,
+    CASE WHEN med < 2 THEN 'ok' ELSE 'fallback' END FROM kinds
+  UNION ALL SELECT note_id, 'confidence_assessor', 'Assess extraction confidence and identify uncertainties',
+    CASE WHEN ass = 2 THEN 'no score' END, CASE WHEN ass = 1 THEN 0.6 END,
+    CASE WHEN ass < 5 THEN 'ok' ELSE 'fallback' END FROM kinds)
+SELECT note_id, agent_name, action, state,
+  CASE state WHEN 'ok' THEN coalesce(told, 'Agent reasoning not provided')
+    WHEN 'unreadable' THEN 'Response parsing failed'
+    ELSE 'OpenAI client not available, using fallback logic' END AS reasoning,
+  CAST(CASE state WHEN 'ok' THEN coalesce(sure, 0.8) WHEN 'unreadable' THEN 0.3 ELSE 0.5 END AS DOUBLE) AS confidence
+FROM steps"""
+
+# the extractor's order by kind of answer: kinds 0, 1, 2, 4 give the whole order
+ANSWER_FIELDS = {
+    "device": "CASE WHEN ext_kind IN (3, 5, 6, 10) THEN c.device WHEN ext_kind = 7 THEN '' ELSE 'Unknown' END",
+    "ordering_provider": "CASE WHEN ext_kind IN (3, 7) THEN c.ordering_provider ELSE 'Dr. Unknown' END",
+    "patient_name": "CASE WHEN ext_kind = 6 THEN 'P' END",
+    "liters": "CASE WHEN ext_kind = 6 THEN '2.5' END",
+    "usage": "CASE WHEN ext_kind = 6 THEN 'True' END",
+    "diagnosis": "CASE WHEN ext_kind = 5 THEN ' d ' END",
+    "mask_type": "CASE WHEN ext_kind = 5 THEN 'nasal' WHEN ext_kind = 7 THEN 'm' END",
+    "add_ons": "CASE WHEN ext_kind = 5 THEN ['strap', 'hose'] WHEN ext_kind = 10 THEN ['hose'] END",
+}
+ANSWERED = f"""answered AS (SELECT c.note_id,
+  CASE WHEN ext_kind < 3 THEN 'device_order' WHEN ext_kind = 4 THEN 'findings_root'
+    WHEN ext_kind IN (5, 10) THEN 'findings_order' ELSE 'loose' END AS parse_state,
+  {", ".join(f"CASE WHEN ext_kind IN (0, 1, 2, 4) THEN c.{n} ELSE {ANSWER_FIELDS.get(n, 'NULL')} END AS {n}" for n in ORDER_COLUMNS)}
+  FROM clean c JOIN kinds k ON k.note_id = c.note_id)"""
+SQL["outputs_order"] = f"{NOTES}, {KINDS}, {ANSWERED} SELECT note_id, parse_state, {FLAT} FROM answered"
+
+FAILED = "ass IN (3, 4) OR ext_kind IN (9, 11)"
+SURE = "CASE ass WHEN 0 THEN 0.95 WHEN 1 THEN 0.6 ELSE 0.8 END"
+SQL["confidence_gate"] = f"""{NOTES}, {KINDS},
+runs AS (SELECT CAST(CASE WHEN {FAILED} THEN 0.5 ELSE {SURE} END AS DOUBLE) AS confidence FROM kinds)
+SELECT CASE WHEN confidence >= 0.7 THEN 'accepted' ELSE 'review' END AS gate, confidence,
+  count(*) AS notes FROM runs GROUP BY ALL"""
+
+FIXED = {
+    n: f"CASE WHEN cor = 1 THEN w_{n} ELSE {v} END"
+    for n, v in {
+        **{c: "NULL" for c in ORDER_COLUMNS},
+        "device": "'Corrected ' || w_device",
+        "ordering_provider": "'Dr. Unknown'",
+    }.items()
+}
+SQL["staged_result"] = f"""{BOTH}, {KINDS}, {ANSWERED},
+joined AS (SELECT k.*, a.parse_state, {FAILED} AS failed,
+    {", ".join(f"a.{c} AS a_{c}, w.{c} AS w_{c}, CASE WHEN b.readable THEN b.m_{c} ELSE b.r_{c} END AS f_{c}" for c in ORDER_COLUMNS)}
+  FROM kinds k JOIN answered a ON a.note_id = k.note_id JOIN clean w ON w.note_id = k.note_id
+  JOIN both_orders b ON b.note_id = k.note_id),
+basic AS (SELECT *, (coalesce(a_device, '') IN ('', 'Unknown'))::INT AS no_device,
+  (coalesce(a_patient_name, '') = '')::INT AS no_patient FROM joined),
+judged AS (SELECT *,
+  CASE val WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 4 THEN 1 ELSE no_device + no_patient END AS found_issues,
+  CASE val WHEN 0 THEN TRUE WHEN 1 THEN FALSE WHEN 4 THEN FALSE ELSE no_device = 0 END AS ok,
+  CASE val WHEN 0 THEN CAST(0.95 AS DOUBLE) WHEN 1 THEN CAST(0.4 AS DOUBLE) WHEN 4 THEN CAST(0.65 AS DOUBLE)
+    ELSE CAST(1.0 AS DOUBLE) - (no_device + no_patient) * CAST(0.2 AS DOUBLE) END AS points FROM basic),
+settled AS (SELECT *, NOT failed AND points < 0.7 AND found_issues > 0 AND cor <> 3 AS was_corrected FROM judged),
+done AS (SELECT note_id, parse_state, was_corrected,
+  {", ".join(f"CASE WHEN failed THEN f_{c} WHEN was_corrected THEN {FIXED[c]} ELSE a_{c} END AS {c}" for c in ORDER_COLUMNS)},
+  CAST(CASE WHEN failed THEN 0.5 ELSE {SURE} END AS DOUBLE) AS confidence,
+  CASE WHEN failed THEN 'FallbackParser' ELSE 'AgenticExtractor_v1.0' END AS extractor_version,
+  CASE WHEN failed THEN 0 ELSE (CASE WHEN ana < 2 THEN 120 ELSE 0 END)
+    + (CASE WHEN ext_kind < 7 THEN 210 WHEN ext_kind = 10 THEN 31 ELSE 0 END)
+    + (CASE med WHEN 0 THEN 35 WHEN 1 THEN 1 ELSE 0 END) + (CASE ass WHEN 0 THEN 50 ELSE 0 END) END AS tokens_used,
+  CASE WHEN failed THEN 'fallback_parser'
+    ELSE 'document_analyzer,primary_extractor,medical_validator,confidence_assessor' END AS agents_used,
+  4 AS steps, CASE WHEN NOT failed THEN ok END AS is_valid, CASE WHEN NOT failed THEN points END AS score
+  FROM settled)
+SELECT note_id, {FLAT}, confidence, extractor_version, tokens_used, agents_used, steps, is_valid,
+  score, was_corrected, parse_state FROM done"""
