@@ -140,7 +140,7 @@ low AS (SELECT *, lower({body}) AS low FROM (SELECT *, {body} AS text FROM ({sou
 named AS (SELECT *, {classify(whole)} AS found,
   rtrim({trim(f"coalesce(nullif({first}, ''), nullif({second}, ''))")}, '.') AS doctor,
   {liters} AS volume FROM low),
-ext AS (SELECT {key} AS note_id, found AS device,
+ext AS MATERIALIZED (SELECT {key} AS note_id, found AS device,
   CASE WHEN found = 'Oxygen Tank' AND volume <> '' THEN volume || ' L' END AS liters,
   CASE WHEN found = 'Oxygen Tank' AND (contains(low, 'sleep') OR contains(low, 'exertion'))
     THEN array_to_string([w for w in ['sleep', 'exertion'] if contains(low, w)], ' and ')
@@ -409,10 +409,11 @@ SQL["quality_fields"] = f"{EXTRACTED} SELECT note_id, CAST(" + " + ".join(
 ) + " FROM ext"
 FIELDS = "(" + " + ".join(f"{is_set_sql(c)}::INT" for c in ORDER_COLUMNS) + ")"
 SQL["quality_fill"] = (
-    f"{EXTRACTED} SELECT device, count(*) AS orders, CAST(sum({FIELDS}) AS BIGINT) AS fields_set, "
-    f"min({FIELDS}) AS fewest_fields, max({FIELDS}) AS most_fields, "
+    f"{EXTRACTED}, counted AS MATERIALIZED (SELECT *, {FIELDS} AS n FROM ext) "
+    "SELECT device, count(*) AS orders, CAST(sum(n) AS BIGINT) AS fields_set, "
+    "min(n) AS fewest_fields, max(n) AS most_fields, "
     + ", ".join(f"count(*) FILTER ({is_set_sql(c)}) AS with_{c}" for c in ORDER_COLUMNS)
-    + " FROM ext GROUP BY device"
+    + " FROM counted GROUP BY device"
 )
 SQL["consistency"] = f"""{EXTRACTED}
 SELECT b.patient_name AS patient, count(*) AS readings, count(DISTINCT e.device) AS distinct_values,
