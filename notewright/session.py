@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,29 +31,38 @@ def configure(spark: SparkSession, plan: bool = True) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints. A local session without one gets a
-    temporary folder; a cluster without one is refused, as no executor could read it."""
+def shared_dir(spark: SparkSession, folder: str | None = None) -> str:
+    """The folder for written intermediate tables: ``folder``, or the one the cluster names
+    for checkpoints. A local session with neither gets one by its application's id; a
+    cluster with neither is refused, as no executor could read a folder of one machine."""
     conf = spark.sparkContext.getConf()
-    named = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
+    named = folder or conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="notewright-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    own = f"/tmp/notewright-{spark.sparkContext.applicationId}"
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
 
 
-def run_dir(spark: SparkSession, label: str) -> str:
+def run_dir(spark: SparkSession, label: str, folder: str | None = None) -> str:
     """A folder of its own for one run, below the shared folder."""
-    return f"{shared_dir(spark)}/notewright/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark, folder)}/notewright/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once and go on from the written table. Used for model responses and
-    delivery reports: they are costly or have side effects, and must not be computed
-    again when an executor is lost."""
-    path = run_dir(df.sparkSession, label)
+def materialize(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+    """Write ``df`` once and go on from the written table: for what is costly, has side
+    effects or is read more than once, and so must survive a lost executor."""
+    path = run_dir(df.sparkSession, label, folder)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` wrote, once nothing reads it."""
+    spark = df.sparkSession
+    jvm = spark._jvm
+    for file in df.inputFiles()[:1]:
+        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
