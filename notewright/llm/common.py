@@ -148,7 +148,8 @@ class Words:
         self.count = np.bincount(self.doc, minlength=len(items))[: len(items)]
         self.first = np.concatenate([[0], np.cumsum(self.count)])
         self.at = np.arange(len(starts)) - self.first[self.doc] if len(starts) else starts
-        self.hash = span_hashes(prefix_hashes(data), starts, ends)
+        self._prefix = prefix_hashes(data)
+        self.hash = span_hashes(self._prefix, starts, ends)
         self.starts, self.ends, self.begins = starts, ends, begins
 
     def hashes(self, starts: np.ndarray, gaps: tuple[int, ...]) -> np.ndarray:
@@ -166,6 +167,11 @@ class Words:
         starts = np.flatnonzero(self.doc[:n] == self.doc[reach : reach + n])
         return self.doc[starts], self.hashes(starts, gaps)
 
+    def stems(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(text, hash) of the first ``size`` bytes of each longer word."""
+        at = np.flatnonzero(self.ends - self.starts > size)
+        return self.doc[at], mix(span_hashes(self._prefix, self.starts[at], self.starts[at] + size) + _U(size))
+
     def shingles(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(text, hash) of all runs of ``size`` words; a text of fewer words, but not
         none, is one run of what it has."""

@@ -167,6 +167,16 @@ def _one_block(df, shared, text, size, kept, source, block, blocks):
     return out if last else materialize(out, "decontaminate")
 
 
+def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``docs``, all columns, without the rows that hold a window of an item."""
+    plain = docs
+    renamed = {f.name: free_name(docs, "own_" + f.name) for f in FIELDS if f.name in docs.columns}
+    for old, new in renamed.items():
+        plain = plain.withColumnRenamed(old, new)
+    found = decontaminate(plain, items, keep=plain.columns).filter(F.col("n_hit") == 0)
+    return found.select(*(F.col(renamed.get(c, c)).alias(c) for c in docs.columns))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select(

@@ -1,7 +1,7 @@
 """Toxicity by FTRL-proximal logistic regression, and op6_toxicity.
 
-Features are hashed words, word pairs and triples and pairs with one or two words skipped,
-present or not. Shards of a bounded labelled sample are learned side by side, each with a
+Features are hashed words, word pairs and triples, pairs with one or two words skipped, and
+the beginnings of words (so that an inflected form is known by its stem), present or not. Shards of a bounded labelled sample are learned side by side, each with a
 learning rate a coordinate and L1 sparsity; the shards' weights are averaged into a sparse
 vector whose length the hash space bounds, and that is broadcast to score all texts."""
 
@@ -16,23 +16,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notewright.llm.common import Words, bounded_sample, chunks, map_text, table
+from notewright.llm.common import Words, bounded_sample, chunks, free_name, map_text, table
 
 GRAMS = ((0,), (0, 1), (0, 1, 2), (0, 2), (0, 3))
+STEMS = (4, 5, 6)
 
 
 @dataclass(frozen=True)
 class FtrlParams:
-    """``sample_rows`` bounds the labelled rows that are learned from; ``bits`` bounds the
-    weights; a weight that fewer than ``min_shards`` shards have learned is dropped."""
+    """``sample_rows`` bounds the labelled rows that are learned from, dealt to one shard for
+    each ``shard_rows``; ``bits`` bounds the weights. A weight that less than a quarter of
+    the shards have learned is dropped."""
 
     sample_rows: int = 40_000
-    shards: int = 8
+    shard_rows: int = 5_000
     epochs: int = 2
     bits: int = 20
-    alpha: float = 0.3
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 2.0
+    l1: float = 4.0
     l2: float = 1.0
     threshold: float = 0.3
 
@@ -40,7 +42,7 @@ class FtrlParams:
 def features(items: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, feature) for every gram of the texts, repeats included."""
     words = Words(items)
-    made = [words.grams(*gaps) for gaps in GRAMS]
+    made = [words.grams(*gaps) for gaps in GRAMS] + [words.stems(size) for size in STEMS]
     docs = np.concatenate([d for d, _ in made])
     return docs, (np.concatenate([h for _, h in made]) >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -78,12 +80,13 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def fit(labelled: DataFrame, params: FtrlParams = FtrlParams()) -> list[tuple[int, float]]:
-    """Sparse weights from rows (text, label 0/1, order long); the caller bounds the rows.
+def fit(labelled: DataFrame, n_rows: int, params: FtrlParams = FtrlParams()) -> list[tuple[int, float]]:
+    """Sparse weights from about ``n_rows`` rows (text, label 0/1, order long).
     Rows without a label are passed over; no rows give no weights, so a score of 0.5
     before the bias. The last coordinate, 2**bits, is the bias."""
+    shards = -(-n_rows // params.shard_rows) or 1
     rows = labelled.filter(F.col("label").isin(0, 1)).select(
-        F.pmod(F.xxhash64("order"), F.lit(params.shards)).alias("shard"),
+        F.pmod(F.xxhash64("order"), F.lit(shards)).alias("shard"),
         "order",
         F.col("label").cast("int").alias("label"),
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bytes"),
@@ -101,9 +104,9 @@ def fit(labelled: DataFrame, params: FtrlParams = FtrlParams()) -> list[tuple[in
         at = np.flatnonzero(w)
         return pd.DataFrame({"at": at, "w": w[at]})
 
-    shards = rows.groupBy("shard").applyInPandas(learn, "at long, w double")
+    learned = rows.groupBy("shard").applyInPandas(learn, "at long, w double")
     # one row a coordinate of the hash space at most
-    mean = shards.groupBy("at").agg(F.sum("w").alias("w"), F.count("*").alias("shards"))
+    mean = learned.groupBy("at").agg(F.sum("w").alias("w"), F.count("*").alias("shards"))
     got = [(r["at"], r["w"], r["shards"]) for r in mean.collect()]
     most = max((n for _, _, n in got), default=1)
     return sorted((at, w / most) for at, w, n in got if n > most / 4)
@@ -139,20 +142,27 @@ def score(
     return map_text(docs, make, [T.StructField(name, T.DoubleType())], text, keep)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
-    """(text, label, order) of at most ``bound`` labelled documents, those held out left
-    out: crc32 of the id, modulo 4, is 2. An id with several labels takes the largest."""
-    known = (
-        labels.filter(F.col("toxic").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2))
-        .groupBy(F.col("doc_id").alias("order"))
-        .agg(F.max("toxic").alias("label"))
+def labelled_ids(labels: DataFrame, bound: int) -> DataFrame:
+    """(order, label) of at most ``bound`` ids, those held out left out: crc32 of the id,
+    modulo 4, is 2. An id with several labels takes the largest; null labels don't count."""
+    known = labels.filter(
+        F.col("toxic").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2)
     )
-    chosen = bounded_sample(known, bound, "order")
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("order")).select("text", "label", "order")
+    return bounded_sample(known.groupBy(F.col("doc_id").alias("order")).agg(F.max("toxic").alias("label")), bound, "order")
 
 
 def train(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams()) -> list[tuple[int, float]]:
-    return fit(labelled_sample(docs, labels, params.sample_rows), params)
+    """Weights from the documents of the sampled labels; the sample bounds the broadcast."""
+    chosen = labelled_ids(labels, params.sample_rows)
+    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("order"))
+    return fit(labelled.select("text", "label", "order"), chosen.count(), params)
+
+
+def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, params: FtrlParams = FtrlParams()) -> DataFrame:
+    """``docs``, all columns, without the rows whose score is ``threshold`` or more."""
+    name = free_name(docs, "toxic_score")
+    scored = score(docs, train(docs, labels, params), params, name=name)
+    return scored.filter(F.col(name) < threshold).select(*docs.columns)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
