@@ -188,7 +188,8 @@ def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", te
 def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **limits) -> DataFrame:
     """``docs``, all columns, with the repeated lines gone from ``text``; null stays null."""
     joined, own = with_bitmaps(docs, keep_bitmaps(docs, doc_id, text, **limits), doc_id, text)
-    place = docs.columns.index(text)
+    names = docs.columns
+    place = names.index(text)
 
     def run(batches):
         for batch in batches:
@@ -198,7 +199,7 @@ def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **li
                 for x, m in zip(columns[place].cast(pa.binary()).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True)
             ]
             columns[place] = pa.array(new, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return joined.mapInArrow(run, docs.schema)
 
