@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,8 @@ def configure(spark: SparkSession, plan: bool = True) -> SparkSession:
     """Apply the settings a job relies on to an existing session."""
     for key, value in {**RESULT_SETTINGS, **(PLAN_SETTINGS if plan else {})}.items():
         spark.conf.set(key, value)
+    # Python workers import this package from where the driver has it, unless told otherwise
+    spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     return spark
 
 
