@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from notewright.llm import bpe, chosen_path, decontaminate, line_dedup, toxicity
+from notewright.llm import bpe, chosen_path, decontaminate, ivfpq, licenses, line_dedup, repeats, resample, toolcalls, toxicity
 
-MODULES = (chosen_path, toxicity, bpe, line_dedup, decontaminate)
+MODULES = (resample, licenses, toolcalls, chosen_path, repeats, toxicity, bpe, line_dedup, ivfpq, decontaminate)
 QUERIES = {"pipeline": corpus_pipeline.run}
 SQL: dict[str, str] = {}
 for module in MODULES:

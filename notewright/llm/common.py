@@ -23,6 +23,7 @@ _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
 _INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _IS_WORD = np.array([bool(WORD.match(bytes([b]))) for b in range(256)])
+_KIND = np.array([1 if w else 2 if 0x20 < b < 0x7F else 0 for b, w in enumerate(_IS_WORD)])  # words, signs, blanks
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 
 
@@ -137,12 +138,20 @@ def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
 
 class Words:
     """Words of several texts: ``doc`` (index of the text), ``at`` (number of the word in
-    its text) and ``hash`` for each word, ``count`` for each text."""
-
-    def __init__(self, items: list[bytes]):
-        data = _LOWER[np.frombuffer(b"\n".join(items), np.uint8)] if items else np.zeros(0, np.uint8)
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], _IS_WORD[data], [False]])))
-        starts, ends = edges[::2], edges[1::2]
+    its text) and ``hash`` for each word, ``count`` for each text. With ``signs``, runs of
+    other printable characters are words as well, and A-Z stay as they are."""
+
+    def __init__(self, items: list[bytes], signs: bool = False):
+        data = np.frombuffer(b"\n".join(items), np.uint8)
+        if signs:
+            kind = np.concatenate([[0], _KIND[data], [0]])
+            edges = np.flatnonzero(kind[1:] != kind[:-1])
+            inside = kind[edges[:-1] + 1] != 0
+            starts, ends = edges[:-1][inside], edges[1:][inside]
+        else:
+            data = _LOWER[data]
+            edges = np.flatnonzero(np.diff(np.concatenate([[False], _IS_WORD[data], [False]])))
+            starts, ends = edges[::2], edges[1::2]
         begins = np.cumsum([0, *(len(x) + 1 for x in items)])
         self.doc = np.searchsorted(begins, starts, "right") - 1
         self.count = np.bincount(self.doc, minlength=len(items))[: len(items)]
@@ -192,5 +201,5 @@ def bounded_sample(df: DataFrame, bound: int, key: str) -> DataFrame:
     if n <= bound:
         return df
     order = F.xxhash64(F.lit(17), F.col(key))
-    share = int(min(1.0, 1.2 * bound / n) * 2**63)
-    return df.filter(F.shiftrightunsigned(order, 1) < F.lit(share)).orderBy(order, F.col(key)).limit(bound)
+    share = (int(min(1.0, 1.2 * bound / n) * 2**53) << 10) - 1
+    return df.filter(F.shiftrightunsigned(order, 1) <= F.lit(share)).orderBy(order, F.col(key)).limit(bound)
