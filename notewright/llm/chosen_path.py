@@ -33,8 +33,8 @@ BINS = 128
 class JoinParams:
     """``slack`` is how far a sketch may fall short of ``similarity``: over four standard
     deviations of 128 bins. ``branching`` is the mean number of tokens a set chooses;
-    buckets above ``leaf`` sets are split, at most ``depth`` times; ``block`` sets a side
-    are compared by one task at once."""
+    buckets above ``leaf`` sets are split, at most ``depth`` times; ``sketch_block``
+    sketches or ``block`` whole sets a side are compared by one task at once."""
 
     words: int = 5
     similarity: float = 0.8
@@ -42,7 +42,8 @@ class JoinParams:
     slack: float = 0.15
     branching: float = 2.0
     leaf: int = 48
-    depth: int = 4
+    depth: int = 3
+    sketch_block: int = 8192
     block: int = 1024
 
     @property
@@ -222,7 +223,7 @@ def alike(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
 def candidates(buckets: DataFrame, sets: DataFrame, params: JoinParams) -> DataFrame:
     """Links (a, b) from each set of a bucket to its local root, by sketches."""
     least = params.similarity - params.slack
-    rows = dealt(buckets.join(sets.select("set_id", "sketch"), "set_id"), "path", F.col("size"), params.block)
+    rows = dealt(buckets.join(sets.select("set_id", "sketch"), "set_id"), "path", F.col("size"), params.sketch_block)
     ordered = rows.select("g", "block", "set_id", "sketch").repartition("g").sortWithinPartitions("g", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
