@@ -27,6 +27,7 @@ from notewright.session import materialize
 
 NO_ID = -(2**63)
 BINS = 128
+AT_ONCE = 48  # groups up to this size are compared many at a time
 
 
 @dataclass(frozen=True)
@@ -41,9 +42,9 @@ class JoinParams:
     recall: float = 0.9999
     slack: float = 0.15
     branching: float = 2.0
-    leaf: int = 48
+    leaf: int = 4096
     depth: int = 3
-    sketch_block: int = 8192
+    sketch_block: int = 4096
     block: int = 1024
 
     @property
@@ -232,7 +233,7 @@ def candidates(buckets: DataFrame, sets: DataFrame, params: JoinParams) -> DataF
             left, right = [], []
             edges = bounds(part.column(0).to_numpy())
             sizes = np.diff(edges)
-            for size in np.unique(sizes[(sizes > 1) & (sizes <= params.leaf)]):  # groups of one size at once
+            for size in np.unique(sizes[(sizes > 1) & (sizes <= AT_ONCE)]):  # groups of one size at once
                 i, j = np.triu_indices(size, 1)
                 starts = edges[:-1][sizes == size]
                 for some in np.array_split(starts, max(1, len(starts) * len(i) // 8192)):
@@ -240,7 +241,7 @@ def candidates(buckets: DataFrame, sets: DataFrame, params: JoinParams) -> DataF
                     ok = alike(sketches[a], sketches[b], least)
                     left.append(a[ok])
                     right.append(b[ok])
-            for k in np.flatnonzero(sizes > params.leaf):
+            for k in np.flatnonzero(sizes > AT_ONCE):
                 for a in range(edges[k], edges[k + 1] - 1):
                     b = np.flatnonzero(alike(sketches[a], sketches[a + 1 : edges[k + 1]], least)) + a + 1
                     left.append(np.full(len(b), a))
