@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 from .text import trim_all
 
 
+END = "_notewright_end_of_text"
+
+
 def bracketed(text: Column) -> Column:
-    """``text`` as the content of a JSON array. Text after the value is then an error,
-    which the parser on its own would let pass."""
-    return F.concat(F.lit("["), text, F.lit("]"))
+    """``text`` as the first item of a JSON array whose second marks the end. The parser
+    passes over what follows an array, so a text that closes the array itself, or goes on
+    after its value, is told by the mark being missing or in another place."""
+    return F.concat(F.lit("["), text, F.lit(',{"' + END + '":1}]'))
 
 
 def with_objects(df: DataFrame, texts: dict[str, tuple[Column, Sequence[str]]]) -> DataFrame:
@@ -23,13 +27,16 @@ def with_objects(df: DataFrame, texts: dict[str, tuple[Column, Sequence[str]]])
     last value. One pass over each text picks out just the keys that are read."""
     arrays = {
         name: F.from_json(
-            bracketed(text), "array<struct<" + ",".join(f"{k}:variant" for k in keys) + ">>"
+            bracketed(text), "array<struct<" + ",".join(f"{k}:variant" for k in (*keys, END)) + ">>"
         )
         for name, (text, keys) in texts.items()
     }
     read = df.select("*", *[array.alias(f"_{name}_array") for name, array in arrays.items()])
     single = [
-        F.when(F.size(f"_{name}_array") == 1, F.get(f"_{name}_array", F.lit(0))).alias(name)
+        F.when(
+            (F.size(f"_{name}_array") == 2) & F.get(f"_{name}_array", F.lit(1))[END].isNotNull(),
+            F.get(f"_{name}_array", F.lit(0)).dropFields(END),
+        ).alias(name)
         for name in texts
     ]
     return read.select(*df.columns, *single)
@@ -38,7 +45,7 @@ def with_objects(df: DataFrame, texts: dict[str, tuple[Column, Sequence[str]]])
 def is_json(text: Column) -> Column:
     """True if ``text`` is exactly one JSON value of any kind."""
     array = F.try_parse_json(bracketed(text))
-    return at(array, "$[0]").isNotNull() & at(array, "$[1]").isNull()
+    return at(array, f"$[1].{END}").isNotNull() & at(array, "$[2]").isNull()
 
 
 def at(v: Column, path: str) -> Column:

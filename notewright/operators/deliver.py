@@ -15,7 +15,7 @@ TEST_HOSTS = ("test-api.com", "alert-api.com")
 
 REPORT_TYPE = (
     "note_id string, idempotency_key string, outcome string, attempts int, "
-    "last_status int, backoff_s double"
+    "last_status int, backoff_s double, error string"
 )
 
 # (payload, idempotency key, attempt from 0) to an HTTP status, or None if no answer came
@@ -54,11 +54,10 @@ def reduce_attempts(
 
     The first attempt that is not retryable decides: ``delivered`` or
     ``permanent_failure``. Without one it is ``exhausted`` once all tries are used, and
-    ``pending`` before. One aggregate with fixed-size buffers: it combines map-side, so
+    ``pending`` before. The whole log counts, also attempts beyond ``retries``. One aggregate with fixed-size buffers: it combines map-side, so
     neither a hot order nor a long log moves more than a row per task and order."""
     final = ~is_retryable(F.col("status"))
-    tried = attempts.filter(F.col("attempt") <= params.retries)
-    reduced = tried.groupBy(key).agg(
+    reduced = attempts.groupBy(key).agg(
         F.min(F.when(final, F.col("attempt"))).alias("_final"),
         F.max("attempt").alias("_last"),
         F.min_by("status", F.when(final, F.col("attempt"))).alias("_status"),
@@ -80,8 +79,11 @@ def reduce_attempts(
 
 
 def undelivered(orders: DataFrame, report: DataFrame) -> DataFrame:
-    """Orders whose key the report does not show as settled: a re-run posts only these."""
+    """Orders whose key the report does not show as settled: a re-run posts only these. A
+    failure that came from an error in the transport, not from an answer, settles nothing."""
     settled = report.filter(F.col("outcome").isin("delivered", "permanent_failure"))
+    if "error" in report.columns:
+        settled = settled.filter(F.col("error").isNull())
     return orders.join(settled.select("idempotency_key"), "idempotency_key", "left_anti")
 
 
@@ -107,6 +109,7 @@ def post_orders(
             F.lit(0).alias("attempts"),
             F.lit(None).cast("int").alias("last_status"),
             F.lit(0.0).alias("backoff_s"),
+            F.lit(None).cast("string").alias("error"),
         )
     retries, again = params.retries, set(RETRYABLE)
 
@@ -120,21 +123,23 @@ def post_orders(
 
         def post(row):
             note_id, key, payload = row
-            waited = 0.0
+            waited, error = 0.0, None
             for attempt in range(retries + 1):
                 try:
-                    status = transport(payload, key, attempt)
-                except Exception:  # not a transport's "no answer": retrying cannot help
-                    return note_id, key, "permanent_failure", attempt + 1, None, waited
+                    status, error = transport(payload, key, attempt), None
+                except OSError as failure:  # timeouts and lost connections: no answer
+                    status, error = None, repr(failure)
+                except Exception as failure:  # an error of the transport: retrying cannot help
+                    return note_id, key, "permanent_failure", attempt + 1, None, waited, repr(failure)
                 if status is not None and status not in again:
                     outcome = "delivered" if 200 <= status < 300 else "permanent_failure"
-                    return note_id, key, outcome, attempt + 1, status, waited
+                    return note_id, key, outcome, attempt + 1, status, waited, None
                 if attempt < retries:
                     pause(2.0**attempt)
                     waited += 2.0**attempt
-            return note_id, key, "exhausted", retries + 1, status, waited
+            return note_id, key, "exhausted", retries + 1, status, waited, error
 
-        names = ["note_id", "idempotency_key", "outcome", "attempts", "last_status", "backoff_s"]
+        names = ["note_id", "idempotency_key", "outcome", "attempts", "last_status", "backoff_s", "error"]
         with ThreadPoolExecutor(in_flight) as pool:
             for batch in batches:
                 rows = zip(batch["note_id"], batch["idempotency_key"], batch["payload"])

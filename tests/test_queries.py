@@ -15,12 +15,16 @@ SAMPLE = (
     "notes_render",
     "orders_extract",
     "documents_extract",
-    "envelope_unwrap",
     "stream_extract",
     "response_order",
     "staged_result",
     "delivery_outcomes",
     "post_report",
+    "stage_lookup",
+    "outputs_order",
+    "envelope_unwrap",
+    "file_ingest",
+    "validate_model",
 )
 
 

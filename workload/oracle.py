@@ -262,7 +262,7 @@ SQL["retry_plan"] = f"""{NOTES} SELECT note_id, CAST({pick("retries", 6)} AS INT
 
 ATTEMPTS = f"""WITH log AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS order_id, CAST(a AS INTEGER) AS attempt
-  FROM (SELECT o_orderkey, unnest(range({pick("attempts", 4, "o_orderkey")} + 1)) AS a FROM orders)),
+  FROM (SELECT o_orderkey, unnest(range({pick("attempts", 7, "o_orderkey")} + 1)) AS a FROM orders)),
 tries AS (SELECT *, {choose("status", STATUSES, "order_id || '-' || attempt")} AS status FROM log),
 marked AS (SELECT *, status IS NULL OR status IN (408, 429, 500, 502, 503, 504) AS again FROM tries)"""
 SQL["retryable_statuses"] = (
@@ -464,7 +464,10 @@ logged AS (SELECT 'document_analyzer' AS stage, 0 AS ordinal, 'Document Analysis
   UNION ALL SELECT 'medical_validator', 2, 'Medical Validation Agent',
     'Validate medical accuracy and completeness', count(*) FILTER (med < 3) FROM kinds
   UNION ALL SELECT 'confidence_assessor', 3, 'Confidence Assessment Agent',
-    'Assess extraction confidence and identify uncertainties', count(*) FILTER (ass < 5) FROM kinds)
+    'Assess extraction confidence and identify uncertainties', count(*) FILTER (ass < 5) FROM kinds
+  UNION ALL SELECT 'validation', NULL, NULL, NULL, count(*) FILTER (val < 5) FROM kinds
+  UNION ALL SELECT 'correction', NULL, NULL, NULL, 2 * count(*) FILTER (cor < 3) + count(*) FROM kinds
+  UNION ALL SELECT 'single_pass', NULL, NULL, NULL, count(*) FILTER ({pick('single', SINGLE_KINDS)} < 7) FROM base)
 SELECT * FROM logged"""
 SQL["stage_steps"] = f"""{NOTES}, {KINDS},
 steps AS (

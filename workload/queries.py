@@ -258,8 +258,8 @@ def stream_extract(spark, sf_dir):
     schema = table(spark, sf_dir, "orders").schema
     arriving = (
         spark.readStream.schema(schema)
-        .option("pathGlobFilter", "orders.parquet")
-        .parquet(sf_dir)
+        # a pattern, as a stream takes no single file; it also fits a folder of part files
+        .parquet(f"{sf_dir}/[o]rders.parquet")
     )
     rows = patient_rows(arriving, table(spark, sf_dir, "customer"))
     folder = run_dir(spark, "stream")
@@ -453,9 +453,7 @@ def outputs_merge(spark, sf_dir):
     stepped = add_steps(df, {s: response_column(s) for s in stages}, EXTRACTOR)
     merged = merge_outputs(F.col(f"out_{EXTRACTOR}"), F.col(f"out_{VALIDATOR}"))
     rows = stepped.select("note_id", F.explode(merged).alias("key", "value"))
-    return rows.filter(F.col("key").isin("reasoning", "confidence", "tokens_used", "medical_flags")).select(
-        "note_id", "key", F.try_variant_get("value", "$", "string").alias("value")
-    )
+    return rows.select("note_id", "key", F.try_variant_get("value", "$", "string").alias("value"))
 
 
 def stage_prompts(spark, sf_dir):
@@ -469,10 +467,10 @@ def stage_prompts(spark, sf_dir):
 
 
 def stage_lookup(spark, sf_dir):
-    """Responses per stage with the stage's name and role. The stage table is broadcast:
-    it has four rows whatever the data."""
+    """Responses per stage with the stage's name and role, null for what is no stage of
+    the table. The stage table is broadcast: it has four rows whatever the data."""
     log = stage_responses(notes(spark, sf_dir))
-    joined = log.join(F.broadcast(stage_table(spark)), "stage")
+    joined = log.join(F.broadcast(stage_table(spark)), "stage", "left")
     return joined.groupBy("stage", "ordinal", "name", "role").agg(F.count("*").alias("responses"))
 
 
