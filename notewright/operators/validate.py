@@ -183,7 +183,11 @@ def readable_corrections(
     allowed = F.col("attempt").between(1, params.max_corrections)
     if params.on_bad_correction == "blank":
         return responses, allowed
-    parsed = with_objects(responses, correction_text("response"))
+    texts = correction_text("response")
+    if "stage" in responses.columns:  # other stages' texts are not corrections: a null is not parsed
+        text, keys = texts["_correction"]
+        texts = {"_correction": (F.when(F.col("stage") == "correction", text), keys)}
+    parsed = with_objects(responses, texts)
     return parsed, allowed & F.col("_correction").isNotNull()
 
 
