@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from .operators.rules import DEVICE_RULES, DeviceRule
+
 # The defaults a run has when nothing is set.
 POST_BASE_URL = "https://alert-api.com"
 POST_ENDPOINT = "/device-orders"
@@ -92,6 +94,7 @@ class PostParams:
 class JobParams:
     files: FileParams = field(default_factory=FileParams)
     rules: RuleParams = field(default_factory=RuleParams)
+    device_rules: tuple[DeviceRule, ...] = DEVICE_RULES
     model: ModelParams = field(default_factory=ModelParams)
     staged: StagedParams = field(default_factory=StagedParams)
     post: PostParams = field(default_factory=PostParams)

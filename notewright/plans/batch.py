@@ -41,24 +41,26 @@ def process_notes(
         route, df = "staged", replay(notes, responses, job)
     elif job.model.available and responses is not None:
         df = attach_responses(notes, responses, (SINGLE_PASS,))
-        df = with_rule_order(df, params=job.rules)
+        df = with_rule_order(df, params=job.rules, rules=job.device_rules)
         route, df = "single", with_single_order(df, response_column(SINGLE_PASS), "order")
     else:
-        route, df = "rules", with_rule_order(notes, "order", job.rules)
+        route, df = "rules", with_rule_order(notes, "order", job.rules, job.device_rules)
     df = with_stem(df).withColumn("route", F.lit(route))
     order = F.when(F.col("status") == "ok", or_blank("order"))
     return df.withColumn("order", order).select(*PROCESSED_COLUMNS)
 
 
 def batch_lines(processed: DataFrame) -> DataFrame:
-    """One report line per processed note."""
+    """One report line per processed note. The line is made before the failed notes go, so
+    that the filter reads it and repeats none of the parsing behind it."""
     line = fill(
         "%s → %s for %s",
         F.col("file_name"),
         F.col("order.device"),
         F.col("order.patient_name"),
     )
-    return processed.filter("status = 'ok'").select("note_id", "path", line.alias("line"))
+    made = F.explode_outer(F.array(F.when(F.col("status") == "ok", line)))
+    return processed.select("note_id", "path", made.alias("line")).filter("line is not null")
 
 
 def batch_summary(processed: DataFrame) -> DataFrame:
@@ -72,15 +74,17 @@ def batch_summary(processed: DataFrame) -> DataFrame:
 
 
 def device_report(processed: DataFrame) -> DataFrame:
-    """Processed notes per device."""
+    """Processed notes per device. Failed notes are in the group without a device and count
+    nothing; a filter on the count can't repeat the parsing."""
     return (
-        processed.filter("status = 'ok'")
-        .groupBy(F.col("order.device").alias("device"))
-        .agg(F.count("*").alias("notes"))
+        processed.groupBy(F.col("order.device").alias("device"))
+        .agg(F.count_if(F.col("status") == "ok").alias("notes"))
+        .filter("notes > 0")
     )
 
 
 def failed_inputs(inputs: DataFrame, processed: DataFrame, key: str = "path") -> DataFrame:
     """Inputs that yielded no order."""
-    done = processed.filter("status = 'ok'").select(key)
-    return inputs.join(done, key, "left_anti")
+    done = processed.groupBy(key).agg(F.max(F.col("status") == "ok").alias("_done"))
+    marked = inputs.join(done, key, "left")
+    return marked.filter(~F.coalesce("_done", F.lit(False))).select(*inputs.columns)

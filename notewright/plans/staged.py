@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,13 +29,21 @@ from ..operators.stages import (
 from ..operators.validate import (
     apply_correction,
     needs_correction,
+    parse_correction,
     readable_corrections,
     validate,
 )
 from ..params import JobParams, ModelParams, RuleParams, StagedParams
 from ..schema import VALIDATION_TYPE, or_blank, pack_order
 from ..session import materialize
-from ..sources.completions import Completion, attach_responses, complete, response_column
+from ..sources.completions import (
+    REQUEST_COLUMNS,
+    Completion,
+    attach_responses,
+    complete,
+    error_column,
+    response_column,
+)
 from .prompts import (
     CORRECTION,
     SINGLE_PASS,
@@ -70,10 +80,11 @@ def with_rule_order(
     out: str = "rule_order",
     params: RuleParams = RuleParams(),
     rules: tuple[DeviceRule, ...] = DEVICE_RULES,
+    text: str = "text",
 ) -> DataFrame:
     """Add the rule order of ``text`` as a struct."""
     kept = tuple(df.columns)
-    orders = extract_orders(df, "text", kept, params, rules)
+    orders = extract_orders(df, text, kept, params, rules)
     return orders.select(*kept, pack_order().alias(out))
 
 
@@ -103,8 +114,8 @@ def run_stages(df: DataFrame, params: StagedParams) -> DataFrame:
     )
 
 
-def settle(df: DataFrame, params: StagedParams, fallback: str) -> DataFrame:
-    """Decide per note between the staged order and the fallback order.
+def settle(df: DataFrame, params: StagedParams) -> DataFrame:
+    """Decide per note whether the staged order holds or the note falls back.
 
     A confidence or token count that cannot be read fails the whole run of that note; no
     usable extractor answer does so too unless ``on_model_failure`` is ``unknown``."""
@@ -117,7 +128,6 @@ def settle(df: DataFrame, params: StagedParams, fallback: str) -> DataFrame:
     return df.select("*", failed.alias("_fell_back")).select(
         *kept,
         back,
-        F.when(back, F.col(fallback)).otherwise(F.col("staged_order")).alias("_order"),
         F.when(back, FALLBACK_CONFIDENCE).otherwise(F.col("_confidence")).alias("confidence"),
         F.when(back, FALLBACK_VERSION).otherwise(EXTRACTOR_VERSION).alias("extractor_version"),
         F.when(back, 0).otherwise(F.col("_tokens")).alias("tokens_used"),
@@ -125,18 +135,34 @@ def settle(df: DataFrame, params: StagedParams, fallback: str) -> DataFrame:
     )
 
 
+def with_fallback(df: DataFrame, job: JobParams, single_response: str | None) -> DataFrame:
+    """Settled notes with ``_order``: for a note that fell back the single-pass order, else
+    the rule order. Both read a text that is null for every other note, so that only notes
+    that need them pay for them."""
+    back, kept = F.col("_fell_back"), df.columns
+    needed = df.select("*", F.when(back, F.col("text")).alias("_back_text"))
+    needed = with_rule_order(needed, "rule_order", job.rules, job.device_rules, "_back_text")
+    fallback = "rule_order"
+    if single_response is not None:
+        given = needed.withColumn("_back_response", F.when(back, F.col(single_response)))
+        needed, fallback = with_single_order(given, "_back_response", "single_order"), "single_order"
+    order = F.when(back, F.col(fallback)).otherwise(F.col("staged_order"))
+    return needed.select(*kept, order.alias("_order"))
+
+
 def staged_extract(
     df: DataFrame,
-    params: StagedParams = StagedParams(),
-    fallback: str = "rule_order",
+    job: JobParams = JobParams(),
+    single_response: str | None = None,
     validation_response: str | None = None,
     correction_response: str | None = None,
 ) -> DataFrame:
-    """Notes with ``resp_<stage>`` columns and a fallback order to the result columns.
+    """Notes with ``resp_<stage>`` columns to the result columns.
 
     Everything from here on is a projection: the only shuffle of a replayed run is the one
     that brought the responses to the notes."""
-    result = settle(run_stages(df, params), params, fallback)
+    params = job.staged
+    result = with_fallback(settle(run_stages(df, params), params), job, single_response)
     if params.require_validation:
         result = validate(result, "_order", validation_response, params, "_checked")
         # a note that fell back is not validated: its order did not come from the stages
@@ -162,16 +188,24 @@ def replay(notes: DataFrame, responses: DataFrame, job: JobParams = JobParams())
     stages = MODE_STAGES[job.staged.mode] + (SINGLE_PASS, VALIDATION, CORRECTION)
     responses, usable = readable_corrections(responses, job.staged)
     df = attach_responses(notes, responses, stages, {CORRECTION: usable})
-    df = with_rule_order(df, params=job.rules)
-    df = with_single_order(df, response_column(SINGLE_PASS), "fallback_order")
-    result = staged_extract(
-        df,
-        job.staged,
-        "fallback_order",
-        response_column(VALIDATION),
-        response_column(CORRECTION),
-    )
-    return result.drop(*map(response_column, stages), "rule_order", "fallback_order")
+    single, verdict, fix = map(response_column, (SINGLE_PASS, VALIDATION, CORRECTION))
+    result = staged_extract(df, job, single, verdict, fix)
+    return result.drop(*map(response_column, stages))
+
+
+def replay_modes(
+    notes: DataFrame, responses: DataFrame, modes: tuple[str, ...], job: JobParams = JobParams()
+) -> DataFrame:
+    """``(note_id, mode, order)``: the unvalidated order of every note in each mode. The
+    responses are attached once; each mode is a projection over the same rows."""
+    stages = tuple(dict.fromkeys(s for mode in modes for s in MODE_STAGES[mode]))
+    df = attach_responses(notes, responses, (*stages, SINGLE_PASS))
+    for mode in modes:
+        staged = replace(job.staged, mode=mode, require_validation=False)
+        run = staged_extract(df, replace(job, staged=staged), response_column(SINGLE_PASS))
+        df = run.select(*df.columns, F.col("order").alias(f"_order_{mode}"))
+    found = [F.struct(F.lit(m).alias("mode"), F.col(f"_order_{m}").alias("order")) for m in modes]
+    return df.select("note_id", F.inline(F.array(*found)))
 
 
 def run_live(
@@ -181,53 +215,86 @@ def run_live(
 
     Each stage is a narrow step on the rows where they are, and its answers are written to
     the shared folder before the next stage reads them, so that a lost executor never
-    causes a second round of requests for finished stages."""
-    df, done = notes, ()
+    causes a second round of requests for finished stages. Notes whose stages fail are asked
+    about in a single pass, and only where that gives nothing do the rules stand in. An
+    order that fails the check is asked about again until an answer can be read, at most
+    ``max_corrections`` times. ``model_errors`` names the exception of each failed request."""
     model, staged = job.model, job.staged
+    done: tuple[str, ...] = ()
+    answered = df = notes
     for stage in MODE_STAGES[staged.mode]:
         asked = stage_request(df, stage, model, staged, done)
-        df = complete(asked, completion, response_column(stage)).drop("stage")
-        answered = materialize(df, f"stage-{stage}").select(
-            *notes.columns, *[response_column(s) for s in (*done, stage)]
-        )
+        df = complete(asked, completion, response_column(stage), error=error_column(stage))
         done = (*done, stage)
-        df = add_steps(answered, {s: response_column(s) for s in done}, EXTRACTOR)
-    df = answered
-    df = with_rule_order(df, params=job.rules)
-    fallback = "rule_order"
+        answered = materialize(df.drop("stage"), f"stage-{stage}").select(
+            *notes.columns, *map(response_column, done), *map(error_column, done)
+        )
+        df = add_steps(answered, {s: response_column(s) for s in done}, EXTRACTOR).select(
+            *answered.columns, *[f"out_{s}" for s in done]
+        )
+    # written first, so that the filter reads a flag and does not repeat the work behind it
+    settled = settle(run_stages(answered, staged), staged)
+    settled = materialize(settled.select("note_id", "path", "text", "_fell_back"), "settled")
+    singles = ask(settled.filter("_fell_back"), single_request, SINGLE_PASS, completion, model)
+    single, verdict, fix = map(response_column, (SINGLE_PASS, VALIDATION, CORRECTION))
+    answered, done = answered.join(singles, "note_id", "left"), (*done, SINGLE_PASS)
     if not staged.require_validation:
-        return staged_extract(df, staged, fallback).drop(fallback)
-    draft = staged_extract(df, staged, fallback)
-    asked = validation_request(draft.withColumn("_draft", F.col("order")), "_draft", model)
+        return with_errors(staged_extract(answered, job, single), done)
+    draft = staged_extract(answered, job, single).withColumn("_draft", F.col("order"))
+    asked = validation_request(draft, "_draft", model)
+    requests = [c for c in asked.columns if c not in draft.columns]
     answered = complete(
-        asked.select(*df.columns, *[c for c in asked.columns if c not in draft.columns]),
-        completion,
-        response_column(VALIDATION),
+        asked.select(*answered.columns, *requests), completion, verdict, error=error_column(VALIDATION)
     )
-    answered = materialize(answered.drop("stage", "_draft"), "validation")
-    checked = staged_extract(answered, staged, fallback, response_column(VALIDATION))
+    answered, done = materialize(answered.drop("stage"), "validation"), (*done, VALIDATION)
+    checked = staged_extract(answered, job, single, verdict)
     if not staged.self_correction:
-        return checked.drop(fallback)
-    # only orders that fail the check are asked about again; the verdicts are written first
-    # so that the filter reads two columns and does not repeat the work behind them
+        return with_errors(checked, done)
     verdicts = materialize(
-        checked.select("note_id", "path", "text", F.col("order").alias("_draft"), "validation"),
+        checked.select(
+            "note_id", "path", "text", F.col("order").alias("_draft"), "validation",
+            needs_correction(params=staged).alias("_needed"),
+        ),
         "verdicts",
     )
-    asked = correction_request(
-        verdicts.filter(needs_correction(params=staged)), "_draft", "validation", model
+    pending, fixes = verdicts.filter("_needed"), None
+    for attempt in range(1, staged.max_corrections + 1):
+
+        def request(df: DataFrame, model: ModelParams) -> DataFrame:
+            return correction_request(df, "_draft", "validation", model)
+
+        answers = ask(pending, request, CORRECTION, completion, model, f"correction-{attempt}")
+        read = parse_correction(answers, fix, staged, "_read")
+        # an answer that can't be read stands only if there is no further attempt
+        last = F.lit(attempt == staged.max_corrections)
+        final = materialize(
+            read.select(*answers.columns, (F.col("_read").isNotNull() | last).alias("_final")),
+            f"corrected-{attempt}",
+        ).filter("_final").drop("_final")
+        fixes = final if fixes is None else fixes.unionByName(final)
+        pending = pending.join(final.select("note_id"), "note_id", "left_anti")
+    if fixes is None:
+        return with_errors(checked, done)
+    corrected = answered.join(fixes, "note_id", "left")
+    return with_errors(staged_extract(corrected, job, single, verdict, fix), (*done, CORRECTION))
+
+
+def ask(
+    df: DataFrame, request: Callable, stage: str, completion: Completion, model: ModelParams, name: str = ""
+) -> DataFrame:
+    """``(note_id, resp_<stage>, err_<stage>)`` for every row of ``df``, written."""
+    asked = request(df, model).select("note_id", *REQUEST_COLUMNS)
+    answers = complete(asked, completion, response_column(stage), error=error_column(stage))
+    return materialize(answers.drop("stage"), name or stage)
+
+
+def with_errors(df: DataFrame, stages: tuple[str, ...]) -> DataFrame:
+    """``err_<stage>`` columns as the map ``model_errors`` of those that are set."""
+    named = F.map_from_arrays(
+        F.array(*map(F.lit, stages)), F.array(*[F.col(error_column(s)) for s in stages])
     )
-    fixes = complete(
-        asked.drop("path", "text", "_draft", "validation"), completion, response_column(CORRECTION)
-    ).drop("stage")
-    fixes = materialize(fixes, "correction")
-    return staged_extract(
-        answered.join(fixes, "note_id", "left"),
-        staged,
-        fallback,
-        response_column(VALIDATION),
-        response_column(CORRECTION),
-    ).drop(fallback)
+    errors = F.map_filter(named, lambda stage, reason: reason.isNotNull())
+    return df.withColumn("model_errors", errors).drop(*map(error_column, stages))
 
 
 def run_single(notes: DataFrame, completion: Completion, model: ModelParams = ModelParams()) -> DataFrame:

@@ -52,15 +52,22 @@ def attach_responses(
     return notes.join(wide, key, "left")
 
 
-def complete(requests: DataFrame, completion: Completion, out: str, in_flight: int = 8) -> DataFrame:
-    """Ask ``completion`` for every row of ``requests`` and add the answer as ``out``.
+def error_column(stage: str) -> str:
+    return f"err_{stage}"
+
+
+def complete(
+    requests: DataFrame, completion: Completion, out: str, in_flight: int = 8, error: str | None = None
+) -> DataFrame:
+    """Ask ``completion`` for every row of ``requests`` and add the answer as ``out``; under
+    ``error``, if named, the exception that left a row without one.
 
     A narrow step: rows stay where they are, each task keeps several requests in flight.
     Answers cannot be had twice, so write the result with ``materialize`` before it is
     used more than once."""
     schema = T.StructType(
         [f for f in requests.schema.fields if f.name not in REQUEST_COLUMNS[1:]]
-        + [T.StructField(out, T.StringType())]
+        + [T.StructField(name, T.StringType()) for name in (out, error) if name]
     )
     names, columns = schema.names, list(REQUEST_COLUMNS)
 
@@ -69,14 +76,17 @@ def complete(requests: DataFrame, completion: Completion, out: str, in_flight: i
 
         def ask(request):
             try:
-                return completion(request)
-            except Exception:  # a request that fails has no response; fallbacks take over
-                return None
+                return completion(request), None
+            except Exception as e:  # a request that fails has no response; fallbacks take over
+                return None, f"{type(e).__name__}: {e}"
 
         with ThreadPoolExecutor(in_flight) as pool:
             for batch in batches:
                 asked = batch[columns].to_dict("records")
-                batch[out] = list(pool.map(ask, asked))
+                told = list(pool.map(ask, asked))
+                batch[out] = [answer for answer, _ in told]
+                if error:
+                    batch[error] = [reason for _, reason in told]
                 yield batch[names]
 
     return requests.mapInPandas(ask_batches, schema)

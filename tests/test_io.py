@@ -7,7 +7,7 @@ from notewright.operators.shape import add_payload, write_orders
 from notewright.operators.extract import extract_orders
 from notewright.params import JobParams, PostParams, StagedParams
 from notewright.plans.batch import process_notes
-from notewright.plans.staged import run_live
+from notewright.plans.staged import run_live, run_single
 from notewright.sources.notes import notes_from_table, read_notes
 from notewright.streaming.notes import order_stream, post_stream, stream_files, write_stream
 
@@ -141,3 +141,41 @@ def test_live_run_without_model(spark):
         staged = StagedParams(enabled=True, on_model_failure=policy, require_validation=False)
         row = run_live(notes, lambda r: None, JobParams(staged=staged)).first()
         assert (row["order"]["device"], row["confidence"]) == (device, confidence)
+
+
+def test_live_run_asks_in_a_single_pass_where_stages_fail(spark):
+    def model(request):
+        if request["stage"] != "single_pass":
+            raise TimeoutError("slow")
+        return '{"device":"Nebulizer"}' if "neb" in request["prompt"] else None
+
+    table = spark.createDataFrame([("1", "neb, cpap"), ("2", "walker")], "k string, t string")
+    notes = notes_from_table(table, "k", "t")
+    staged = StagedParams(enabled=True, require_validation=False)
+    rows = {r["note_id"]: r for r in run_live(notes, model, JobParams(staged=staged)).collect()}
+    assert rows["1"]["order"]["device"] == "Nebulizer" and rows["2"]["order"]["device"] == "Walker"
+    assert rows["1"]["model_errors"]["primary_extractor"] == "TimeoutError: slow"
+    assert len(rows["1"]["model_errors"]) == 4 and rows["1"]["confidence"] == 0.5
+    single = {r["note_id"]: r["order"]["device"] for r in run_single(notes, model).collect()}
+    assert single == {"1": "Nebulizer", "2": "Walker"}
+
+
+def test_live_run_corrects_in_rounds(spark, tmp_path):
+    seen = str(tmp_path / "seen")
+
+    def model(request):
+        import os
+
+        if request["stage"] == "correction":
+            if os.path.exists(seen):
+                return '{"device":"BiPAP"}'
+            open(seen, "w").close()
+            return "no idea"
+        return {
+            "primary_extractor": '{"device_order":{"device":"CPAP"}}',
+            "validation": '{"is_valid":false,"validation_score":0.2,"issues":[{"field":"dob"}]}',
+        }.get(request["stage"])
+
+    notes = notes_from_table(spark.createDataFrame([("1", "cpap")], "k string, t string"), "k", "t")
+    row = run_live(notes, model, JobParams(staged=StagedParams(enabled=True, max_corrections=2))).first()
+    assert row["order"]["device"] == "BiPAP" and row["was_corrected"]

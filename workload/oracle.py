@@ -3,7 +3,18 @@
 from __future__ import annotations
 
 from notewright.operators.rules import DEVICE_RULES
+from notewright.operators.stages import STAGES
 from notewright.operators.synth import RANDOM_DEVICES, USAGE_WORDS
+from notewright.operators.validate import NO_DEVICE, NO_PATIENT
+from notewright.params import DOCUMENT_TYPE, MODEL_MAX_TOKENS, MODEL_NAME, STAGE_TEMPERATURE_CAP
+from notewright.plans.prompts import (
+    COMMON_FIELDS,
+    CORRECTION_PROMPT,
+    SINGLE_PROMPT,
+    STAGE_PROMPT,
+    STAGE_TASKS,
+    VALIDATION_PROMPT,
+)
 from notewright.schema import ORDER_COLUMNS
 
 from .queries import ENVELOPE_KINDS, SCRIPTS
@@ -515,29 +526,31 @@ runs AS (SELECT CAST(CASE WHEN {FAILED} THEN 0.5 ELSE {SURE} END AS DOUBLE) AS c
 SELECT CASE WHEN confidence >= 0.7 THEN 'accepted' ELSE 'review' END AS gate, confidence,
   count(*) AS notes FROM runs GROUP BY ALL"""
 
-FIXED = {
-    n: f"CASE WHEN cor = 1 THEN w_{n} ELSE {v} END"
-    for n, v in {
-        **{c: "NULL" for c in ORDER_COLUMNS},
-        "device": "'Corrected ' || w_device",
-        "ordering_provider": "'Dr. Unknown'",
-    }.items()
-}
-SQL["staged_result"] = f"""{BOTH}, {KINDS}, {ANSWERED},
-joined AS (SELECT k.*, a.parse_state, {FAILED} AS failed,
+BLANK = {**{c: "NULL" for c in ORDER_COLUMNS}, "device": "''", "ordering_provider": "''"}
+PATCHED = {**BLANK, "device": "'Corrected ' || w_device", "ordering_provider": "'Dr. Unknown'"}
+
+
+def staged_sql(failed: str, bad_correction: dict, accept: bool = False) -> str:
+    """A staged run: when it fails, what an unreadable correction leaves, and whether an
+    unreadable verdict (kinds 2 and 3) is taken as valid."""
+    fixed = {c: f"CASE WHEN cor = 1 THEN w_{c} ELSE {v} END" for c, v in bad_correction.items()}
+    taken = {part: f"WHEN {accept} AND val IN (2, 3) THEN {v}" for part, v in {
+        "issues": "0", "ok": "TRUE", "points": DOUBLE.format("1.0")}.items()}
+    return f"""{BOTH}, {KINDS}, {ANSWERED},
+joined AS (SELECT k.*, a.parse_state, {failed} AS failed,
     {", ".join(f"a.{c} AS a_{c}, w.{c} AS w_{c}, CASE WHEN b.readable THEN b.m_{c} ELSE b.r_{c} END AS f_{c}" for c in ORDER_COLUMNS)}
   FROM kinds k JOIN answered a ON a.note_id = k.note_id JOIN clean w ON w.note_id = k.note_id
   JOIN both_orders b ON b.note_id = k.note_id),
 basic AS (SELECT *, (coalesce(a_device, '') IN ('', 'Unknown'))::INT AS no_device,
   (coalesce(a_patient_name, '') = '')::INT AS no_patient FROM joined),
 judged AS (SELECT *,
-  CASE val WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 4 THEN 1 ELSE no_device + no_patient END AS found_issues,
-  CASE val WHEN 0 THEN TRUE WHEN 1 THEN FALSE WHEN 4 THEN FALSE ELSE no_device = 0 END AS ok,
-  CASE val WHEN 0 THEN CAST(0.95 AS DOUBLE) WHEN 1 THEN CAST(0.4 AS DOUBLE) WHEN 4 THEN CAST(0.65 AS DOUBLE)
+  CASE WHEN val = 0 THEN 0 WHEN val = 1 THEN 2 WHEN val = 4 THEN 1 {taken['issues']} ELSE no_device + no_patient END AS found_issues,
+  CASE WHEN val = 0 THEN TRUE WHEN val IN (1, 4) THEN FALSE {taken['ok']} ELSE no_device = 0 END AS ok,
+  CASE WHEN val = 0 THEN CAST(0.95 AS DOUBLE) WHEN val = 1 THEN CAST(0.4 AS DOUBLE) WHEN val = 4 THEN CAST(0.65 AS DOUBLE) {taken['points']}
     ELSE CAST(1.0 AS DOUBLE) - (no_device + no_patient) * CAST(0.2 AS DOUBLE) END AS points FROM basic),
 settled AS (SELECT *, NOT failed AND points < 0.7 AND found_issues > 0 AND cor <> 3 AS was_corrected FROM judged),
 done AS (SELECT note_id, parse_state, was_corrected,
-  {", ".join(f"CASE WHEN failed THEN f_{c} WHEN was_corrected THEN {FIXED[c]} ELSE a_{c} END AS {c}" for c in ORDER_COLUMNS)},
+  {", ".join(f"CASE WHEN failed THEN f_{c} WHEN was_corrected THEN {fixed[c]} ELSE a_{c} END AS {c}" for c in ORDER_COLUMNS)},
   CAST(CASE WHEN failed THEN 0.5 ELSE {SURE} END AS DOUBLE) AS confidence,
   CASE WHEN failed THEN 'FallbackParser' ELSE 'AgenticExtractor_v1.0' END AS extractor_version,
   CASE WHEN failed THEN 0 ELSE (CASE WHEN ana < 2 THEN 120 ELSE 0 END)
@@ -549,3 +562,105 @@ done AS (SELECT note_id, parse_state, was_corrected,
   FROM settled)
 SELECT note_id, {FLAT}, confidence, extractor_version, tokens_used, agents_used, steps, is_valid,
   score, was_corrected, parse_state FROM done"""
+
+
+SQL["staged_result"] = staged_sql(FAILED, PATCHED)
+SQL["staged_result_unknown"] = staged_sql("ass IN (3, 4)", BLANK, accept=True)
+SQL["mode_consistency"] = f"""{BOTH}, {KINDS}, {ANSWERED},
+found AS (SELECT k.note_id, a.device AS staged, ext_kind IN (9, 11) AS no_answer, {FAILED} AS failed,
+    CASE WHEN b.readable THEN b.m_device ELSE b.r_device END AS back
+  FROM kinds k JOIN answered a ON a.note_id = k.note_id JOIN both_orders b ON b.note_id = k.note_id),
+modes AS (SELECT note_id, CASE WHEN no_answer THEN back ELSE staged END AS device FROM found
+  UNION ALL SELECT note_id, CASE WHEN failed THEN back ELSE staged END FROM found
+  UNION ALL SELECT note_id, CASE WHEN failed THEN back ELSE staged END FROM found)
+SELECT note_id, count(*) AS readings, count(DISTINCT device) AS distinct_values,
+  count(DISTINCT device) = 1 AS consistent FROM modes GROUP BY note_id"""
+SQL["findings_order"] = f"""{NOTES}, told AS (SELECT *, {pick("ft", 3)} AS ft, {pick("fs", 4)} AS fs FROM clean),
+done AS (SELECT note_id, ft < 2 AND fs < 2 AS readable, ordering_provider,
+  CASE WHEN ft = 1 THEN 'typed' ELSE 'Unknown' END AS device,
+  CASE WHEN fs = 0 THEN 'nasal' END AS mask_type,
+  CASE fs WHEN 0 THEN ['hose'] WHEN 1 THEN ['a', 'b'] END AS add_ons,
+  {", ".join(f"NULL::VARCHAR AS {c}" for c in ORDER_COLUMNS if c not in ("device", "ordering_provider", "mask_type", "add_ons"))}
+  FROM told)
+SELECT note_id, readable, {FLAT} FROM done"""
+SQL["caller_rules"] = f"""{EXTRACTED} SELECT e.note_id, 'rules' AS route,
+  CASE WHEN contains(lower(m.text), 'portable widget') THEN 'Portable Widget' ELSE e.device END AS device
+FROM ext e JOIN messy m ON m.note_id = e.note_id"""
+
+
+def members(keys: dict) -> str:
+    """A list of key and value structs."""
+    return "[" + ", ".join(f"{{'key': '{k}', 'value': {v}}}" for k, v in keys.items()) + "]"
+
+
+def said(reasoning: str, confidence: str, tokens: str, **more) -> str:
+    return members({"reasoning": text(reasoning), "confidence": text(confidence), "tokens_used": text(tokens), **more})
+
+
+NO_MODEL = said(
+    "Fallback execution - no AI analysis performed", "0.5", "0",
+    findings=text("Limited analysis available without AI"),
+)
+READ = ("read", "0.9", "210")
+# a variant prints its keys in order of name
+IN_ORDER = f"'{{' || concat_ws(',', {', '.join(json_member(c, True) for c in sorted(ORDER_COLUMNS))}) || '}}'"
+SPECS = '"medical_specifications":'
+SQL["outputs_merge"] = f"""{NOTES}, {KINDS},
+told AS (SELECT c.*, k.ext_kind, k.med, {json_object(keep_empty=True)} AS j, {IN_ORDER} AS s
+  FROM clean c JOIN kinds k ON k.note_id = c.note_id),
+one AS (SELECT note_id, unnest(CASE ext_kind
+  WHEN 0 THEN {said(*READ, device_order="s")} WHEN 1 THEN {said(*READ, device_order="s")}
+  WHEN 2 THEN {said(*READ, device_order="j")}
+  WHEN 3 THEN {said(*READ, device_order="'see below'", findings="s", device_type="device", provider="ordering_provider")}
+  WHEN 4 THEN {said(*READ, findings="j")}
+  WHEN 5 THEN {said(*READ, device_order="NULL", findings=f"""'{{"device_order":{{"device_type":"' || device ||
+    '","diagnosis_or_medical_justification":" d ",{SPECS}{{"additional_features":["strap",2,"hose"],"mask_type":"nasal"}},"ordering_provider":null}}}}'""")}
+  WHEN 6 THEN {said(*READ, findings="""'{"device_order":{"device_type":4}}'""", device="device", patient="'P'", liters="'2.5'", usage="'true'")}
+  WHEN 7 THEN {members({"device": "NULL", "device_type": "device", "ordering_provider": "ordering_provider", "mask_type": "'m'"})}
+  WHEN 8 THEN {said("Response parsing failed", "0.3", "0", findings="'Device: ' || device")}
+  WHEN 10 THEN {members({"confidence": "'0.65'", "tokens_used": "'31'", "findings": f"""'{{"device_order":{{"device":"' || device || '",{SPECS}{{"additional_features":"hose"}}}}}}'"""})}
+  ELSE {NO_MODEL} END) AS m FROM told),
+two AS (SELECT note_id, unnest(CASE med WHEN 0 THEN {said("complete", "0.7", "35")}
+  WHEN 1 THEN {members({"confidence": "'1'", "medical_flags": """'["f"]'""", "tokens_used": "'true'"})}
+  ELSE {NO_MODEL} END) AS m FROM told),
+a AS (SELECT note_id, m.key AS key, m.value AS value FROM one),
+b AS (SELECT note_id, m.key AS key, m.value AS value FROM two)
+SELECT coalesce(b.note_id, a.note_id) AS note_id, coalesce(b.key, a.key) AS key,
+  CASE WHEN b.key IS NULL THEN a.value ELSE b.value END AS value
+FROM a FULL JOIN b ON a.note_id = b.note_id AND a.key = b.key"""
+
+
+def filled(template: str, *values: str) -> str:
+    """A prompt template with SQL expressions in its places."""
+    parts = [text(part) for part in template.split("%s")]
+    return " || ".join([parts[0], *[f"({v}) || {part}" for v, part in zip(values, parts[1:])]])
+
+
+ASKED = {
+    "single_pass": (filled(SINGLE_PROMPT, "text"), 0.7),
+    "document_analyzer": (
+        filled(
+            STAGE_PROMPT, text(STAGE_TASKS["document_analyzer"]), text(DOCUMENT_TYPE), "'Standard'",
+            "'notes/' || note_id || '.txt'", "''", "text",
+            text(", ".join(COMMON_FIELDS + STAGES[0].fields)),
+        ),
+        STAGE_TEMPERATURE_CAP,
+    ),
+    "validation": (filled(VALIDATION_PROMPT, "j", "text"), STAGE_TEMPERATURE_CAP),
+    "correction": (filled(CORRECTION_PROMPT, "j", "issues", "text"), STAGE_TEMPERATURE_CAP),
+}
+ISSUE_JSON = {
+    name: "'" + '{"field":"%s","issue":"%s","severity":"%s"}' % found + "'"
+    for name, found in {"device": NO_DEVICE, "patient": NO_PATIENT}.items()
+}
+SQL["stage_prompts"] = f"""{SINGLE_ANSWER},
+draft AS (SELECT a.note_id, m.text, {", ".join(f"CASE WHEN a.readable THEN a.{c} ELSE w.{c} END AS {c}" for c in ORDER_COLUMNS)}
+  FROM answer a JOIN clean w ON w.note_id = a.note_id JOIN messy m ON m.note_id = a.note_id),
+drafted AS (SELECT note_id, text, {json_object(keep_empty=True)} AS j,
+  '[' || concat_ws(',', CASE WHEN coalesce(device, '') IN ('', 'Unknown') THEN {ISSUE_JSON["device"]} END,
+    CASE WHEN coalesce(patient_name, '') = '' THEN {ISSUE_JSON["patient"]} END) || ']' AS issues FROM draft),
+prompted AS ({" UNION ALL ".join(
+    f"SELECT note_id, '{stage}' AS stage, CAST({t} AS DOUBLE) AS temperature, {prompt} AS prompt FROM drafted"
+    for stage, (prompt, t) in ASKED.items())})
+SELECT note_id, stage, '{MODEL_NAME}' AS model, CAST({MODEL_MAX_TOKENS} AS INTEGER) AS max_tokens, temperature,
+  md5(prompt) AS prompt_md5 FROM prompted"""

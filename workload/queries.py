@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ from notewright.operators.responses import (
     parse_answer,
     parse_response,
 )
-from notewright.operators.rules import rule_hits
+from notewright.operators.rules import DEVICE_RULES, DeviceRule, rule_hits
 from notewright.operators.shape import add_payload, output_json
 from notewright.operators.stages import ANALYZER, EXTRACTOR, STAGES, VALIDATOR, add_steps
 from notewright.operators.synth import pick, random_orders
@@ -46,7 +48,7 @@ from notewright.operators.validate import (
     error_count,
     latest_corrections,
 )
-from notewright.params import JobParams, ModelParams, PostParams, RuleParams, StagedParams
+from notewright.params import MODES, JobParams, ModelParams, PostParams, RuleParams, StagedParams
 from notewright.plans.batch import (
     batch_lines,
     batch_summary,
@@ -59,10 +61,12 @@ from notewright.plans.batch import (
 from notewright.plans.prompts import (
     CORRECTION,
     SINGLE_PASS,
+    correction_request,
     single_request,
     stage_request,
+    validation_request,
 )
-from notewright.plans.staged import replay, stage_table, with_rule_order, with_single_order
+from notewright.plans.staged import replay, replay_modes, stage_table, with_rule_order, with_single_order
 from notewright.schema import ORDER_COLUMNS
 from notewright.session import configure, materialize, run_dir
 from notewright.sources.completions import attach_responses, response_column
@@ -140,6 +144,16 @@ def rule_hit_list(spark, sf_dir):
     return notes(spark, sf_dir).select("note_id", F.array_join(hits, "; ").alias("hits"))
 
 
+EXTRA_RULE = DeviceRule("Portable Widget", ("portable widget",))
+
+
+def caller_rules(spark, sf_dir):
+    """A whole batch with a device rule of the caller's before the usual ones."""
+    job = JobParams(device_rules=(EXTRA_RULE, *DEVICE_RULES))
+    done = process_notes(notes(spark, sf_dir), job)
+    return done.select("note_id", "route", F.col("order.device").alias("device"))
+
+
 def header_fields(spark, sf_dir):
     found = extract_orders(notes(spark, sf_dir))
     return found.select("note_id", "patient_name", "dob", "diagnosis")
@@ -464,10 +478,21 @@ def outputs_merge(spark, sf_dir):
 
 
 def stage_prompts(spark, sf_dir):
-    """Requests of the single pass and the first stage, and the settings they go with."""
+    """Requests of the single pass, the first stage, the check and the correction, and the
+    settings they go with. The order checked is the single pass's, or the one wanted."""
     source = notes(spark, sf_dir)
     model = ModelParams(available=True, temperature=0.7)
-    asked = single_request(source, model).unionByName(stage_request(source, ANALYZER, model))
+    told = parse_response(source.withColumn("r", single_response()), "r").withColumn(
+        "draft", F.coalesce("model_order", "expected")
+    )
+    told = add_basic_validation(told, "draft").select("note_id", "path", "text", "draft", "validation")
+    parts = (
+        single_request(told, model),
+        stage_request(told, ANALYZER, model),
+        validation_request(told, "draft", model),
+        correction_request(told, "draft", "validation", model),
+    )
+    asked = reduce(DataFrame.unionByName, parts)
     return asked.select(
         "note_id", "stage", "model", "max_tokens", "temperature", F.md5("prompt").alias("prompt_md5")
     )
@@ -520,13 +545,8 @@ def staged_result_unknown(spark, sf_dir):
 def mode_consistency(spark, sf_dir):
     """Devices found in each mode, and whether a note has the same one in all."""
     source = notes(spark, sf_dir)
-    log = stage_responses(source)
-    found = None
-    for mode in ("Fast", "Standard", "Thorough"):
-        job = staged_job(mode=mode, require_validation=False)
-        part = replay(source.drop("expected"), log, job).select("note_id", F.col("order.device").alias("device"))
-        found = part if found is None else found.unionByName(part)
-    return consistency(found, "note_id", "device")
+    found = replay_modes(source.drop("expected"), stage_responses(source), MODES, staged_job())
+    return consistency(found.select("note_id", F.col("order.device").alias("device")), "note_id", "device")
 
 
 # --- validation ------------------------------------------------------------------------
@@ -697,6 +717,7 @@ QUERIES = {
     "device_classify": device_classify,
     "device_classify_words": device_classify_words,
     "rule_hits": rule_hit_list,
+    "caller_rules": caller_rules,
     "header_fields": header_fields,
     "header_fields_same_line": header_fields_same_line,
     "provider": provider,
