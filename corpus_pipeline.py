@@ -13,7 +13,7 @@ from notewright.llm import bpe, chosen_path, decontaminate, line_dedup, toxicity
 from notewright.llm.common import prepare, table
 from notewright.session import materialize
 
-TOXIC = 0.5
+TOXIC = toxicity.FtrlParams().threshold
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,6 +41,23 @@ def whole():
     return tiktoken.Encoding("whole", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+# --- SQL counterparts ------------------------------------------------------------------
+
+
+@given
+@pytest.mark.parametrize("module", [chosen_path, decontaminate, line_dedup], ids=lambda m: m.__name__.rpartition(".")[2])
+def test_sql(spark, module):
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+    for name, sql in module.SQL.items():
+        want = con.execute(sql)
+        columns = [c[0] for c in want.description]
+        got = module.QUERIES[name](spark, SF)
+        assert sorted(columns) == sorted(got.columns)
+        assert sorted(map(tuple, got.select(*columns).collect())) == sorted(want.fetchall())
+
+
 # --- 7: byte-level BPE -----------------------------------------------------------------
 
 
