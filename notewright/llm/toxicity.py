@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,8 +82,9 @@ class Ftrl:
 
 def fit(labelled: DataFrame, n_rows: int, params: FtrlParams = FtrlParams()) -> list[tuple[int, float]]:
     """Sparse weights from about ``n_rows`` rows (text, label 0/1, order long).
-    Rows without a label are passed over; no rows give no weights, so a score of 0.5
-    before the bias. The last coordinate, 2**bits, is the bias."""
+    Rows without a label are passed over. Without rows of both classes there is nothing to
+    tell apart: no weights, so a score of 0.5 for every text. The last coordinate, 2**bits,
+    is the bias."""
     shards = -(-n_rows // params.shard_rows) or 1
     rows = labelled.filter(F.col("label").isin(0, 1)).select(
         F.pmod(F.xxhash64("order"), F.lit(shards)).alias("shard"),
@@ -102,12 +103,16 @@ def fit(labelled: DataFrame, n_rows: int, params: FtrlParams = FtrlParams()) ->
                 model.learn(found[i], labels[i])
         w = model.weights(slice(None))
         at = np.flatnonzero(w)
-        return pd.DataFrame({"at": at, "w": w[at]})
+        seen = np.unique(labels)  # -1 and -2 tell of rows of class 0 and 1
+        return pd.DataFrame({"at": np.concatenate([at, -1 - seen]), "w": np.concatenate([w[at], np.ones(len(seen))])})
 
     learned = rows.groupBy("shard").applyInPandas(learn, "at long, w double")
     # one row a coordinate of the hash space at most
     mean = learned.groupBy("at").agg(F.sum("w").alias("w"), F.count("*").alias("shards"))
-    got = [(r["at"], r["w"], r["shards"]) for r in mean.collect()]
+    rows = [(r["at"], r["w"], r["shards"]) for r in mean.collect()]
+    got = [r for r in rows if r[0] >= 0]
+    if len(rows) - len(got) < 2:
+        return []
     most = max((n for _, _, n in got), default=1)
     return sorted((at, w / most) for at, w, n in got if n > most / 4)
 
@@ -158,11 +163,23 @@ def train(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams())
     return fit(labelled.select("text", "label", "order"), chosen.count(), params)
 
 
+def toxic(name: str, weights: list[tuple[int, float]], threshold: float, params: FtrlParams = FtrlParams()) -> Column:
+    """Whether the score in column ``name`` tells of toxicity: ``threshold`` or more, and
+    more than the bias alone gives, so that a text of which nothing is known never does."""
+    bias = dict(weights).get(1 << params.bits, 0.0)
+    alone = float(1.0 / (1.0 + np.exp(-np.clip(bias, -35, 35))))
+    return (F.col(name) >= threshold) & (F.col(name) > alone + 1e-9)
+
+
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, params: FtrlParams = FtrlParams()) -> DataFrame:
-    """``docs``, all columns, without the rows whose score is ``threshold`` or more."""
+    """``docs``, all columns, without the rows whose score is ``threshold`` or more and
+    above that of a text without known features. All rows stay where nothing was learned:
+    labels that are empty, null, held out, of one class or of no id of ``docs``, or so few
+    that no feature has a weight."""
     name = free_name(docs, "toxic_score")
-    scored = score(docs, train(docs, labels, params), params, name=name)
-    return scored.filter(F.col(name) < threshold).select(*docs.columns)
+    weights = train(docs, labels, params)
+    scored = score(docs, weights, params, name=name)
+    return scored.filter(~toxic(name, weights, threshold, params)).select(*docs.columns)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +190,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         (F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)), F.lit(-1)) == 2).alias("held_out"),
         "score",
-        (F.col("score") >= params.threshold).cast("int").alias("predicted"),
+        toxic("score", weights, params.threshold, params).cast("int").alias("predicted"),
     )
 
 

@@ -6,6 +6,7 @@ import hashlib
 import os
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
@@ -270,6 +271,22 @@ def test_toxicity(spark, odd, none):
     assert toxicity.train(none, labels) == [] and toxicity.score(none, []).count() == 0
 
 
+def test_toxicity_keeps_all_where_nothing_was_learned(spark):
+    rows = [(i, f"clean words {i} of a text") for i in range(40)] + [(None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2]
+    one, two = known[:2]
+    tables = {
+        "empty": [], "null": [(one, None), (None, 1)], "one clean": [(one, 0)], "two clean": [(one, 0), (two, 0)], "one toxic": [(one, 1)],
+        "one of each": [(one, 0), (two, 1)], "no id of docs": [(i, i % 2) for i in range(1000, 1100)], "all toxic": [(i, 1) for i in known],
+        "held out": [(i, i % 2) for i in range(40) if i not in known],
+    }
+    for name, given_labels in tables.items():
+        labels = spark.createDataFrame(given_labels, "doc_id long, toxic int")
+        left = toxicity.reject(docs, labels, corpus_pipeline.TOXIC)
+        assert sorted(map(str, left.collect())) == sorted(map(str, docs.collect())), name
+
+
 @given
 def test_toxicity_learns_only_from_its_rows(spark):
     """Labels of held-out rows don't matter."""
