@@ -1,7 +1,7 @@
 """Tool-call linking for chat formats, and op3_tool_calls.
 
-Calls and results are joined by their identifier, after each side has been reduced to one
-row an identifier, so that repeated ids never multiply. Calls that wait for another call's
+Calls and results are paired by conversation and identifier, the n-th call of an identifier
+with its n-th result, so that repeated ids never multiply and none is lost. Calls that wait for another call's
 result are put in topological order by pointer doubling, which takes the logarithm of the
 longest chain in rounds. Arguments are checked against JSON schemas, and every linked call
 is written as canonical JSON (sorted keys, no blanks)."""
@@ -12,7 +12,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notewright.llm.common import table
@@ -81,42 +81,82 @@ def ranks(calls: DataFrame) -> DataFrame:
     return now.select("call_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
 
 
+def call_key(conv_id: Column, call_id: Column) -> Column:
+    """Text for a call's id within its conversation, which may be null; null without an id."""
+    conv = conv_id.cast("string")
+    return F.concat(F.coalesce(F.concat(F.length(conv), F.lit(":"), conv), F.lit("")), F.lit("/"), call_id)
+
+
+def paired(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """(key, nth, conv_id, call_id, c, r, n_calls, n_results): the n-th call of each key with
+    its n-th result, either null where there are fewer. Rows without a call_id stay alone."""
+    call = F.struct("turn", "conv_id", "name", "arguments", "after")
+    result = F.struct("turn", "conv_id", "content")
+    key = call_key(F.col("conv_id"), F.col("call_id"))
+    sides = calls.select(key.alias("key"), "conv_id", "call_id", F.lit(True).alias("is_call"), call.alias("c")).unionByName(
+        results.select(key.alias("key"), "conv_id", "call_id", F.lit(False).alias("is_call"), result.alias("r")), allowMissingColumns=True
+    )
+    known = sides.filter(F.col("key").isNotNull()).repartition("key")
+    of_key = Window.partitionBy("key")
+    numbered = known.select(
+        "*",
+        F.row_number().over(Window.partitionBy("key", "is_call").orderBy("c", "r")).cast("long").alias("nth"),
+        F.count_if("is_call").over(of_key).alias("n_calls"),
+        F.count_if(~F.col("is_call")).over(of_key).alias("n_results"),
+    )
+    some = lambda name: F.first(name, ignorenulls=True).alias(name)
+    pairs = numbered.groupBy("key", "nth").agg(*map(some, ("conv_id", "call_id", "c", "r", "n_calls", "n_results")))
+    alone = sides.filter(F.col("key").isNull()).select(
+        "key", F.lit(1).cast("long").alias("nth"), "conv_id", "call_id", "c", "r",
+        F.col("is_call").cast("long").alias("n_calls"), (~F.col("is_call")).cast("long").alias("n_results"),
+    )
+    return pairs.unionByName(alone)
+
+
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """One row for each call_id of either side: conv_id, call_id, name, n_calls, n_results,
-    status, level, valid, errors, message.
+    """Of ``link_all`` the first row of each id of a conversation, without nth; the numbers
+    say how many calls and results there were. Rows without a call_id are all there."""
+    return link_all(calls, results, schemas).filter("nth = 1").drop("nth")
+
+
+def link_all(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+    """Every call and every result once: conv_id, call_id, name, n_calls, n_results, status,
+    level, valid, errors, message, nth.
 
     ``calls`` (conv_id, turn, call_id, name, arguments, after), ``results`` (conv_id, turn,
-    call_id, content); other columns don't matter. Of rows with one call_id the one with the
-    least turn counts (then conv_id and text), the numbers say how many there were. Rows
-    without a call_id are not linked: each side's are one row with a null id. status:
-    linked, no_result, no_call. level: 2 x the depth of the chain, so that a result (level
-    + 1) comes before what waits for it; null in a circle and without a call. Arguments
-    that are no JSON, or for a name without schema, are not valid. ``message`` is
-    canonical JSON; unreadable arguments are kept in it as a string."""
-    first_call = F.min(F.struct("turn", "conv_id", "name", "arguments", "after")).alias("c")
-    one_call = materialize(calls.groupBy("call_id").agg(first_call, F.count("*").alias("n_calls")).select("call_id", "c.*", "n_calls"), "calls")
-    first_result = F.min(F.struct("turn", "conv_id", "content")).alias("r")
-    one_result = results.groupBy(F.col("call_id").alias("r_id")).agg(first_result, F.count("*").alias("n_results"))
-    depth = ranks(one_call.filter(F.col("call_id").isNotNull())).withColumnRenamed("call_id", "d_id")
-    joined = (
-        one_call.withColumn("is_call", F.lit(True))
-        .join(depth, F.col("call_id") == F.col("d_id"), "left")
-        .join(one_result, F.col("call_id") == F.col("r_id"), "full")
-    )
-    rows = joined.select(
-        F.coalesce("conv_id", "r.conv_id").alias("conv_id"),
-        F.coalesce("call_id", "r_id").alias("call_id"),
-        "name",
-        "arguments",
+    call_id, content); other columns don't matter. An id counts within its conversation;
+    rows with a null conv_id are one conversation. The n-th call of an id (by turn, then
+    text) takes the n-th result; surplus ones stand alone. Rows without a call_id are not
+    linked, each is a row of its own. status: linked, no_result, no_call. level: 2 x the
+    depth of the chain, so that a result (level + 1) comes before what waits for it;
+    ``after`` means the first call of that id in the conversation. Null in a circle and
+    without a call or an id. Arguments that are no JSON, or for a name without schema, are
+    not valid. ``message`` is canonical JSON; unreadable arguments are kept in it as a
+    string."""
+    pairs = materialize(paired(calls, results), "calls")
+    named = pairs.filter(F.col("key").isNotNull() & F.col("c").isNotNull())
+    waits = call_key(F.col("c.conv_id"), F.col("c.after"))
+    first_calls = named.filter("nth = 1").select(F.col("key").alias("call_id"), waits.alias("after"))
+    depth = ranks(first_calls).select(F.col("call_id").alias("d_key"), "depth", F.lit(True).alias("real"))
+    # a repeated call has its own depth, one below that of the call it waits for
+    look = F.when(F.col("c").isNotNull(), F.when(F.col("nth") == 1, F.col("key")).otherwise(F.when(F.col("key").isNotNull(), waits)))
+    own = F.when(F.col("nth") == 1, F.col("depth")).when(F.col("real"), F.col("depth") + 1).otherwise(F.lit(0))
+    at = F.when(F.col("key").isNotNull() & F.col("c").isNotNull(), own)
+    rows = pairs.withColumn("look", look).join(depth, F.col("look") == F.col("d_key"), "left").select(
+        "conv_id",
+        "call_id",
+        F.col("c.name").alias("name"),
+        F.col("c.arguments").alias("arguments"),
         F.col("r.content").alias("content"),
-        F.coalesce("n_calls", F.lit(0)).cast("long").alias("n_calls"),
-        F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"),
-        F.when(F.col("is_call").isNull(), "no_call").when(F.col("n_results").isNull(), "no_result").otherwise("linked").alias("status"),
-        (2 * F.col("depth")).alias("level"),
-    )
-    names = ["conv_id", "call_id", "name", "n_calls", "n_results", "status", "level", "valid", "errors", "message"]
+        "n_calls",
+        "n_results",
+        F.when(F.col("c").isNull(), "no_call").when(F.col("r").isNull(), "no_result").otherwise("linked").alias("status"),
+        (2 * at).alias("level"),
+        "nth",
+    )
+    names = ["conv_id", "call_id", "name", "n_calls", "n_results", "status", "level", "valid", "errors", "message", "nth"]
     kept = rows.select("conv_id", "call_id", "name", "n_calls", "n_results", "status", "level")
-    schema = kept.schema.add("valid", "boolean").add("errors", "string").add("message", "string")
+    schema = kept.schema.add("valid", "boolean").add("errors", "string").add("message", "string").add("nth", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,7 +177,13 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
                 errors.append("; ".join(found))
                 messages.append(canonical({"id": call_id, "name": name, "arguments": value} | ({"result": content} if status == "linked" else {})))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in names[:7]), pa.array(valid, pa.bool_()), pa.array(errors, pa.string()), pa.array(messages, pa.string())],
+                [
+                    *(batch.column(n) for n in names[:7]),
+                    pa.array(valid, pa.bool_()),
+                    pa.array(errors, pa.string()),
+                    pa.array(messages, pa.string()),
+                    batch.column("nth"),
+                ],
                 names=names,
             )
 
@@ -169,8 +215,9 @@ def from_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results that the turns of conversations stand for: every assistant turn
     calls a tool chosen by its length, with arguments made of its text, and waits for the
     assistant turn before it in the conversation; the next user turn is its result. Both
-    are found by equal conversation and turn."""
-    call_id = lambda turn: F.concat_ws(":", F.lit("call"), F.col("conv_id"), turn)
+    are found by equal conversation and turn. Turns without a conversation or a number
+    have no id."""
+    call_id = lambda turn: F.concat(F.lit("call:"), F.col("conv_id"), F.lit(":"), turn)
     text = F.coalesce("text", F.lit(""))
     size = F.length(text)
     name = F.element_at(F.array(F.lit("search"), F.lit("measure"), F.lit("translate"), F.lit("report")), (size % 4 + 1).cast("int"))
@@ -184,7 +231,7 @@ def from_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
         "conv_id", "turn", call_id(F.col("turn")).alias("call_id"), name.alias("name"), arguments.alias("arguments"),
         call_id(F.col("turn") - 2).alias("after"),
     )
-    results = turns.filter((F.col("role") == "user") & (F.col("turn") > 0)).select(
+    results = turns.filter((F.col("role") == "user") & (F.col("turn").isNull() | (F.col("turn") > 0))).select(
         "conv_id", "turn", call_id(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content")
     )
     return calls, results
@@ -192,7 +239,7 @@ def from_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = from_conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
-    return link(calls, results, SCHEMAS)
+    return link_all(calls, results, SCHEMAS)
 
 
 QUERIES = {"op3_tool_calls": op3_tool_calls}

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import json
 import os
 import random
 import re
@@ -350,6 +351,33 @@ def test_tool_calls(spark):
     assert got["p"]["errors"] == "$: no schema" and got["q"]["errors"] == "$.a: not integer"
 
 
+def test_tool_calls_lose_no_row(spark):
+    schemas = {"f": {"type": "object"}}
+    calls = [
+        (1, 1, "x", "f", '{"n": 1}', None), (1, 3, "x", "f", '{"n": 2}', "y"), (1, 5, "x", "f", '{"n": 3}', "x"), (1, 2, "y", "f", "{}", "x"),
+        (2, 1, "x", "f", '{"n": 4}', None), (None, 1, "x", "f", '{"n": 5}', None), (3, 1, None, "f", '{"n": 6}', None), (3, 2, None, "f", '{"n": 7}', None),
+    ]
+    results = [(1, 2, "x", "r1"), (1, 4, "x", "r2"), (2, 2, "x", "r4"), (2, 3, "x", "r5"), (None, 2, "x", "r6"), (3, 3, None, "r7"), (3, 4, None, "r8")]
+    rows = toolcalls.link_all(
+        spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string, after string"),
+        spark.createDataFrame(results, "conv_id long, turn long, call_id string, content string"),
+        schemas,
+    ).collect()
+    got = collections.Counter()
+    for r in rows:
+        message = json.loads(r["message"])
+        got[r["conv_id"], r["call_id"], message.get("arguments", {}).get("n"), message.get("result"), r["level"], r["n_calls"], r["n_results"]] += 1
+    assert got == collections.Counter([
+        (1, "x", 1, "r1", 0, 3, 2), (1, "x", 2, "r2", 4, 3, 2), (1, "x", 3, None, 2, 3, 2), (1, "y", None, None, 2, 1, 0),
+        (2, "x", 4, "r4", 0, 1, 2), (2, "x", None, "r5", None, 1, 2), (None, "x", 5, "r6", 0, 1, 1),
+        (3, None, 6, None, None, 1, 0), (3, None, 7, None, None, 1, 0), (3, None, None, "r7", None, 0, 1), (3, None, None, "r8", None, 0, 1),
+    ])
+    turns = [(None, 1, "assistant", "a"), (None, 1, "assistant", "b"), (None, 2, "user", "c"), (5, None, "assistant", "d"), (5, None, "user", "e")]
+    turns = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    made = toolcalls.link_all(*toolcalls.from_conversations(turns), toolcalls.SCHEMAS).collect()
+    assert sorted(r["status"] for r in made) == ["no_call"] * 2 + ["no_result"] * 3
+
+
 @given
 def test_tool_calls_of_conversations(spark):
     rows = toolcalls.op3_tool_calls(spark, SF).collect()
