@@ -24,25 +24,99 @@ PHRASES = {
     "apache license": "apache",
     "general public license": "gpl",
 }
-# Label -> (words of a notice, phrases of which one must stand whole in it).
-NOTICES = {
-    "mit-notice": ("released under the mit license", ("mit license",)),
-    "apache-2.0-notice": ("licensed under the apache license version 2 0", ("apache license version 2 0",)),
-    "gpl-3-notice": (
-        "this work is licensed under the gnu general public license version 3",
-        ("gnu general public license version 3",),
-    ),
-    "cc-by-nc-4.0-notice": ("licensed under cc by nc 4 0", ("cc by nc",)),
-    "cc-by-4.0-notice": ("licensed under cc by 4 0", ("cc by 4 0",)),
-    "bsd-notice": (
-        "redistribution and use in source and binary forms with or without modification are permitted",
-        ("redistribution and use in source and binary forms",),
-    ),
-    "mpl-2.0-notice": (
+MIT_GRANT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
+    "the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish "
+    "distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject "
+    "to the following conditions"
+)
+MIT_CONDITION = "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"
+BSD_LEAD = "redistribution and use in source and binary forms with or without modification are permitted"
+BSD_SOURCE = "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+BSD_BINARY = (
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in "
+    "the documentation and or other materials provided with the distribution"
+)
+BSD_NAMES = "may be used to endorse or promote products derived from this software without specific prior written permission"
+ISC_GRANT = (
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that "
+    "the above copyright notice and this permission notice appear in all copies"
+)
+ZERO_GRANT = "for any purpose with or without fee is hereby granted the software is provided as is and the author disclaims all warranties"
+UNLICENSE = "this is free and unencumbered software released into the public domain"
+UNLICENSE_GRANT = (
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled "
+    "binary for any purpose commercial or non commercial and by any means"
+)
+APACHE_HEADER = (
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may "
+    "obtain a copy of the license at"
+)
+CC0_WAIVER = "has waived all copyright and related or neighboring rights to this work"
+
+
+def gnu_notices() -> list[tuple[str, str, tuple[str, ...]]]:
+    """Notices of the GNU licences: of any version, and of one."""
+    out = []
+    for label, name, versions in (
+        ("gpl", "gnu general public license", ("2", "3")),
+        ("lgpl", "gnu lesser general public license", ("2 1", "3")),
+        ("lgpl", "gnu library general public license", ("2",)),
+        ("agpl", "gnu affero general public license", ("3",)),
+    ):
+        terms = f"is free software you can redistribute it and or modify it under the terms of the {name}"
+        published = "as published by the free software foundation"
+        out.append((f"{label}-notice", terms, (name,)))
+        for v in versions:
+            own = f"{label}-{v.replace(' ', '.')}-notice"
+            out.append((own, f"this work is licensed under the {name} version {v}", (f"{name} version {v}",)))
+            for either in ("either version", "version"):
+                grant = f"under the terms of the {name} {published} {either} {v} of the license"
+                out.append((own, grant, (f"{name} {published} {either} {v} of the license",)))
+            out.append((own, f"under the terms of the {name} version {v} {published}", (f"{name} version {v}",)))
+    return out
+
+
+def cc_notices() -> list[tuple[str, str, tuple[str, ...]]]:
+    """Notices of the Creative Commons licences, version 4.0, by initials and by name."""
+    names = {"by": "attribution", "nc": "noncommercial", "sa": "sharealike", "nd": "noderivatives"}
+    out = []
+    for kind in ("by", "by nc", "by sa", "by nd", "by nc sa", "by nc nd"):
+        label = f"cc-{kind.replace(' ', '-')}-4.0-notice"
+        title = f"creative commons {' '.join(names[k] for k in kind.split())} 4 0"
+        key = "cc by nc" if kind == "by nc" else f"cc {kind} 4 0"
+        out.append((label, f"licensed under cc {kind} 4 0", (key,)))
+        out.append((label, f"licensed under a {title} international license", (title,)))
+    return out
+
+
+# Fixed values: (label, words of a notice, phrases of which one must stand whole in it). A
+# label may have several notices: a text that differs in length in one is found by another.
+NOTICES = [
+    ("mit-notice", "released under the mit license", ("mit license",)),
+    ("mit-notice", MIT_GRANT, ("to deal in the software without restriction",)),
+    ("mit-notice", MIT_CONDITION, ("shall be included in all copies or substantial portions of the software",)),
+    ("apache-2.0-notice", "licensed under the apache license version 2 0", ("apache license version 2 0",)),
+    ("apache-2.0-notice", APACHE_HEADER, ("apache license version 2 0",)),
+    *gnu_notices(),
+    *cc_notices(),
+    ("cc0-1.0-notice", "cc0 1 0 universal", ("cc0 1 0 universal",)),
+    ("cc0-1.0-notice", CC0_WAIVER, ("waived all copyright and related or neighboring rights",)),
+    ("bsd-notice", BSD_LEAD, ("redistribution and use in source and binary forms",)),
+    ("bsd-notice", BSD_SOURCE, ("redistributions of source code must retain the above copyright notice",)),
+    ("bsd-notice", BSD_BINARY, ("redistributions in binary form must reproduce the above copyright notice",)),
+    ("bsd-3-clause-notice", BSD_NAMES, ("used to endorse or promote products derived from this software",)),
+    ("isc-notice", ISC_GRANT, ("provided that the above copyright notice and this permission notice appear in all copies",)),
+    ("isc-notice", ISC_GRANT.replace("and or", "and"), ("provided that the above copyright notice and this permission notice appear in all copies",)),
+    ("0bsd-notice", ZERO_GRANT, ("hereby granted the software is provided as is",)),
+    ("unlicense-notice", UNLICENSE, ("free and unencumbered software",)),
+    ("unlicense-notice", UNLICENSE_GRANT, ("anyone is free to copy modify publish use compile sell or distribute this software",)),
+    (
+        "mpl-2.0-notice",
         "this source code form is subject to the terms of the mozilla public license v 2 0",
         ("mozilla public license",),
     ),
-}
+]
 
 
 @dataclass(frozen=True)
@@ -59,7 +133,7 @@ class Index:
 
     def __init__(self, df: dict[str, int], n_docs: int):
         self.templates = [(label, phrase.split(), [phrase.split()], True) for phrase, label in PHRASES.items()]
-        self.templates += [(label, text.split(), [k.split() for k in keys], False) for label, (text, keys) in NOTICES.items()]
+        self.templates += [(label, text.split(), [k.split() for k in keys], False) for label, text, keys in NOTICES]
         self.words = vocabulary()
         number = {w: i for i, w in enumerate(self.words)}
         hashes = word_hashes(self.words)
@@ -68,6 +142,10 @@ class Index:
         self.idf = np.log((1 + n_docs) / (1 + np.array([df.get(w, 0) for w in self.words])))
         self.ids = [np.array([number[w] for w in words]) for _, words, _, _ in self.templates]
         self.keys = [[np.array([number[w] for w in key]) for key in keys] for _, _, keys, _ in self.templates]
+        self.flat = np.concatenate(self.ids)
+        self.lengths = np.array([len(i) for i in self.ids])
+        self.offsets = np.cumsum(self.lengths) - self.lengths
+        self.wholes = np.array([t[3] for t in self.templates])
         self.rarest = [sorted(set(ids.tolist()), key=lambda i: (-self.idf[i], i)) for ids in self.ids]
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
@@ -79,12 +157,14 @@ class Index:
         """(template, start, share of words in place) of all that are found in a file."""
         out = []
         have = np.flatnonzero(ids >= 0)
-        present = set(ids[have].tolist())
-        for t, words in enumerate(self.ids):
-            whole = self.templates[t][3]
+        known = np.zeros(len(self.words), bool)
+        known[ids[have]] = True
+        present = set(np.flatnonzero(known).tolist())
+        # a template of which the file lacks too many words has no place at all
+        most = np.add.reduceat(known[self.flat].astype(np.int64), self.offsets) / self.lengths
+        for t in np.flatnonzero(most >= np.where(self.wholes, 1.0, params.aligned)).tolist():
+            words, whole = self.ids[t], self.wholes[t]
             look = [w for w in self.rarest[t] if w in present][: params.rare]
-            if not look or (whole and len(set(words.tolist()) & present) < len(set(words.tolist()))):
-                continue
             starts = set()
             for w in look[:1] if whole else look:
                 at = have[ids[have] == w]
@@ -104,7 +184,7 @@ def _stands(ids: np.ndarray, key: np.ndarray) -> bool:
 
 
 def vocabulary() -> list[str]:
-    return sorted({w for text in [*PHRASES, *(n for n, _ in NOTICES.values()), *(k for _, ks in NOTICES.values() for k in ks)] for w in text.split()})
+    return sorted({w for text in [*PHRASES, *(n for _, n, _ in NOTICES), *(k for _, _, ks in NOTICES for k in ks)] for w in text.split()})
 
 
 def word_hashes(words: list[str]) -> np.ndarray:

@@ -326,6 +326,28 @@ def test_licenses(spark, odd, none):
     assert licenses.scan_licenses(none).count() == 0
 
 
+def test_licenses_of_common_texts(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU {} License as published by\n * the Free Software Foundation, {} of the License, or\n * (at your option) any later version."
+    files = {
+        "mit": ("mit-notice", 'Copyright (c) 2020 A. Person\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
+        "gpl3": ("gpl-3-notice,gpl-notice", gpl.format("General Public", "either version 3")),
+        "gpl2": ("gpl-2-notice,gpl-notice", gpl.format("General Public", "either version 2")),
+        "gpl2 only": ("gpl-2-notice,gpl-notice", gpl.format("General Public", "version 2")),
+        "gpl2 line": ("gpl-2-notice", "This work is licensed under the GNU General Public License, version 2."),
+        "no version": ("gpl-notice", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License."),
+        "lgpl": ("lgpl-2.1-notice,lgpl-notice", gpl.format("Lesser General Public", "either version 2.1")),
+        "isc": ("isc-notice", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+        "cc0": ("cc0-1.0-notice", "Published as CC0 1.0 Universal."),
+        "unlicense": ("unlicense-notice", "This is free and unencumbered software released into the public domain."),
+        "bsd3": ("bsd-3-clause-notice,bsd-notice", "3. Neither the name of Some Firm nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\nRedistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+        "cc": ("cc-by-sa-4.0-notice", "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+        "prose": ("", "The software was free of charge, and any person with a copy was free to use it for this purpose or to modify the work."),
+    }
+    df = spark.createDataFrame([(k, t) for k, (_, t) in files.items()], "doc_id string, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(df).collect()}
+    assert {k: ",".join(x for x in v.split(",") if x.endswith("-notice")) for k, v in got.items()} == {k: v for k, (v, _) in files.items()}
+
+
 # --- 3: tool calls ---------------------------------------------------------------------
 
 
