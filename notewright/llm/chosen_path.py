@@ -273,25 +273,41 @@ def overlaps(members: list[np.ndarray], slab: int = 4096) -> np.ndarray:
     return out
 
 
+def distinct_sets(of_docs: DataFrame) -> DataFrame:
+    """(set_id, doc, row, copies, sketch): each set once, with the least row that has it."""
+    least = F.min(F.struct("doc", "row")).alias("least")
+    sets = of_docs.filter(F.col("set_id").isNotNull()).groupBy("set_id").agg(least, F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
+    return sets.select("set_id", "least.doc", "least.row", "copies", "sketch")
+
+
+def member_texts(docs: DataFrame, members: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(bytes, set_id, copies, comp, size) of the rows that stand for the sets: joined by id
+    and text, so that rows that share an id, or have none, don't multiply."""
+    rows = docs.select(
+        F.coalesce(docs[doc_id].cast("long"), F.lit(NO_ID)).alias("doc"),
+        F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("row"),
+        docs[text].cast("binary").alias("bytes"),
+    )
+    return rows.join(members, ["doc", "row"]).select("bytes", "set_id", "copies", "comp", "size")
+
+
 def exact_links(docs: DataFrame, members: DataFrame, doc_id: str, text: str, params: JoinParams) -> DataFrame:
     """(set_id, links, root): for each set of a candidate class, the number of document rows
     that other sets of similarity reached stand for, and its local root; several rows a
-    set, one for each pair of blocks. ``members`` (doc, set_id, copies, comp, size)."""
-    rows = docs.select(
-        F.coalesce(docs[doc_id].cast("long"), F.lit(NO_ID)).alias("doc"), docs[text].cast("binary").alias("bytes")
-    ).join(members, "doc")
+    set, one for each pair of blocks. ``members`` (doc, row, set_id, copies, comp, size)."""
+    rows = member_texts(docs, members, doc_id, text)
     schema = T.StructType.fromDDL("set_id binary, copies long, comp binary, size long, tokens binary")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [x.tobytes() for x in shingle_sets(texts(batch.column(0)), params.words)]
             ids = batch.column(1).to_pylist()
-            # rows that share an id but have another text are not the set's
+            # rows that share an id and a text's hash but have another text are not the set's
             own = pa.array([i for i, x in enumerate(found) if xxhash.xxh3_128_digest(x) == ids[i]], pa.int64())
             part = batch.take(own)
             yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(found, pa.binary()).take(own)], names=schema.names)
 
-    sets = rows.select("bytes", "set_id", "copies", "comp", "size").mapInArrow(tokens, schema)
+    sets = rows.mapInArrow(tokens, schema)
     blocks = dealt(sets, "comp", F.col("size"), params.block)
     ordered = blocks.select("g", "block", "cuts", "set_id", "copies", "tokens").repartition("g").sortWithinPartitions("g", "block", "set_id")
 
@@ -334,12 +350,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", par
     alike in id and text are first together, and ``keep_first`` leaves one of them."""
     prepare(docs.sparkSession)
     of_docs = materialize(documents_sets(docs, doc_id, text, params.words), "sets")
-    sets = materialize(
-        of_docs.filter(F.col("set_id").isNotNull())
-        .groupBy("set_id")
-        .agg(F.min("doc").alias("doc"), F.count("*").alias("copies"), F.first("sketch").alias("sketch")),
-        "distinct-sets",
-    )
+    sets = materialize(distinct_sets(of_docs), "distinct-sets")
     found = None
     for buckets in leaves(sets, params):
         some = candidates(buckets, sets, params)
@@ -347,7 +358,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", par
     rough = components(found, "rough")
     sizes = rough.groupBy("root").agg(F.count("*").alias("size"))
     members = rough.join(sizes, "root").select(F.col("id").alias("set_id"), F.col("root").alias("comp"), "size")
-    members = members.join(sets.select("set_id", "doc", "copies"), "set_id").select("doc", "set_id", "copies", "comp", "size")
+    members = members.join(sets.select("set_id", "doc", "row", "copies"), "set_id").select("doc", "row", "set_id", "copies", "comp", "size")
     links = materialize(exact_links(docs, members, doc_id, text, params), "links")
     classes = components(links.select(F.col("set_id").alias("a"), F.col("root").alias("b")), "classes")
     counted = links.groupBy("set_id").agg(F.sum("links").alias("links"))

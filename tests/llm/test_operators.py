@@ -208,6 +208,16 @@ def test_jaccard_join_odd(spark, odd, none):
     assert chosen_path.keep_first(twice).count() == 1
 
 
+def test_jaccard_join_without_ids(spark):
+    """Each set's text is looked up once, however many rows lack an id."""
+    texts = [f"a text of many words that all share but the number {i}" for i in range(12)]
+    df = spark.createDataFrame([(None, t) for t in texts] + [(7, t) for t in texts], "doc_id long, text string")
+    sets = chosen_path.distinct_sets(chosen_path.documents_sets(df, "doc_id", "text", 5))
+    members = sets.selectExpr("*", "set_id as comp", "12L as size").drop("sketch")
+    got = chosen_path.member_texts(df, members, "doc_id", "text").collect()
+    assert sorted(bytes(r["bytes"]).decode() for r in got) == sorted(texts)
+
+
 def test_components(spark):
     chain = [(f"{i:04}", f"{i + 1:04}") for i in range(100)] + [("x", "y"), ("y", "x"), ("z", "z")]
     got = dict(components(spark.createDataFrame(chain, "a string, b string")).collect())
