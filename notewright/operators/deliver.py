@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +17,9 @@ REPORT_TYPE = (
     "note_id string, idempotency_key string, outcome string, attempts int, "
     "last_status int, backoff_s double, error string"
 )
+REPORT_COLUMNS = tuple(column.split()[0] for column in REPORT_TYPE.split(", "))
+IN_FLIGHT = 8
+ROWS_AT_ONCE = 1024
 
 # (payload, idempotency key, attempt from 0) to an HTTP status, or None if no answer came
 Transport = Callable[[str, str, int], "int | None"]
@@ -87,67 +90,72 @@ def undelivered(orders: DataFrame, report: DataFrame) -> DataFrame:
     return orders.join(settled.select("idempotency_key"), "idempotency_key", "left_anti")
 
 
+def post_rows(
+    rows: Iterable[tuple[str, str, str]],
+    transport: Transport,
+    params: PostParams = PostParams(),
+    wait: Callable[[float], None] | None = None,
+    in_flight: int = IN_FLIGHT,
+) -> Iterator[tuple]:
+    """Post ``(note_id, idempotency_key, payload)`` rows, several at a time, and give a report row for
+    each, in order; a part of the rows is held at once. Runs in a task."""
+    import time
+    from concurrent.futures import ThreadPoolExecutor
+    from itertools import islice
+
+    rows, pause, retries = iter(rows), wait or time.sleep, params.retries
+    if not params.enabled or any(host in params.base_url for host in TEST_HOSTS):
+        yield from ((note_id, key, "skipped", 0, None, 0.0, None) for note_id, key, _ in rows)
+        return
+
+    def post(row):
+        note_id, key, payload = row
+        waited, error = 0.0, None
+        for attempt in range(retries + 1):
+            try:
+                status, error = transport(payload, key, attempt), None
+            except OSError as failure:  # timeouts and lost connections: no answer
+                status, error = None, repr(failure)
+            except Exception as failure:  # an error of the transport: retrying cannot help
+                return note_id, key, "permanent_failure", attempt + 1, None, waited, repr(failure)
+            if status is not None and status not in RETRYABLE:
+                outcome = "delivered" if 200 <= status < 300 else "permanent_failure"
+                return note_id, key, outcome, attempt + 1, status, waited, None
+            if attempt < retries:
+                pause(2.0**attempt)
+                waited += 2.0**attempt
+        return note_id, key, "exhausted", retries + 1, status, waited, error
+
+    with ThreadPoolExecutor(in_flight) as pool:
+        while part := list(islice(rows, ROWS_AT_ONCE)):
+            yield from pool.map(post, part)
+
+
 def post_orders(
     orders: DataFrame,
     transport: Transport,
     params: PostParams = PostParams(),
     wait: Callable[[float], None] | None = None,
-    in_flight: int = 8,
+    in_flight: int = IN_FLIGHT,
 ) -> DataFrame:
     """Post ``(note_id, idempotency_key, payload)`` rows and return the delivery report.
 
     Runs where the rows are, with no shuffle: each task posts its own batches, several
     orders at a time, retrying after 1, 2, 4, ... seconds. A failure becomes a report row
     and never fails the job. The key goes with every post because Spark may run a task
-    again; write the report once with ``materialize`` and read it from there."""
-    slim = orders.select("note_id", "idempotency_key", "payload")
-    if not params.enabled or any(host in params.base_url for host in TEST_HOSTS):
-        return slim.select(
-            "note_id",
-            "idempotency_key",
-            F.lit("skipped").alias("outcome"),
-            F.lit(0).alias("attempts"),
-            F.lit(None).cast("int").alias("last_status"),
-            F.lit(0.0).alias("backoff_s"),
-            F.lit(None).cast("string").alias("error"),
-        )
-    retries, again = params.retries, set(RETRYABLE)
+    again; write the report once with ``materialize`` and read it from there, or post
+    through the sink of ``sinks.orders_api``, which keeps a report of its own."""
 
     def post_batches(batches):
-        import time
-        from concurrent.futures import ThreadPoolExecutor
-
         import pandas as pd
 
-        pause = wait or time.sleep
-
-        def post(row):
-            note_id, key, payload = row
-            waited, error = 0.0, None
-            for attempt in range(retries + 1):
-                try:
-                    status, error = transport(payload, key, attempt), None
-                except OSError as failure:  # timeouts and lost connections: no answer
-                    status, error = None, repr(failure)
-                except Exception as failure:  # an error of the transport: retrying cannot help
-                    return note_id, key, "permanent_failure", attempt + 1, None, waited, repr(failure)
-                if status is not None and status not in again:
-                    outcome = "delivered" if 200 <= status < 300 else "permanent_failure"
-                    return note_id, key, outcome, attempt + 1, status, waited, None
-                if attempt < retries:
-                    pause(2.0**attempt)
-                    waited += 2.0**attempt
-            return note_id, key, "exhausted", retries + 1, status, waited, error
-
-        names = ["note_id", "idempotency_key", "outcome", "attempts", "last_status", "backoff_s", "error"]
-        with ThreadPoolExecutor(in_flight) as pool:
-            for batch in batches:
-                rows = zip(batch["note_id"], batch["idempotency_key"], batch["payload"])
-                report = pd.DataFrame(list(pool.map(post, rows)), columns=names)
-                report["last_status"] = report["last_status"].astype("Int32")
-                yield report
-
-    return slim.mapInPandas(post_batches, REPORT_TYPE)
+        for batch in batches:
+            rows = zip(batch["note_id"], batch["idempotency_key"], batch["payload"])
+            report = pd.DataFrame(list(post_rows(rows, transport, params, wait, in_flight)), columns=list(REPORT_COLUMNS))
+            report["last_status"] = report["last_status"].astype("Int32")
+            yield report
+
+    return orders.select("note_id", "idempotency_key", "payload").mapInPandas(post_batches, REPORT_TYPE)
 
 
 def http_transport(params: PostParams = PostParams()) -> Transport:

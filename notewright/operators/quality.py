@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_set
 from ..schema import ORDER_COLUMNS
+from .positions import numbered_within
 
 
 def field_set(name: str, order: str | None = None) -> Column:
@@ -75,13 +76,39 @@ def compare_columns(rule: str, model: str) -> list[Column]:
     ]
 
 
-def compare_orders(
-    rules: DataFrame, models: DataFrame, key: str = "note_id"
-) -> DataFrame:
-    """Join two order tables ``(key, order columns)`` and compare them row by row."""
-    left = rules.select(key, F.struct(*ORDER_COLUMNS).alias("rule_order"))
-    right = models.select(key, F.struct(*ORDER_COLUMNS).alias("model_order"))
-    return left.join(right, key).select(key, *compare_columns("rule_order", "model_order"))
+def content_text(name: str) -> Column:
+    """A field as text by which orders of one key can be put in order; null is a sign of its own."""
+    return F.coalesce(F.array_join(name, "\x01") if name == "add_ons" else F.col(name), F.lit("\x03"))
+
+
+def compare_orders(rules: DataFrame, models: DataFrame, key: str = "note_id") -> DataFrame:
+    """Join two order tables ``(key, order columns)`` and compare them row by row: ``key``, ``n``,
+    ``side`` (``both``, ``rules`` or ``model``) and the comparisons, null where a side is missing.
+
+    Where a key has several orders, those of each side are numbered by their content and the
+    n-th of one meets the n-th of the other, so rows never multiply; a key with very many
+    orders is spread over tasks, in the numbering and, by key and number, in the join. Rows
+    with a null key are one key. Equal orders may be numbered either way."""
+
+    def numbered(side: DataFrame, order: str) -> DataFrame:
+        content = F.concat_ws("\x02", *[content_text(name) for name in ORDER_COLUMNS])
+        packed = side.select(F.col(key).alias("_key"), content.alias("_content"), F.struct(*ORDER_COLUMNS).alias(order))
+        return numbered_within(packed, "_key", "_content", name="_n", label=f"{order}s").drop("_content")
+
+    left, right = numbered(rules, "rule_order").alias("l"), numbered(models, "model_order").alias("r")
+    same = F.col("l._key").eqNullSafe(F.col("r._key")) & (F.col("l._n") == F.col("r._n"))
+    joined = left.join(right, same, "full")
+    both = F.col("l._n").isNotNull() & F.col("r._n").isNotNull()
+    pairs = joined.select(
+        F.coalesce("l._key", "r._key").alias(key),
+        F.coalesce("l._n", "r._n").alias("n"),
+        F.when(both, "both").when(F.col("l._n").isNotNull(), "rules").otherwise("model").alias("side"),
+        "rule_order",
+        "model_order",
+    )
+    told = compare_columns("rule_order", "model_order")
+    names = pairs.select(*told).columns
+    return pairs.select(key, "n", "side", *[F.when(F.col("side") == "both", c).alias(n) for c, n in zip(told, names)])
 
 
 def accuracy(

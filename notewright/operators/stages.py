@@ -87,9 +87,12 @@ def number(v: Column) -> Column:
     return shown(v).try_cast("double")
 
 
-def add_steps(df: DataFrame, responses: dict[str, str], extractor: str) -> DataFrame:
+def add_steps(
+    df: DataFrame, responses: dict[str, str], extractor: str, durations: dict[str, str] | None = None
+) -> DataFrame:
     """For every ``stage: response column`` add ``step_<stage>``, the step struct,
     ``out_<stage>``, its outputs as variant, and ``ans_<stage>``, the answer's parsed keys.
+    ``durations`` names the columns with the stages' milliseconds.
 
     No response, JSON that is not an object, or a confidence that is no number gives the
     fallback step; text that is not JSON is kept as findings at low confidence. Those have
@@ -170,6 +173,7 @@ def add_steps(df: DataFrame, responses: dict[str, str], extractor: str) -> DataF
             .alias("confidence"),
             F.col(f"out_{s}").alias("outputs"),
             level.alias("state"),
+            (F.col(durations[s]) if durations else F.lit(None)).cast("long").alias("duration_ms"),
         )
 
     return read.select(

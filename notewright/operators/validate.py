@@ -23,7 +23,9 @@ from ..schema import (
     UNKNOWN,
     VALIDATION_TYPE,
     blank_order,
+    severity_rank,
 )
+from ..sources.completions import first_attempts, ranked_attempts
 from .responses import order_from_object
 
 # Issues of the basic check, penalty per issue, scores without a verdict.
@@ -70,6 +72,11 @@ def error_count(issues: Column) -> Column:
     return F.size(F.filter(issues, lambda i: i["severity"] == "Error"))
 
 
+def worst_severity(issues: Column) -> Column:
+    """The most serious severity among the issues, null without any."""
+    return F.get(F.array(*map(F.lit, SEVERITIES)), F.array_max(F.transform(issues, lambda i: severity_rank(i["severity"]))).cast("int"))
+
+
 def add_basic_validation(df: DataFrame, order: str, out: str = "validation") -> DataFrame:
     """The check that needs no model: is there a device, is there a patient."""
     found = F.col("_issues")
@@ -157,71 +164,102 @@ def needs_correction(validation: str = "validation", params: StagedParams = Stag
     return (column["score"] < params.score_threshold) & (F.size(column["issues"]) > 0)
 
 
-def correction_text(response: str) -> dict:
-    return {"_correction": (strip_fence(F.col(response)), ORDER_COLUMNS)}
-
-
-def parse_correction(
-    df: DataFrame, response: str, params: StagedParams = StagedParams(), out: str = "corrected"
-) -> DataFrame:
-    """A corrected order; null, or the default record if ``on_bad_correction`` says so,
-    where the response is not a JSON object."""
-    fixed = F.col("_correction")
-    order = F.when(fixed.isNotNull(), order_from_object(fixed))
-    if params.on_bad_correction == "blank":
-        order = F.when(F.col(response).isNotNull(), F.coalesce(order, blank_order()))
-    return with_objects(df, correction_text(response)).select(
-        *df.columns, order.cast(ORDER_TYPE).alias(out)
-    )
-
-
-def readable_corrections(
-    responses: DataFrame, params: StagedParams = StagedParams()
-) -> tuple[DataFrame, Column]:
-    """Responses, and the condition under which a correction among them may be used:
-    within the allowed number of attempts, and readable if others are to be passed over."""
-    allowed = F.col("attempt").between(1, params.max_corrections)
-    if params.on_bad_correction == "blank":
-        return responses, allowed
-    texts = correction_text("response")
-    if "stage" in responses.columns:  # other stages' texts are not corrections: a null is not parsed
-        text, keys = texts["_correction"]
-        texts = {"_correction": (F.when(F.col("stage") == "correction", text), keys)}
-    parsed = with_objects(responses, texts)
-    return parsed, allowed & F.col("_correction").isNotNull()
+def chosen_correction(df: DataFrame, fixes: list[str], due: Column, params: StagedParams, out: str, text: str | None = None) -> DataFrame:
+    """Add ``out``, the order of the last of the responses ``fixes`` that can be read, and
+    ``text``, if named, that response; null unless ``due``. With ``on_bad_correction`` ``blank`` the
+    last response counts, and the default record stands for one that can't be read."""
+    texts = {f"_fix_{i}": (F.when(due, strip_fence(F.col(fix))), ORDER_COLUMNS) for i, fix in enumerate(fixes)}
+    orders, taken = [], []
+    for i, fix in enumerate(fixes):
+        parsed = F.col(f"_fix_{i}")
+        order = F.when(parsed.isNotNull(), order_from_object(parsed))
+        if params.on_bad_correction == "blank":
+            given = due & F.col(fix).isNotNull()
+            orders.append(F.when(given, F.coalesce(order, blank_order())).cast(ORDER_TYPE))
+            taken.append(F.when(given, F.col(fix)))
+        else:
+            orders.append(order.cast(ORDER_TYPE))
+            taken.append(F.when(parsed.isNotNull(), F.col(fix)))
+    shown = [F.coalesce(*reversed(orders)).alias(out)] + ([F.coalesce(*reversed(taken)).alias(text)] if text else [])
+    return with_objects(df, texts).select(*df.columns, *shown)
 
 
 def latest_corrections(
     corrections: DataFrame, params: StagedParams = StagedParams(), key: str = "note_id"
 ) -> DataFrame:
-    """``(note_id, correction)``: per note the last usable attempt. The rest is dropped
-    before the shuffle, and the aggregate combines map-side."""
-    read, usable = readable_corrections(corrections, params)
-    return (
-        read.filter(usable)
-        .groupBy(key)
-        .agg(F.max_by("response", "attempt").alias("correction"))
-    )
+    """``(note_id, correction, n_passed_over)``: per note with attempts on record the last usable
+    one among its first ``max_corrections``, counted from its least attempt, and how many
+    attempts were not taken: unreadable ones, those without an answer, and those beyond the
+    limit. One aggregate with buffers of a fixed size, which combines map-side."""
+    n = params.max_corrections
+    name = "correction"
+    read = corrections.groupBy(key).agg(F.count("*").alias("_n"), *first_attempts(F.lit(True), n, name))
+    fixes = [f"_text_{i}" for i in range(n)]
+    texts = read.select(key, "_n", *[t.alias(f) for t, f in zip(ranked_attempts(n, name), fixes)])
+    chosen = chosen_correction(texts, fixes, F.lit(True), params, "_order", "correction")
+    return chosen.select(key, "correction", (F.col("_n") - F.col("correction").isNotNull().cast("int")).alias("n_passed_over"))
 
 
 def apply_correction(
     df: DataFrame,
     order: str,
-    correction: str,
+    fixes: list[str],
     params: StagedParams = StagedParams(),
     out: str = "final_order",
 ) -> DataFrame:
-    """The corrected order where one was needed and is there, else the order as it was."""
-    if not params.self_correction:
+    """The corrected order where one was needed and is there, else the order as it was. Only
+    responses of orders that need one are parsed."""
+    if not params.self_correction or not fixes:
         return df.select("*", F.col(order).alias(out), F.lit(False).alias("was_corrected"))
-    fixed = parse_correction(df, correction, params, "_corrected")
-    done = needs_correction(params=params) & F.col("_corrected").isNotNull()
+    needed = F.coalesce(needs_correction(params=params), F.lit(False))
+    fixed = chosen_correction(df.select("*", needed.alias("_needed")), fixes, F.col("_needed"), params, "_corrected")
     return fixed.select(
-        "*", F.coalesce(done, F.lit(False)).alias("was_corrected")
-    ).select(
         *df.columns,
-        "was_corrected",
-        F.when(F.col("was_corrected"), F.col("_corrected")).otherwise(F.col(order)).alias(out),
+        F.coalesce("_corrected", order).alias(out),
+        F.col("_corrected").isNotNull().alias("was_corrected"),
+    )
+
+
+def validation_rounds(
+    df: DataFrame,
+    order: str,
+    due: Column,
+    verdicts: list[str],
+    fixes: list[str],
+    params: StagedParams = StagedParams(),
+    out: str = "final_order",
+) -> DataFrame:
+    """Check, correct, and check again, for the rows where ``due``: adds ``out``, ``was_corrected``,
+    ``validation``, the last verdict, and ``rounds``, the number of verdicts.
+
+    An order that scores too low is corrected by the next of ``fixes``; a corrected order has
+    a verdict of its own, the next of ``verdicts`` or, where that is missing or unreadable, the basic
+    check. A correction that can't be read leaves order and verdict as they are. It ends where a
+    verdict is good enough or the corrections are used up, so with n corrections there are n + 1
+    verdicts at most. Texts of rounds that a row doesn't reach are not parsed."""
+    kept = df.columns
+    state = df.select(
+        "*", F.col(order).alias("_now"), F.coalesce(due, F.lit(False)).alias("_due"),
+        F.lit(None).cast(VALIDATION_TYPE).alias("_verdict_now"), F.lit(0).alias("_rounds"), F.lit(False).alias("_was"),
+    )
+    told = F.array(*map(F.col, verdicts)) if verdicts else F.array(F.lit(None).cast("string"))
+    for fix in [*(fixes if params.self_correction else []), None]:
+        asked = state.select("*", F.when(F.col("_due"), F.get(told, F.col("_rounds"))).alias("_told"))
+        checked = validate(asked, "_now", "_told", params, "_checked")
+        verdict_now = F.when(F.col("_due"), F.col("_checked")).otherwise(F.col("_verdict_now"))
+        state = checked.select(
+            *kept, "_now", "_due", "_was", verdict_now.alias("_verdict_now"), (F.col("_rounds") + F.col("_due").cast("int")).alias("_rounds")
+        )
+        if fix is None:
+            break
+        needed = F.coalesce(needs_correction("_verdict_now", params), F.lit(False))
+        fixed = chosen_correction(state.select("*", needed.alias("_needed")), [fix], F.col("_needed"), params, "_fixed")
+        took = F.col("_fixed").isNotNull()
+        state = fixed.select(
+            *kept, F.coalesce("_fixed", "_now").alias("_now"), took.alias("_due"), (F.col("_was") | took).alias("_was"), "_verdict_now", "_rounds"
+        )
+    return state.select(
+        *kept, F.col("_now").alias(out), F.col("_was").alias("was_corrected"), F.col("_verdict_now").alias("validation"), F.col("_rounds").alias("rounds")
     )
 
 

@@ -43,17 +43,26 @@ class RuleParams:
 
 @dataclass(frozen=True)
 class ModelParams:
-    """``available`` says whether a completion source (live or replayed) exists at all."""
+    """``available`` says whether a completion source (live or replayed) exists at all. A single
+    pass whose answer can't be read is left to the rules: over the note (``on_bad_response``
+    ``note``), or over the answer's own text (``response``)."""
 
     available: bool = False
+    on_bad_response: str = "note"
     model: str = MODEL_NAME
     max_tokens: int = MODEL_MAX_TOKENS
     temperature: float = MODEL_TEMPERATURE
 
+    def __post_init__(self):
+        if self.on_bad_response not in ("note", "response"):
+            raise ValueError(f"{self.on_bad_response!r} is not 'note' or 'response'")
+
 
 @dataclass(frozen=True)
 class StagedParams:
-    """``on_model_failure``: ``rules`` uses the rule order at confidence 0.5 where the
+    """``mode``: ``Fast`` asks the extractor stage alone, ``Standard`` all four, with one verdict and one
+    correction; ``Thorough`` checks a corrected order again, until it is good enough or
+    ``max_corrections`` are used up. ``on_model_failure``: ``rules`` uses the rule order at confidence 0.5 where the
     extractor stage gave nothing usable; ``unknown`` keeps the empty order at the default
     confidence. ``on_bad_validation``: ``basic`` checks the order itself, ``accept`` takes
     an unreadable verdict as valid. ``on_bad_correction``: ``keep`` or ``blank``."""
@@ -92,6 +101,9 @@ class PostParams:
 
 @dataclass(frozen=True)
 class JobParams:
+    """``run_id`` names the run in its results; a new one is made where it is empty."""
+
+    run_id: str = ""
     files: FileParams = field(default_factory=FileParams)
     rules: RuleParams = field(default_factory=RuleParams)
     device_rules: tuple[DeviceRule, ...] = DEVICE_RULES

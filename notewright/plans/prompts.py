@@ -100,12 +100,24 @@ def single_request(notes: DataFrame, model: ModelParams = ModelParams()) -> Data
     return request(notes, SINGLE_PASS, SINGLE_SYSTEM, fill(SINGLE_PROMPT, F.col("text")), model)
 
 
+def quoted(text: Column) -> Column:
+    """A text as a JSON string: what is between the brackets of an array that holds it alone."""
+    array = F.to_json(F.array(text))
+    return F.substring(array, F.lit(2), F.length(array) - 2)
+
+
 def previous_outputs(stage: str, available: tuple[str, ...]) -> Column | None:
     """What a stage is told of the ones before it: the extractor sees the analysis, the
-    validator the extraction, the assessor extraction and validation merged."""
+    validator the extraction, the assessor extraction and validation merged. JSON with its keys in
+    order, so that the same outputs make the same request."""
     if stage == ASSESSOR and {EXTRACTOR, VALIDATOR} <= set(available):
         merged = merge_outputs(F.col(f"out_{EXTRACTOR}"), F.col(f"out_{VALIDATOR}"))
-        return F.to_json(merged)
+        by_key = F.array_sort(
+            F.map_entries(merged),
+            lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0),
+        )
+        members = F.transform(by_key, lambda e: F.concat(quoted(e["key"]), F.lit(":"), F.to_json(e["value"])))
+        return F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
     if stage == VALIDATOR and EXTRACTOR in available:
         return F.to_json(F.col(f"out_{EXTRACTOR}"))
     if stage == EXTRACTOR and available:

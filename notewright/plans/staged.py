@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
 from dataclasses import replace
 from functools import reduce
 
@@ -28,10 +28,10 @@ from ..operators.stages import (
 )
 from ..operators.validate import (
     apply_correction,
+    chosen_correction,
     needs_correction,
-    parse_correction,
-    readable_corrections,
     validate,
+    validation_rounds,
 )
 from ..params import JobParams, ModelParams, RuleParams, StagedParams
 from ..schema import VALIDATION_TYPE, or_blank, pack_order
@@ -41,7 +41,7 @@ from ..sources.completions import (
     Completion,
     attach_responses,
     complete,
-    error_column,
+    duration_column,
     response_column,
 )
 from .prompts import (
@@ -63,6 +63,7 @@ RESULT_COLUMNS = (
     "steps",
     "validation",
     "was_corrected",
+    "rounds",
     "parse_state",
 )
 
@@ -94,10 +95,23 @@ def with_single_order(df: DataFrame, response: str, out: str = "single_order") -
     return parse_response(df, response, "_single").select(*df.columns, order.alias(out))
 
 
+def with_single_or_rules(df: DataFrame, response: str, out: str, job: JobParams, text: str = "text") -> DataFrame:
+    """The single-pass model order as ``out``, or else the rule order: of the note, or of an answer
+    that is there and can't be read if ``on_bad_response`` says so."""
+    kept, read = df.columns, parse_response(df, response, "_single")
+    source = F.col(text)
+    if job.model.on_bad_response == "response":
+        source = F.when(F.col("_single").isNull() & F.col(response).isNotNull(), F.col(response)).otherwise(source)
+    ruled = with_rule_order(read.withColumn("_rule_text", source), "_ruled", job.rules, job.device_rules, "_rule_text")
+    return ruled.select(*kept, F.coalesce("_single", "_ruled").alias(out))
+
+
 def run_stages(df: DataFrame, params: StagedParams) -> DataFrame:
     """Response columns to ``steps``, the extractor's order and the run's confidence."""
     stages = MODE_STAGES[params.mode]
-    stepped = add_steps(df, {s: response_column(s) for s in stages}, EXTRACTOR)
+    timed = {s: duration_column(s) for s in stages}
+    timed = timed if set(timed.values()) <= set(df.columns) else None
+    stepped = add_steps(df, {s: response_column(s) for s in stages}, EXTRACTOR, timed)
     parsed = parse_answer(stepped, f"ans_{EXTRACTOR}", "staged_order")
     tokens = reduce(Column.__add__, [tokens_used(F.col(f"ans_{s}")) for s in stages])
     confidence = F.lit(DEFAULT_CONFIDENCE)
@@ -141,56 +155,91 @@ def with_fallback(df: DataFrame, job: JobParams, single_response: str | None) ->
     that need them pay for them."""
     back, kept = F.col("_fell_back"), df.columns
     needed = df.select("*", F.when(back, F.col("text")).alias("_back_text"))
-    needed = with_rule_order(needed, "rule_order", job.rules, job.device_rules, "_back_text")
-    fallback = "rule_order"
-    if single_response is not None:
+    if single_response is None:
+        needed = with_rule_order(needed, "_back_order", job.rules, job.device_rules, "_back_text")
+    else:
         given = needed.withColumn("_back_response", F.when(back, F.col(single_response)))
-        needed, fallback = with_single_order(given, "_back_response", "single_order"), "single_order"
-    order = F.when(back, F.col(fallback)).otherwise(F.col("staged_order"))
+        needed = with_single_or_rules(given, "_back_response", "_back_order", job, "_back_text")
+    order = F.when(back, F.col("_back_order")).otherwise(F.col("staged_order"))
     return needed.select(*kept, order.alias("_order"))
 
 
+def run_metadata(df: DataFrame, job: JobParams, run_id: str) -> list[Column]:
+    """What a result tells of its run. The time is that of all attempts on record, null where the log
+    has none; a note that fell back has no further map, as no stages ran to an end for it."""
+    staged = job.staged
+    spent = [F.col(c) for c in df.columns if c.startswith(duration_column(""))]
+    total = reduce(Column.__add__, [F.coalesce(c, F.lit(0)) for c in spent]) if spent else F.lit(None)
+    more = F.create_map(
+        F.lit("ExtractionMode"), F.lit(staged.mode), F.lit("RequiredValidation"), F.lit(str(staged.require_validation)),
+        F.lit("ProcessingTimestamp"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+    )
+    return [
+        F.lit(run_id).alias("run_id"),
+        F.current_timestamp().alias("processed_at"),
+        total.cast("long").alias("duration_ms"),
+        F.when(~F.col("_fell_back"), more).alias("additional"),
+        F.lit(len(MODE_STAGES[staged.mode])).alias("n_steps"),
+    ]
+
+
 def staged_extract(
     df: DataFrame,
     job: JobParams = JobParams(),
     single_response: str | None = None,
-    validation_response: str | None = None,
-    correction_response: str | None = None,
+    verdicts: list[str] | None = None,
+    fixes: list[str] | None = None,
 ) -> DataFrame:
-    """Notes with ``resp_<stage>`` columns to the result columns.
+    """Notes with ``resp_<stage>`` columns to the result columns. ``verdicts`` and ``fixes`` name
+    the columns of the validation and correction responses, in the order of asking.
 
     Everything from here on is a projection: the only shuffle of a replayed run is the one
     that brought the responses to the notes."""
-    params = job.staged
+    params, verdicts, fixes = job.staged, verdicts or [], fixes or []
     result = with_fallback(settle(run_stages(df, params), params), job, single_response)
-    if params.require_validation:
-        result = validate(result, "_order", validation_response, params, "_checked")
-        # a note that fell back is not validated: its order did not come from the stages
-        checked = F.when(~F.col("_fell_back"), F.col("_checked"))
+    # a note that fell back is not validated: its order did not come from the stages
+    stands = ~F.col("_fell_back")
+    if not params.require_validation:
+        result = result.select(
+            "*", F.lit(None).cast(VALIDATION_TYPE).alias("validation"), F.col("_order").alias("_final"),
+            F.lit(False).alias("was_corrected"), F.lit(0).alias("rounds"),
+        )
+    elif params.mode == "Thorough":
+        result = validation_rounds(result, "_order", stands, verdicts, fixes, params, "_final")
     else:
-        checked = F.lit(None).cast(VALIDATION_TYPE)
-    result = result.select("*", checked.alias("validation"))
-    if params.require_validation and correction_response is not None:
-        result = apply_correction(result, "_order", correction_response, params, "_final")
+        result = validate(result, "_order", verdicts[-1] if verdicts else None, params, "_checked")
+        result = result.select("*", F.when(stands, F.col("_checked")).alias("validation"), stands.cast("int").alias("rounds"))
+        result = apply_correction(result, "_order", fixes, params, "_final")
+    told = run_metadata(df, job, job.run_id or uuid.uuid4().hex)
+    return result.select(*df.columns, or_blank("_final").alias("order"), *RESULT_COLUMNS[1:], *told)
+
+
+def asked_for(params: StagedParams) -> tuple[tuple[str, ...], dict[str, int], list[str], list[str]]:
+    """Stages whose responses a run reads, how many attempts of which count one by one, and the
+    columns of its verdicts and corrections."""
+    stages, ranked = MODE_STAGES[params.mode] + (SINGLE_PASS, VALIDATION, CORRECTION), {}
+    verdicts, fixes = [response_column(VALIDATION)], []
+    if params.max_corrections > 0:
+        ranked[CORRECTION] = params.max_corrections
+        fixes = [response_column(CORRECTION, i) for i in range(1, params.max_corrections + 1)]
     else:
-        result = result.select(
-            "*", F.col("_order").alias("_final"), F.lit(False).alias("was_corrected")
-        )
-    return result.select(
-        *df.columns, or_blank("_final").alias("order"), *RESULT_COLUMNS[1:]
-    )
+        stages = stages[:-1]
+    if params.mode == "Thorough":
+        ranked[VALIDATION] = params.max_corrections + 1
+        verdicts = [response_column(VALIDATION, i) for i in range(1, params.max_corrections + 2)]
+    return stages, ranked, verdicts, fixes
 
 
 def replay(notes: DataFrame, responses: DataFrame, job: JobParams = JobParams()) -> DataFrame:
     """Staged extraction from a table of past responses ``(note_id, stage, attempt,
     response)``; single-pass, validation and correction answers are in the same table
-    under their stage names, so that one join brings everything."""
-    stages = MODE_STAGES[job.staged.mode] + (SINGLE_PASS, VALIDATION, CORRECTION)
-    responses, usable = readable_corrections(responses, job.staged)
-    df = attach_responses(notes, responses, stages, {CORRECTION: usable})
-    single, verdict, fix = map(response_column, (SINGLE_PASS, VALIDATION, CORRECTION))
-    result = staged_extract(df, job, single, verdict, fix)
-    return result.drop(*map(response_column, stages))
+    under their stage names, so that one join brings everything. In ``Thorough`` mode the
+    attempts at validation are the verdicts of one round after the other."""
+    stages, ranked, verdicts, fixes = asked_for(job.staged)
+    df = attach_responses(notes, responses, stages, ranked)
+    result = staged_extract(df, job, response_column(SINGLE_PASS), verdicts, fixes)
+    made = [c for c in result.columns if c not in df.columns]
+    return result.select(*notes.columns, *made)
 
 
 def replay_modes(
@@ -208,93 +257,95 @@ def replay_modes(
     return df.select("note_id", F.inline(F.array(*found)))
 
 
+class Log:
+    """What a live run has asked so far: written tables ``(note_id, stage, attempt, response,
+    error, duration_ms)``, without the notes' texts."""
+
+    def __init__(self, completion: Completion, model: ModelParams):
+        self.completion, self.model, self.parts = completion, model, []
+
+    def ask(self, requests: DataFrame, stage: str, attempt: Column | int) -> DataFrame:
+        """Put a request for every row and keep the answers; a lost executor repeats no request of a
+        table that is written."""
+        number = (attempt if isinstance(attempt, Column) else F.lit(attempt)).cast("int")
+        asked = requests.select("note_id", number.alias("attempt"), *REQUEST_COLUMNS)
+        told = complete(asked, self.completion, "response", error="error", duration="duration_ms")
+        self.parts.append(materialize(told, f"{stage}-answers"))
+        return self.parts[-1]
+
+    def table(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.parts)
+
+
 def run_live(
     notes: DataFrame, completion: Completion, job: JobParams = JobParams()
 ) -> DataFrame:
     """Staged extraction that asks ``completion`` as it goes.
 
-    Each stage is a narrow step on the rows where they are, and its answers are written to
-    the shared folder before the next stage reads them, so that a lost executor never
-    causes a second round of requests for finished stages. Notes whose stages fail are asked
-    about in a single pass, and only where that gives nothing do the rules stand in. An
-    order that fails the check is asked about again until an answer can be read, at most
-    ``max_corrections`` times. ``model_errors`` names the exception of each failed request."""
+    The answers of each stage are written to the shared folder before the next stage reads
+    them, as rows of a log without the notes' texts, so that a lost executor never causes a
+    second round of requests for finished stages; the result is the replay of that log.
+    Notes whose stages fail are asked about in a single pass, and only where that gives
+    nothing do the rules stand in. An order that fails the check is asked about again, at
+    most ``max_corrections`` times: until an answer can be read, and in ``Thorough`` mode until
+    the corrected order passes a check of its own. Each round takes the notes that the one
+    before left over. ``model_errors`` names the exception of each failed request."""
     model, staged = job.model, job.staged
-    done: tuple[str, ...] = ()
-    answered = df = notes
+    log, done = Log(completion, model), ()
     for stage in MODE_STAGES[staged.mode]:
-        asked = stage_request(df, stage, model, staged, done)
-        df = complete(asked, completion, response_column(stage), error=error_column(stage))
+        df = notes
+        if done:
+            attached = attach_responses(notes, log.table(), done)
+            df = add_steps(attached, {s: response_column(s) for s in done}, EXTRACTOR).select(*notes.columns, *[f"out_{s}" for s in done])
+        log.ask(stage_request(df, stage, model, staged, done), stage, 1)
         done = (*done, stage)
-        answered = materialize(df.drop("stage"), f"stage-{stage}").select(
-            *notes.columns, *map(response_column, done), *map(error_column, done)
-        )
-        df = add_steps(answered, {s: response_column(s) for s in done}, EXTRACTOR).select(
-            *answered.columns, *[f"out_{s}" for s in done]
-        )
     # written first, so that the filter reads a flag and does not repeat the work behind it
-    settled = settle(run_stages(answered, staged), staged)
+    settled = settle(run_stages(attach_responses(notes, log.table(), done), staged), staged)
     settled = materialize(settled.select("note_id", "path", "text", "_fell_back"), "settled")
-    singles = ask(settled.filter("_fell_back"), single_request, SINGLE_PASS, completion, model)
-    single, verdict, fix = map(response_column, (SINGLE_PASS, VALIDATION, CORRECTION))
-    answered, done = answered.join(singles, "note_id", "left"), (*done, SINGLE_PASS)
-    if not staged.require_validation:
-        return with_errors(staged_extract(answered, job, single), done)
-    draft = staged_extract(answered, job, single).withColumn("_draft", F.col("order"))
-    asked = validation_request(draft, "_draft", model)
-    requests = [c for c in asked.columns if c not in draft.columns]
-    answered = complete(
-        asked.select(*answered.columns, *requests), completion, verdict, error=error_column(VALIDATION)
-    )
-    answered, done = materialize(answered.drop("stage"), "validation"), (*done, VALIDATION)
-    checked = staged_extract(answered, job, single, verdict)
-    if not staged.self_correction:
-        return with_errors(checked, done)
-    verdicts = materialize(
-        checked.select(
-            "note_id", "path", "text", F.col("order").alias("_draft"), "validation",
-            needs_correction(params=staged).alias("_needed"),
-        ),
-        "verdicts",
-    )
-    pending, fixes = verdicts.filter("_needed"), None
-    for attempt in range(1, staged.max_corrections + 1):
-
-        def request(df: DataFrame, model: ModelParams) -> DataFrame:
-            return correction_request(df, "_draft", "validation", model)
-
-        answers = ask(pending, request, CORRECTION, completion, model, f"correction-{attempt}")
-        read = parse_correction(answers, fix, staged, "_read")
-        # an answer that can't be read stands only if there is no further attempt
-        last = F.lit(attempt == staged.max_corrections)
-        final = materialize(
-            read.select(*answers.columns, (F.col("_read").isNotNull() | last).alias("_final")),
-            f"corrected-{attempt}",
-        ).filter("_final").drop("_final")
-        fixes = final if fixes is None else fixes.unionByName(final)
-        pending = pending.join(final.select("note_id"), "note_id", "left_anti")
-    if fixes is None:
-        return with_errors(checked, done)
-    corrected = answered.join(fixes, "note_id", "left")
-    return with_errors(staged_extract(corrected, job, single, verdict, fix), (*done, CORRECTION))
-
-
-def ask(
-    df: DataFrame, request: Callable, stage: str, completion: Completion, model: ModelParams, name: str = ""
-) -> DataFrame:
-    """``(note_id, resp_<stage>, err_<stage>)`` for every row of ``df``, written."""
-    asked = request(df, model).select("note_id", *REQUEST_COLUMNS)
-    answers = complete(asked, completion, response_column(stage), error=error_column(stage))
-    return materialize(answers.drop("stage"), name or stage)
+    log.ask(single_request(settled.filter("_fell_back"), model), SINGLE_PASS, 1)
+    if staged.require_validation:
+        check_live(notes, log, job)
+    told = log.table()
+    failed = F.map_from_entries(F.collect_list(F.struct("stage", "error")))
+    # a row a failed stage of a note, so a few a note
+    errors = told.groupBy("note_id", "stage").agg(F.max_by("error", "attempt").alias("error")).filter("error IS NOT NULL")
+    errors = errors.groupBy("note_id").agg(failed.alias("model_errors"))
+    none = F.create_map().cast("map<string,string>")
+    result = replay(notes, told.drop("error"), job).join(errors, "note_id", "left")
+    return result.withColumn("model_errors", F.coalesce("model_errors", none))
+
 
+PENDING = ("note_id", "path", "text", "_draft", "_rounds", "validation")
 
-def with_errors(df: DataFrame, stages: tuple[str, ...]) -> DataFrame:
-    """``err_<stage>`` columns as the map ``model_errors`` of those that are set."""
-    named = F.map_from_arrays(
-        F.array(*map(F.lit, stages)), F.array(*[F.col(error_column(s)) for s in stages])
+
+def check_live(notes: DataFrame, log: Log, job: JobParams) -> None:
+    """Verdicts and corrections, round by round. What is pending, the notes whose order scored too
+    low, with that order and verdict, shrinks from one round to the next."""
+    model, staged = job.model, job.staged
+    unchecked = replace(job, staged=replace(staged, require_validation=False))
+    drafts = replay(notes, log.table(), unchecked).select(
+        "note_id", "path", "text", F.col("order").alias("_draft"), F.lit(0).alias("_rounds"), "extractor_version"
     )
-    errors = F.map_filter(named, lambda stage, reason: reason.isNotNull())
-    return df.withColumn("model_errors", errors).drop(*map(error_column, stages))
+    # written first, as above
+    drafts, waiting = materialize(drafts, "drafts").filter(F.col("extractor_version") == EXTRACTOR_VERSION), []
+    for number in range(1, staged.max_corrections + 2):
+        if drafts is not None:
+            told = log.ask(validation_request(drafts, "_draft", model), VALIDATION, F.col("_rounds") + 1)
+            asked = drafts.drop("validation").join(told.select("note_id", "response"), "note_id", "left")
+            checked = validate(asked.withColumn("_rounds", F.col("_rounds") + 1), "_draft", "response", staged)
+            waiting = [*waiting, checked.select(*PENDING)]
+        verdicts = reduce(DataFrame.unionByName, waiting)
+        verdicts = materialize(verdicts.withColumn("_needed", needs_correction(params=staged)), f"verdicts-{number}")
+        pending = verdicts.filter("_needed")
+        if number > staged.max_corrections or not staged.self_correction or pending.isEmpty():
+            return
+        answers = log.ask(correction_request(pending, "_draft", "validation", model), CORRECTION, number)
+        answered = pending.join(answers.select("note_id", "response"), "note_id", "left")
+        fixed = materialize(chosen_correction(answered, ["response"], F.lit(True), staged, "_fixed"), f"corrected-{number}")
+        waiting = [fixed.filter("_fixed IS NULL").select(*PENDING)]
+        # without further rounds an order that was corrected is done
+        changed = fixed.filter("_fixed IS NOT NULL").withColumn("_draft", F.col("_fixed")).select(*PENDING)
+        drafts = changed if staged.mode == "Thorough" else None
 
 
 def run_single(notes: DataFrame, completion: Completion, model: ModelParams = ModelParams()) -> DataFrame:
@@ -302,5 +353,5 @@ def run_single(notes: DataFrame, completion: Completion, model: ModelParams = Mo
     answered = complete(
         single_request(notes, model), completion, response_column(SINGLE_PASS)
     ).drop("stage")
-    answered = with_rule_order(materialize(answered, "single"))
-    return with_single_order(answered, response_column(SINGLE_PASS), "order").drop("rule_order")
+    job = JobParams(model=model)
+    return with_single_or_rules(materialize(answered, "single"), response_column(SINGLE_PASS), "order", job)

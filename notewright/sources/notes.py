@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import BOM, file_stem
 from ..functions.variants import is_json, kind, raw_text, with_objects
 from ..params import FileParams
+from .listing import empty_files
 
 
 def file_filter(params: FileParams = FileParams()) -> str:
@@ -64,19 +65,10 @@ def open_envelopes(files: DataFrame, params: FileParams = FileParams()) -> DataF
     )
 
 
-def empty_files(spark: SparkSession, path: str, params: FileParams = FileParams()) -> list[str]:
-    """Paths of the empty note files of a folder or pattern."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = []
-    for status in store.globStatus(where) or []:
-        for file in store.listStatus(status.getPath()) if status.isDirectory() else [status]:
-            if file.isFile() and file.getLen() == 0:
-                uri = file.getPath().toUri()
-                name = uri.getPath().rsplit("/", 1)[1]
-                if name.endswith(params.extensions) and not name.startswith(("_", ".")):
-                    found.append(f"{uri.getScheme()}://{uri.getAuthority() or ''}{uri.getPath()}")
-    return found
+def with_empties(files: DataFrame, empties: DataFrame) -> DataFrame:
+    """``files`` and a row without text for every path of ``empties``, batch or stream."""
+    raw = F.lit("")
+    return files.unionByName(empties.select(note_key(F.col("path"), raw).alias("note_id"), "path", raw.alias("raw")))
 
 
 def read_notes(
@@ -88,10 +80,11 @@ def read_notes(
 ) -> DataFrame:
     """Notes of one folder (sub-folders are not entered), one row per file.
 
-    A folder that does not exist gives no rows; an empty file is an empty note, found by
-    listing the folder on the driver, as Spark's file sources skip it (``empties=False``
-    does without). They also pass over names that begin with ``_`` or ``.``; pass ``listing``, a table
-    with a ``path`` column, to have such files appear, as empty notes."""
+    A folder that does not exist gives no rows. An empty file is an empty note: Spark's file
+    sources skip it, so a listing source adds it, which reads folders in tasks and needs a
+    store that Arrow can open (``empties=False`` does without). Both pass over names that begin with
+    ``_`` or ``.``; pass ``listing``, a table with a ``path`` column, to have such files appear, as
+    empty notes."""
     if not params.batch_mode:
         raise ValueError("batch reading is switched off")
     try:
@@ -102,8 +95,7 @@ def read_notes(
             raise
         files = spark.createDataFrame([], "note_id string, path string, raw string")
     if empties:
-        rows = spark.createDataFrame([(p, "") for p in empty_files(spark, path, params)], "path string, raw string")
-        files = files.union(rows.select(note_key(F.col("path"), F.col("raw")), "path", "raw"))
+        files = with_empties(files, empty_files(spark, path, params.extensions))
     if listing is not None:
         raw = F.coalesce(F.col("raw"), F.lit(""))
         files = listing.select("path").join(files.select("path", "raw"), "path", "left")

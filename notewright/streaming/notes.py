@@ -13,7 +13,8 @@ from ..operators.shape import add_payload
 from ..params import FileParams, JobParams
 from ..plans.batch import process_notes
 from ..schema import order_columns
-from ..sources.notes import file_filter, open_envelopes, shape_files
+from ..sources.listing import empty_files
+from ..sources.notes import file_filter, open_envelopes, shape_files, with_empties
 
 
 def stream_files(
@@ -21,20 +22,26 @@ def stream_files(
     path: str,
     params: FileParams = FileParams(),
     files_per_trigger: int = 100_000,
+    empties: bool = True,
 ) -> DataFrame:
-    """Notes from files as they appear in a folder. The limit per trigger bounds the size
-    of one micro-batch, not what is read in the end."""
+    """Notes from files as they appear in a folder, empty files (``empties``) as empty notes. The
+    limit per trigger bounds the size of one micro-batch, not what is read in the end."""
     raw = (
         spark.readStream.schema("value string")
         .option("pathGlobFilter", file_filter(params))
         .option("maxFilesPerTrigger", files_per_trigger)
         .text(path, wholetext=True)
     )
-    return open_envelopes(shape_files(raw), params)
+    files = shape_files(raw)
+    if empties:
+        files = with_empties(files, empty_files(spark, path, params.extensions, stream=True))
+    return open_envelopes(files, params)
 
 
 def once_per_note(notes: DataFrame, time: str, delay: str) -> DataFrame:
-    """Drop notes delivered again within ``delay``. State is kept for that long only."""
+    """Drop notes delivered again within ``delay`` of event time ``time``, and those that arrive
+    later than ``delay`` behind the newest one of the batches before. State is kept for that
+    long only: a note that comes again after it is a delivery of its own."""
     return notes.withWatermark(time, delay).dropDuplicatesWithinWatermark(["note_id"])
 
 

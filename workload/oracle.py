@@ -239,6 +239,19 @@ SQL["batch_devices"] = (
     f"{ENVELOPES}, {extraction('SELECT note_id AS id, text AS body FROM opened WHERE status = ' + text('ok'), 'id', 'body')} "
     "SELECT device, count(*) AS notes FROM ext GROUP BY device"
 )
+SQL["batch_positions"] = (
+    f"{ENVELOPES}, {extraction('SELECT path AS id, text AS body FROM opened WHERE status = ' + text('ok'), 'id', 'body')} "
+    "SELECT row_number() OVER (ORDER BY path) AS position, path, status, device FROM opened LEFT JOIN ext ON ext.note_id = path"
+)
+SQL["empty_inputs"] = """SELECT s_suppkey, 'ok' AS status, CASE WHEN s_suppkey % 5 = 0 THEN 'Unknown' ELSE 'Walker' END AS device,
+  CASE WHEN s_suppkey % 5 = 0 THEN 'Unknown' ELSE s_name END AS patient_name FROM supplier"""
+# a note of the first delivery is known for two hours after its time; what is over two hours
+# behind the newest of the first is forgotten, and too late in the second
+SQL["stream_once"] = """WITH newest AS (SELECT max(ts) AS newest, date_trunc('milliseconds', max(ts)) - INTERVAL 2 HOURS AS mark FROM events)
+SELECT CAST(event_id AS VARCHAR) AS note_id, epoch_us(ts) AS ts_us, 1 AS delivery FROM events
+UNION ALL SELECT CAST(event_id AS VARCHAR), epoch_us(newest + INTERVAL 1 MINUTE), 2 FROM events, newest
+  WHERE event_id % 7 = 1 AND ts + INTERVAL 2 HOURS <= mark
+UNION ALL SELECT 'new-' || event_id, epoch_us(newest + INTERVAL 2 MINUTES), 2 FROM events, newest WHERE event_id % 11 = 0"""
 SQL["file_ingest"] = """SELECT s_suppkey, 'ok' AS status, 'Oxygen Tank' AS device,
   CAST(s_suppkey % 9 + 1 AS VARCHAR) || ' L' AS liters, 'sleep' AS usage, s_name AS patient_name
 FROM supplier"""
@@ -260,6 +273,7 @@ def json_object(keep_empty: bool = False) -> str:
 
 
 SQL["output_json"] = f"{EXTRACTED} SELECT note_id, {json_object()} AS json FROM ext"
+SQL["output_written"] = f"""{EXTRACTED} SELECT '{{"note_id":"' || note_id || '",' || substr({json_object()}, 2) AS line FROM ext"""
 SQL["payloads"] = f"""{NOTES},
 shaped AS (SELECT * REPLACE (
     CASE WHEN {pick("single", SINGLE_KINDS)} = 5 THEN ''
@@ -303,6 +317,7 @@ SELECT note_id,
   CAST(regexp_extract(script, '([0-9]+)$', 1) AS INTEGER) AS last_status,
   CAST(CASE script WHEN '503' THEN 7 ELSE power(2, length(script) - length(replace(script, ',', ''))) - 1 END
     AS DOUBLE) AS backoff_s FROM scripted"""
+SQL["post_sink"] = SQL["post_report"]
 SQL["repost_pending"] = f"""{EXTRACTED}
 SELECT note_id, CAST(length({json_object(keep_empty=True)}) AS INTEGER) AS payload_chars FROM ext
 WHERE {pick("settled", 3)} = 1"""
@@ -346,6 +361,14 @@ SQL["single_pass_result"] = (
     f"{BOTH}, done AS (SELECT note_id, {SINGLE_OR_RULE} FROM both_orders) "
     f"SELECT note_id, 'single' AS route, {FLAT} FROM done"
 )
+# the rules over an answer that can't be read: kinds 3 and 6; kind 7 is no answer
+SQL["single_pass_parity"] = f"""{SINGLE_ANSWER},
+mixed AS (SELECT t.note_id, CASE t.kind WHEN 3 THEN 'The note could not be read.' WHEN 6 THEN '[' || t.j || ']' ELSE m.text END AS text
+  FROM told t JOIN messy m ON m.note_id = t.note_id),
+{extraction("SELECT note_id, text FROM mixed", "note_id", "text").replace("SELECT *, text AS text FROM", "SELECT * FROM")},
+done AS (SELECT e.note_id, {", ".join(f"CASE WHEN a.readable THEN a.{c} ELSE e.{c} END AS {c}" for c in ORDER_COLUMNS)}
+  FROM ext e JOIN answer a ON a.note_id = e.note_id)
+SELECT note_id, 'single' AS route, {FLAT} FROM done"""
 
 
 def is_set_sql(name: str) -> str:
@@ -364,6 +387,18 @@ MATCHES = {
 SQL["compare_paths"] = f"{BOTH} SELECT note_id, readable, " + ", ".join(
     f"{sql} AS {name}" for name, sql in MATCHES.items()
 ) + " FROM both_orders"
+CONTENT = " || chr(2) || ".join(
+    f"coalesce({'array_to_string(add_ons, chr(1))' if c == 'add_ons' else c}, chr(3))" for c in ORDER_COLUMNS
+)
+SQL["compare_tables"] = f"""{BOTH},
+l AS (SELECT b.patient_name AS patient, row_number() OVER (PARTITION BY b.patient_name ORDER BY {CONTENT.replace('coalesce(', 'coalesce(e.').replace('e.array_to_string(', 'array_to_string(e.')}) AS n,
+  {", ".join(f"e.{c} AS r_{c}" for c in ORDER_COLUMNS)} FROM ext e JOIN base b ON b.note_id = e.note_id WHERE {pick("in_rules", 5, "e.note_id")} > 0),
+r AS (SELECT b.patient_name AS patient, row_number() OVER (PARTITION BY b.patient_name ORDER BY {CONTENT.replace('coalesce(', 'coalesce(a.').replace('a.array_to_string(', 'array_to_string(a.')}) AS n,
+  {", ".join(f"a.{c} AS m_{c}" for c in ORDER_COLUMNS)} FROM answer a JOIN base b ON b.note_id = a.note_id WHERE a.readable AND {pick("in_models", 5, "a.note_id")} > 1)
+SELECT coalesce(l.patient, r.patient) AS patient, coalesce(l.n, r.n) AS n,
+  CASE WHEN l.n IS NULL THEN 'model' WHEN r.n IS NULL THEN 'rules' ELSE 'both' END AS side,
+  {", ".join(f"CASE WHEN l.n IS NOT NULL AND r.n IS NOT NULL THEN {sql} END AS {name}" for name, sql in MATCHES.items())}
+FROM l FULL JOIN r ON l.patient = r.patient AND l.n = r.n"""
 SQL["compare_summary"] = (
     f"{BOTH} SELECT count(*) AS notes, count(*) FILTER (readable) AS readable, "
     + ", ".join(f"count(*) FILTER ({sql}) AS {name}" for name, sql in MATCHES.items())
@@ -388,18 +423,21 @@ SELECT note_id, NOT no_device AS is_valid,
   CAST(1.0 AS DOUBLE) - (no_device::INT + no_patient::INT) * CAST(0.2 AS DOUBLE) AS score,
   concat_ws('; ', CASE WHEN no_device THEN 'Device/Device type not identified/Error' END,
     CASE WHEN no_patient THEN 'PatientName/Patient name missing/Warning' END) AS issues,
-  no_device::INT AS errors FROM checked"""
+  no_device::INT AS errors, CASE WHEN no_device THEN 'Error' WHEN no_patient THEN 'Warning' END AS worst FROM checked"""
 SQL["validate_model"] = f"""{NOTES}, told AS (SELECT note_id, {pick("validation", SIX_KINDS)} AS kind FROM base)
 SELECT note_id, kind IN (0, 1, 4) AS readable,
   CASE kind WHEN 0 THEN TRUE WHEN 1 THEN FALSE WHEN 4 THEN FALSE END AS is_valid,
   CAST(CASE kind WHEN 0 THEN 0.95 WHEN 1 THEN 0.4 WHEN 4 THEN 0.65 END AS DOUBLE) AS score,
   CASE kind WHEN 0 THEN '' WHEN 1 THEN 'dob/differs/Critical/ask; //Warning'
     WHEN 4 THEN '/usage/Error' END AS issues,
-  CASE kind WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 4 THEN 1 END AS errors FROM told"""
+  CASE kind WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 4 THEN 1 END AS errors,
+  CASE kind WHEN 1 THEN 'Critical' WHEN 4 THEN 'Error' END AS worst FROM told"""
 SQL["correct_pick"] = f"""{NOTES},
 told AS (SELECT note_id, {json_object(keep_empty=True)} AS j, device, {pick("correction", FOUR_KINDS)} AS kind FROM clean)
-SELECT note_id, CASE kind WHEN 1 THEN '```' || j || '```'
-  ELSE '{{"device":"Corrected ' || device || '"}}' END AS correction FROM told WHERE kind <> 3"""
+SELECT note_id, CASE kind WHEN 1 THEN '```' || j || '```' WHEN 3 THEN NULL
+  ELSE '{{"device":"Corrected ' || device || '"}}' END AS correction,
+  CAST(CASE kind WHEN 3 THEN 3 ELSE 2 END AS BIGINT) AS n_passed_over FROM told"""
+SQL["correct_pick_shifted"] = SQL["correct_pick"]
 
 # --- quality ---------------------------------------------------------------------------
 
@@ -558,14 +596,79 @@ done AS (SELECT note_id, parse_state, was_corrected,
     + (CASE med WHEN 0 THEN 35 WHEN 1 THEN 1 ELSE 0 END) + (CASE ass WHEN 0 THEN 50 ELSE 0 END) END AS tokens_used,
   CASE WHEN failed THEN 'fallback_parser'
     ELSE 'document_analyzer,primary_extractor,medical_validator,confidence_assessor' END AS agents_used,
-  4 AS steps, CASE WHEN NOT failed THEN ok END AS is_valid, CASE WHEN NOT failed THEN points END AS score
-  FROM settled)
+  4 AS steps, CASE WHEN NOT failed THEN ok END AS is_valid, CASE WHEN NOT failed THEN points END AS score,
+  CASE WHEN NOT failed THEN 'Standard' END AS mode FROM settled)
 SELECT note_id, {FLAT}, confidence, extractor_version, tokens_used, agents_used, steps, is_valid,
-  score, was_corrected, parse_state FROM done"""
+  score, was_corrected, parse_state, mode FROM done"""
 
 
 SQL["staged_result"] = staged_sql(FAILED, PATCHED)
 SQL["staged_result_unknown"] = staged_sql("ass IN (3, 4)", BLANK, accept=True)
+GATED = SQL["staged_result"].replace(SQL["staged_result"][SQL["staged_result"].rindex("SELECT note_id, ") :], "")
+for name, condition in {"accepted_orders": "confidence >= 0.7", "review_orders": "confidence < 0.7"}.items():
+    SQL[name] = f"{GATED}SELECT note_id, {FLAT}, confidence FROM done WHERE {condition}"
+
+
+def verdict_sql(kind: str, issues: str) -> dict[str, str]:
+    """Issues, result and score of a verdict of a kind; ``issues`` is what the basic check counts."""
+    return {
+        "issues": f"CASE {kind} WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 4 THEN 1 ELSE {issues} END",
+        "points": f"CASE {kind} WHEN 0 THEN CAST(0.95 AS DOUBLE) WHEN 1 THEN CAST(0.4 AS DOUBLE) WHEN 4 THEN CAST(0.65 AS DOUBLE) "
+        f"ELSE CAST(1.0 AS DOUBLE) - ({issues}) * CAST(0.2 AS DOUBLE) END",
+    }
+
+
+ONE, TWO, THREE = verdict_sql("val", "no_device + no_patient"), verdict_sql("val2", "1"), verdict_sql("val3", "0")
+# correction 1 names a device alone (kinds 0 to 2), correction 2 the order wanted (kind 1)
+SQL["thorough_result"] = f"""{BOTH}, {KINDS}, {ANSWERED},
+joined AS (SELECT k.*, a.parse_state, {FAILED} AS failed, {pick("validation2", SIX_KINDS, "k.note_id")} AS val2,
+    {pick("validation3", SIX_KINDS, "k.note_id")} AS val3,
+    {", ".join(f"a.{c} AS a_{c}, w.{c} AS w_{c}, CASE WHEN b.readable THEN b.m_{c} ELSE b.r_{c} END AS f_{c}" for c in ORDER_COLUMNS)}
+  FROM kinds k JOIN answered a ON a.note_id = k.note_id JOIN clean w ON w.note_id = k.note_id
+  JOIN both_orders b ON b.note_id = k.note_id),
+basic AS (SELECT *, (coalesce(a_device, '') IN ('', 'Unknown'))::INT AS no_device,
+  (coalesce(a_patient_name, '') = '')::INT AS no_patient FROM joined),
+one AS (SELECT *, {ONE["issues"]} AS issues, {ONE["points"]} AS points,
+  CASE WHEN val = 0 THEN TRUE WHEN val IN (1, 4) THEN FALSE ELSE no_device = 0 END AS ok FROM basic),
+fix_one AS (SELECT *, NOT failed AND points < 0.7 AND issues > 0 AND cor <> 3 AS took FROM one),
+two AS (SELECT * REPLACE (CASE WHEN took THEN {TWO["issues"]} ELSE issues END AS issues, CASE WHEN took THEN {TWO["points"]} ELSE points END AS points,
+  CASE WHEN took THEN val2 NOT IN (1, 4) ELSE ok END AS ok) FROM fix_one),
+fix_two AS (SELECT *, took AND points < 0.7 AND issues > 0 AND cor = 1 AS again FROM two),
+three AS (SELECT * REPLACE (CASE WHEN again THEN {THREE["points"]} ELSE points END AS points,
+  CASE WHEN again THEN val3 NOT IN (1, 4) ELSE ok END AS ok) FROM fix_two),
+done AS (SELECT note_id, parse_state || '/' || CASE WHEN failed THEN 0 ELSE 1 + took::INT + again::INT END AS parse_state, took AS was_corrected,
+  {", ".join(f"CASE WHEN failed THEN f_{c} WHEN again THEN w_{c} WHEN took THEN {PATCHED[c]} ELSE a_{c} END AS {c}" for c in ORDER_COLUMNS)},
+  CAST(CASE WHEN failed THEN 0.5 ELSE {SURE} END AS DOUBLE) AS confidence,
+  CASE WHEN failed THEN 'FallbackParser' ELSE 'AgenticExtractor_v1.0' END AS extractor_version,
+  CASE WHEN failed THEN 0 ELSE (CASE WHEN ana < 2 THEN 120 ELSE 0 END)
+    + (CASE WHEN ext_kind < 7 THEN 210 WHEN ext_kind = 10 THEN 31 ELSE 0 END)
+    + (CASE med WHEN 0 THEN 35 WHEN 1 THEN 1 ELSE 0 END) + (CASE ass WHEN 0 THEN 50 ELSE 0 END) END AS tokens_used,
+  CASE WHEN failed THEN 'fallback_parser'
+    ELSE 'document_analyzer,primary_extractor,medical_validator,confidence_assessor' END AS agents_used,
+  4 AS steps, CASE WHEN NOT failed THEN ok END AS is_valid, CASE WHEN NOT failed THEN points END AS score,
+  CASE WHEN NOT failed THEN 'Thorough' END AS mode FROM three)
+SELECT note_id, {FLAT}, confidence, extractor_version, tokens_used, agents_used, steps, is_valid,
+  score, was_corrected, parse_state, mode FROM done"""
+
+
+def spent(stage: str, attempts: int, answered: str = "TRUE") -> str:
+    """Milliseconds of a stage's attempts, null where none is on record."""
+    each = " + ".join(f"{pick('ms', 900, f"(note_id || '-{stage}-{n}')")} + 100" for n in range(1, attempts + 1))
+    return f"CASE WHEN {answered} THEN {each} END"
+
+
+STAGE_MS = {
+    "document_analyzer": spent("document_analyzer", 1, "ana < 3"),
+    "primary_extractor": spent("primary_extractor", 2, "ext_kind < 11"),
+    "medical_validator": spent("medical_validator", 1, "med < 3"),
+    "confidence_assessor": spent("confidence_assessor", 1, "ass < 5"),
+}
+OTHER_MS = (
+    spent("single_pass", 1, f"{pick('single', SINGLE_KINDS)} < 7"), spent("validation", 1, "val < 5"), spent("correction", 3),
+)
+SQL["run_timings"] = f"""{NOTES}, {KINDS}
+SELECT note_id, {" + ".join(f"coalesce({ms}, 0)" for ms in (*STAGE_MS.values(), *OTHER_MS))} AS duration_ms,
+  {", ".join(f"{ms} AS {stage}_ms" for stage, ms in STAGE_MS.items())} FROM kinds"""
 SQL["mode_consistency"] = f"""{BOTH}, {KINDS}, {ANSWERED},
 found AS (SELECT k.note_id, a.device AS staged, ext_kind IN (9, 11) AS no_answer, {FAILED} AS failed,
     CASE WHEN b.readable THEN b.m_device ELSE b.r_device END AS back
@@ -636,16 +739,71 @@ def filled(template: str, *values: str) -> str:
     return " || ".join([parts[0], *[f"({v}) || {part}" for v, part in zip(values, parts[1:])]])
 
 
+def json_text(sql: str) -> str:
+    return f"""('"' || replace({sql}, '"', '\\"') || '"')"""
+
+
+def json_members(keys: dict) -> str:
+    return members({k: v if v.startswith("(") else text(v) for k, v in keys.items()})
+
+
+READ_JSON = {"reasoning": '"read"', "confidence": "0.9", "tokens_used": "210"}
+UNREAD_JSON = {"reasoning": '"Response parsing failed"', "confidence": "0.3", "tokens_used": "0"}
+NO_MODEL_JSON = {
+    "reasoning": '"Fallback execution - no AI analysis performed"', "confidence": "0.5", "tokens_used": "0",
+    "findings": '"Limited analysis available without AI"',
+}
+NESTED = f"""('{{"device_order":{{"device_type":"' || device || '","diagnosis_or_medical_justification":" d ",{SPECS}{{"additional_features":["strap",2,"hose"],"mask_type":"nasal"}},"ordering_provider":null}}}}')"""
+EXTRACTOR_JSON = {
+    0: READ_JSON | {"device_order": "(s)"},
+    1: READ_JSON | {"device_order": "(s)"},
+    2: READ_JSON | {"device_order": json_text("j")},
+    3: READ_JSON | {"device_order": '"see below"', "findings": "(s)", "device_type": json_text("device"), "provider": json_text("ordering_provider")},
+    4: READ_JSON | {"findings": json_text("j")},
+    5: READ_JSON | {"device_order": "null", "findings": NESTED},
+    6: READ_JSON | {"findings": '{"device_order":{"device_type":4}}', "device": json_text("device"), "patient": '"P"', "liters": "2.5", "usage": "true"},
+    7: {"device": "null", "device_type": json_text("device"), "ordering_provider": json_text("ordering_provider"), "mask_type": '"m"'},
+    8: UNREAD_JSON | {"findings": json_text("'Device: ' || device")},
+    10: {"confidence": '"0.65"', "tokens_used": '"31"', "findings": f"""('{{"device_order":{{"device":"' || device || '",{SPECS}{{"additional_features":"hose"}}}}}}')"""},
+}
+VALIDATOR_JSON = {
+    0: {"reasoning": '"complete"', "confidence": "0.7", "tokens_used": "35"},
+    1: {"confidence": "1", "medical_flags": '["f"]', "tokens_used": "true"},
+}
+ANALYZER_JSON = {
+    n: {"reasoning": '"two sections"', "confidence": "0.85", "tokens_used": "120.5", "key_sections": '["a","b"]'} for n in (0, 1)
+} | {2: UNREAD_JSON | {"findings": '"no structure"'}}
+
+
+def outputs_sql(kind: str, answers: dict) -> str:
+    cases = " ".join(f"WHEN {n} THEN {json_members(keys)}" for n, keys in answers.items())
+    return f"SELECT note_id, unnest(CASE {kind} {cases} ELSE {json_members(NO_MODEL_JSON)} END) AS m FROM outs"
+
+
+def earlier(parts: str) -> str:
+    """Members by key as one object a note; of members with one key the last source's."""
+    return f"""SELECT note_id, 'Earlier findings:' || chr(10) || '{{' || string_agg('"' || key || '":' || value, ',' ORDER BY key) || '}}' || chr(10) AS told
+  FROM (SELECT note_id, m.key AS key, arg_max(m.value, source) AS value FROM ({parts}) GROUP BY ALL) GROUP BY note_id"""
+
+
+PREVIOUS = {
+    "primary_extractor": earlier("SELECT *, 1 AS source FROM by_analyzer"),
+    "medical_validator": earlier("SELECT *, 1 AS source FROM by_extractor"),
+    "confidence_assessor": earlier("SELECT *, 1 AS source FROM by_extractor UNION ALL SELECT *, 2 FROM by_validator"),
+}
+STAGE_FIELDS = {stage.stage: stage.fields for stage in STAGES}
+
+
+def stage_sql(stage: str, told: str) -> str:
+    return filled(
+        STAGE_PROMPT, text(STAGE_TASKS[stage]), text(DOCUMENT_TYPE), "'Standard'", "'notes/' || note_id || '.txt'", told, "text",
+        text(", ".join(COMMON_FIELDS + STAGE_FIELDS[stage])),
+    )
+
+
 ASKED = {
     "single_pass": (filled(SINGLE_PROMPT, "text"), 0.7),
-    "document_analyzer": (
-        filled(
-            STAGE_PROMPT, text(STAGE_TASKS["document_analyzer"]), text(DOCUMENT_TYPE), "'Standard'",
-            "'notes/' || note_id || '.txt'", "''", "text",
-            text(", ".join(COMMON_FIELDS + STAGES[0].fields)),
-        ),
-        STAGE_TEMPERATURE_CAP,
-    ),
+    "document_analyzer": (stage_sql("document_analyzer", "''"), STAGE_TEMPERATURE_CAP),
     "validation": (filled(VALIDATION_PROMPT, "j", "text"), STAGE_TEMPERATURE_CAP),
     "correction": (filled(CORRECTION_PROMPT, "j", "issues", "text"), STAGE_TEMPERATURE_CAP),
 }
@@ -659,8 +817,16 @@ draft AS (SELECT a.note_id, m.text, {", ".join(f"CASE WHEN a.readable THEN a.{c}
 drafted AS (SELECT note_id, text, {json_object(keep_empty=True)} AS j,
   '[' || concat_ws(',', CASE WHEN coalesce(device, '') IN ('', 'Unknown') THEN {ISSUE_JSON["device"]} END,
     CASE WHEN coalesce(patient_name, '') = '' THEN {ISSUE_JSON["patient"]} END) || ']' AS issues FROM draft),
+{KINDS},
+outs AS (SELECT c.*, k.ana, k.ext_kind, k.med, {json_object(keep_empty=True)} AS j, {IN_ORDER} AS s FROM clean c JOIN kinds k ON k.note_id = c.note_id),
+by_analyzer AS ({outputs_sql("ana", ANALYZER_JSON)}),
+by_extractor AS ({outputs_sql("ext_kind", EXTRACTOR_JSON)}),
+by_validator AS ({outputs_sql("med", VALIDATOR_JSON)}),
 prompted AS ({" UNION ALL ".join(
-    f"SELECT note_id, '{stage}' AS stage, CAST({t} AS DOUBLE) AS temperature, {prompt} AS prompt FROM drafted"
-    for stage, (prompt, t) in ASKED.items())})
+    [f"SELECT note_id, '{stage}' AS stage, CAST({t} AS DOUBLE) AS temperature, {prompt} AS prompt FROM drafted"
+     for stage, (prompt, t) in ASKED.items()]
+    + [f"SELECT note_id, '{stage}', CAST({STAGE_TEMPERATURE_CAP} AS DOUBLE), {stage_sql(stage, 'told')} "
+       f"FROM (SELECT d.note_id, d.text, p.told FROM drafted d JOIN ({previous}) p ON p.note_id = d.note_id)"
+       for stage, previous in PREVIOUS.items()])})
 SELECT note_id, stage, '{MODEL_NAME}' AS model, CAST({MODEL_MAX_TOKENS} AS INTEGER) AS max_tokens, temperature,
   md5(prompt) AS prompt_md5 FROM prompted"""

@@ -22,6 +22,7 @@ from notewright.operators.quality import (
     accuracy,
     all_rows,
     compare_columns,
+    compare_orders,
     consistency,
     consistency_markers,
     field_count,
@@ -38,7 +39,7 @@ from notewright.operators.responses import (
     parse_response,
 )
 from notewright.operators.rules import DEVICE_RULES, DeviceRule, rule_hits
-from notewright.operators.shape import add_payload, output_json
+from notewright.operators.shape import add_payload, output_json, write_orders
 from notewright.operators.stages import ANALYZER, EXTRACTOR, STAGES, VALIDATOR, add_steps
 from notewright.operators.synth import pick, random_orders
 from notewright.operators.validate import (
@@ -47,20 +48,24 @@ from notewright.operators.validate import (
     confidence_gate,
     error_count,
     latest_corrections,
+    worst_severity,
 )
 from notewright.params import MODES, JobParams, ModelParams, PostParams, RuleParams, StagedParams
 from notewright.plans.batch import (
     batch_lines,
-    batch_summary,
     choose_route,
     device_report,
     failed_inputs,
+    presented,
     process_notes,
     route_order,
+    split_by_confidence,
+    write_batch,
 )
 from notewright.plans.prompts import (
     CORRECTION,
     SINGLE_PASS,
+    VALIDATION,
     correction_request,
     single_request,
     stage_request,
@@ -70,19 +75,25 @@ from notewright.plans.staged import replay, replay_modes, stage_table, with_rule
 from notewright.schema import ORDER_COLUMNS
 from notewright.session import configure, materialize, run_dir
 from notewright.sources.completions import attach_responses, response_column
+from notewright.sinks.orders_api import post_to_report
 from notewright.sources.notes import notes_from_table, open_envelopes, read_notes
-from notewright.streaming.notes import order_stream, write_stream
+from notewright.streaming.notes import once_per_note, order_stream, stream_files, write_stream
 
 from .tables import (
     attempt_log,
     clean_notes,
+    delivered_again,
     extractor_response,
     messy_notes,
     patient_rows,
+    shifted_attempts,
     single_response,
     stage_responses,
     table,
+    timed_responses,
     validation_response,
+    verdict_rounds,
+    write_files,
 )
 
 
@@ -290,6 +301,39 @@ def stream_extract(spark, sf_dir):
     return written.select("note_id", "file_name", "status", *flat_columns())
 
 
+def empty_inputs(spark, sf_dir):
+    """One file per supplier, every fifth of them empty, arriving as a stream."""
+    configure(spark)
+    suppliers, folder = table(spark, sf_dir, "supplier"), run_dir(spark, "arriving")
+    note = F.format_string("Patient Name: %s\nPatient requires walker.", "s_name")
+    path = F.concat(F.lit(f"{folder}/in/"), F.col("s_suppkey").cast("string"), F.lit(".txt"))
+    content = F.when(F.pmod(F.col("s_suppkey"), F.lit(5)) == 0, "").otherwise(note)
+    materialize(write_files(suppliers.select(path.alias("path"), content.alias("content"))), "arriving-files")
+    stream = order_stream(stream_files(spark, f"{folder}/in"))
+    write_stream(stream, f"{folder}/orders", f"{folder}/progress").awaitTermination()
+    written = spark.read.schema(stream.schema).parquet(f"{folder}/orders")
+    return written.select(F.col("file_name").cast("bigint").alias("s_suppkey"), "status", "device", "patient_name")
+
+
+DELIVERY_DELAY = "2 hours"
+
+
+def stream_once(spark, sf_dir):
+    """Events as notes that arrive in two deliveries, the second with repeats, new notes and one that
+    is too late, through a stream that is stopped between them and keeps its state."""
+    configure(spark, plan=False)
+    events, folder = table(spark, sf_dir, "events"), run_dir(spark, "deliveries")
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    newest = events.agg(F.max("ts")).first()[0]
+    first = events.select(F.col("event_id").cast("string").alias("note_id"), "ts", F.lit(1).alias("delivery"))
+    for delivery in (first, delivered_again(events, newest)):
+        delivery.write.mode("append").parquet(f"{folder}/in")
+        arriving = spark.readStream.schema(first.schema).parquet(f"{folder}/in")
+        write_stream(once_per_note(arriving, "ts", DELIVERY_DELAY), f"{folder}/once", f"{folder}/progress").awaitTermination()
+    once = spark.read.schema(first.schema).parquet(f"{folder}/once")
+    return once.select("note_id", F.unix_micros("ts").alias("ts_us"), "delivery")
+
+
 # --- published and posted orders -------------------------------------------------------
 
 
@@ -298,6 +342,13 @@ def output_json_lines(spark, sf_dir):
     return found.select("note_id", output_json().alias("json"))
 
 
+def output_written(spark, sf_dir):
+    """Published orders as they stand in the written files."""
+    folder = run_dir(spark, "published")
+    write_orders(extract_orders(notes(spark, sf_dir)), folder)
+    return spark.read.text(folder).select(F.col("value").alias("line"))
+
+
 def payloads(spark, sf_dir):
     """Posted form of loosely read orders, where empty strings occur and are kept."""
     answers = with_objects(
@@ -371,14 +422,27 @@ SCRIPTS = ("200", "503,503,201", "404", ",500,200", "503", "429,400")
 REACHABLE = PostParams(base_url="https://orders.example.org")
 
 
-def post_report(spark, sf_dir):
+def scripted_orders(spark, sf_dir) -> DataFrame:
     script = F.element_at(
         F.array(*[F.lit(x) for x in SCRIPTS]),
         (pick(F.col("note_id"), "script", len(SCRIPTS)) + 1).cast("int"),
     )
-    found = extract_orders(notes(spark, sf_dir)).withColumn("qualifier", script)
-    report = post_orders(add_payload(found), scripted_transport(), REACHABLE, wait=lambda s: None)
-    return report.select("note_id", "outcome", "attempts", "last_status", "backoff_s")
+    return add_payload(extract_orders(notes(spark, sf_dir)).withColumn("qualifier", script))
+
+
+REPORT = ("note_id", "outcome", "attempts", "last_status", "backoff_s")
+
+
+def post_report(spark, sf_dir):
+    report = post_orders(scripted_orders(spark, sf_dir), scripted_transport(), REACHABLE, wait=lambda s: None)
+    return report.select(*REPORT)
+
+
+def post_sink(spark, sf_dir):
+    """The same orders through the sink, and the report that it leaves."""
+    folder = run_dir(spark, "posted")
+    report = post_to_report(scripted_orders(spark, sf_dir), folder, scripted_transport(), REACHABLE, lambda s: None)
+    return report.select(*REPORT)
 
 
 def repost_pending(spark, sf_dir):
@@ -417,6 +481,14 @@ def single_pass_result(spark, sf_dir):
     return done.select("note_id", "route", *flat_order("order"))
 
 
+def single_pass_parity(spark, sf_dir):
+    """As ``single_pass_result``, with the rules over the answer's text where it can't be read."""
+    source = notes(spark, sf_dir)
+    job = JobParams(model=ModelParams(available=True, on_bad_response="response"))
+    done = process_notes(source.drop("expected"), job, stage_responses(source))
+    return done.select("note_id", "route", *flat_order("order"))
+
+
 def stage_steps(spark, sf_dir):
     """Every step of every note: what was concluded from each stage's answer."""
     source = notes(spark, sf_dir)
@@ -478,24 +550,27 @@ def outputs_merge(spark, sf_dir):
 
 
 def stage_prompts(spark, sf_dir):
-    """Requests of the single pass, the first stage, the check and the correction, and the
-    settings they go with. The order checked is the single pass's, or the one wanted."""
+    """Requests of the single pass, all stages, the check and the correction, and the settings
+    they go with. Later stages are told what earlier ones found. The order checked is the single
+    pass's, or the one wanted."""
     source = notes(spark, sf_dir)
     model = ModelParams(available=True, temperature=0.7)
     told = parse_response(source.withColumn("r", single_response()), "r").withColumn(
         "draft", F.coalesce("model_order", "expected")
     )
     told = add_basic_validation(told, "draft").select("note_id", "path", "text", "draft", "validation")
+    stages = tuple(s.stage for s in STAGES)
+    answered = attach_responses(source.select("note_id", "path", "text"), stage_responses(source), stages[:-1])
+    answered = add_steps(answered, {s: response_column(s) for s in stages[:-1]}, EXTRACTOR)
     parts = (
         single_request(told, model),
         stage_request(told, ANALYZER, model),
+        *[stage_request(answered, stage, model, available=stages[:i]) for i, stage in enumerate(stages) if i],
         validation_request(told, "draft", model),
         correction_request(told, "draft", "validation", model),
     )
-    asked = reduce(DataFrame.unionByName, parts)
-    return asked.select(
-        "note_id", "stage", "model", "max_tokens", "temperature", F.md5("prompt").alias("prompt_md5")
-    )
+    shown = ("note_id", "stage", "model", "max_tokens", "temperature", F.md5("prompt").alias("prompt_md5"))
+    return reduce(DataFrame.unionByName, [part.select(*shown) for part in parts])
 
 
 def stage_lookup(spark, sf_dir):
@@ -503,7 +578,7 @@ def stage_lookup(spark, sf_dir):
     the table. The stage table is broadcast: it has four rows whatever the data."""
     log = stage_responses(notes(spark, sf_dir))
     joined = log.join(F.broadcast(stage_table(spark)), "stage", "left")
-    return joined.groupBy("stage", "ordinal", "name", "role").agg(F.count("*").alias("responses"))
+    return joined.groupBy("stage", "ordinal", "name", "role").agg(F.count("response").alias("responses"))
 
 
 def staged_job(**changes) -> JobParams:
@@ -518,11 +593,12 @@ def staged_columns(df: DataFrame) -> DataFrame:
         "extractor_version",
         "tokens_used",
         F.array_join("agents_used", ",").alias("agents_used"),
-        F.size("steps").alias("steps"),
+        F.col("n_steps").alias("steps"),
         F.col("validation.is_valid").alias("is_valid"),
         F.col("validation.score").alias("score"),
         "was_corrected",
         "parse_state",
+        F.col("additional")["ExtractionMode"].alias("mode"),
     )
 
 
@@ -542,6 +618,22 @@ def staged_result_unknown(spark, sf_dir):
     return staged_columns(replay(source.drop("expected"), stage_responses(source), job))
 
 
+def thorough_result(spark, sf_dir):
+    """A run that checks corrected orders again, over a log with three verdicts a note."""
+    source = notes(spark, sf_dir)
+    log = stage_responses(source).filter(F.col("stage") != VALIDATION).unionByName(verdict_rounds(source))
+    done = replay(source.drop("expected"), log, staged_job(mode="Thorough"))
+    return staged_columns(done.withColumn("parse_state", F.concat_ws("/", "parse_state", "rounds")))
+
+
+def run_timings(spark, sf_dir):
+    """How long the stages of each note's run and the whole run took, from a timed log."""
+    source = notes(spark, sf_dir)
+    done = replay(source.drop("expected"), timed_responses(stage_responses(source)), staged_job())
+    steps = [F.col("steps")[i]["duration_ms"].alias(f"{s.stage}_ms") for i, s in enumerate(STAGES)]
+    return done.select("note_id", "duration_ms", *steps)
+
+
 def mode_consistency(spark, sf_dir):
     """Devices found in each mode, and whether a note has the same one in all."""
     source = notes(spark, sf_dir)
@@ -562,6 +654,7 @@ def validation_columns(name: str) -> list:
         F.col(f"{name}.score").alias("score"),
         F.array_join(shown, "; ").alias("issues"),
         F.when(issues.isNotNull(), error_count(issues)).alias("errors"),
+        worst_severity(issues).alias("worst"),
     ]
 
 
@@ -580,9 +673,17 @@ def validate_model(spark, sf_dir):
     )
 
 
+def corrections(spark, sf_dir) -> DataFrame:
+    return stage_responses(clean_notes(patients(spark, sf_dir))).filter(F.col("stage") == CORRECTION)
+
+
 def correct_pick(spark, sf_dir):
-    log = stage_responses(clean_notes(patients(spark, sf_dir)))
-    return latest_corrections(log.filter(F.col("stage") == CORRECTION))
+    return latest_corrections(corrections(spark, sf_dir))
+
+
+def correct_pick_shifted(spark, sf_dir):
+    """The same from logs that start at 0, at 1, or far beyond the limit."""
+    return latest_corrections(shifted_attempts(corrections(spark, sf_dir)))
 
 
 def confidence_split(spark, sf_dir):
@@ -592,6 +693,23 @@ def confidence_split(spark, sf_dir):
     return done.groupBy(gate.alias("gate"), "confidence").agg(F.count("*").alias("notes"))
 
 
+def gated(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    source = notes(spark, sf_dir)
+    done = replay(source.drop("expected"), stage_responses(source), staged_job())
+    done = done.select("note_id", *flat_order("order"), "confidence")
+    return split_by_confidence(done, run_dir(spark, "gated"))
+
+
+def accepted_orders(spark, sf_dir):
+    """The table of orders that are sure enough."""
+    return gated(spark, sf_dir)[0]
+
+
+def review_orders(spark, sf_dir):
+    """The table of orders for someone to look at."""
+    return gated(spark, sf_dir)[1]
+
+
 # --- batch and quality -----------------------------------------------------------------
 
 
@@ -616,9 +734,19 @@ def batch_report(spark, sf_dir):
 
 
 def batch_totals(spark, sf_dir):
+    """Counts taken while the batch is written."""
     configure(spark, plan=False)
     files = envelope_files(table(spark, sf_dir, "documents"))
-    return batch_summary(process_notes(open_envelopes(files)))
+    done = write_batch(open_envelopes(files), run_dir(spark, "batch"))
+    return spark.createDataFrame([(done.total, done.processed, done.failed)], "total long, processed long, failed long")
+
+
+def batch_positions(spark, sf_dir):
+    """The batch in the order of its paths."""
+    configure(spark, plan=False)
+    files = envelope_files(table(spark, sf_dir, "documents"))
+    placed = presented(process_notes(open_envelopes(files)))
+    return placed.select("position", "path", "status", F.col("order.device").alias("device"))
 
 
 def batch_devices(spark, sf_dir):
@@ -648,6 +776,17 @@ def compare_paths(spark, sf_dir):
     )
 
 
+def compare_tables(spark, sf_dir):
+    """Two order tables by patient, with several orders a patient on either side, or on one only."""
+    key = F.col("note_id")
+    found = with_rule_order(notes(spark, sf_dir)).filter(pick(key, "in_rules", 5) > 0)
+    rules = found.select(F.col("expected.patient_name").alias("patient"), "rule_order.*")
+    told = parse_response(clean_notes(patients(spark, sf_dir)).withColumn("r", single_response()), "r")
+    told = told.filter((pick(key, "in_models", 5) > 1) & F.col("model_order").isNotNull())
+    models = told.select(F.col("expected.patient_name").alias("patient"), "model_order.*")
+    return compare_orders(rules, models, "patient")
+
+
 def compare_summary(spark, sf_dir):
     rows = compare_paths(spark, sf_dir)
     return rows.agg(
@@ -731,18 +870,23 @@ QUERIES = {
     "envelope_unwrap": envelope_unwrap,
     "failed_inputs": failed_input_files,
     "file_ingest": file_ingest,
+    "empty_inputs": empty_inputs,
     "stream_extract": stream_extract,
+    "stream_once": stream_once,
     "output_json": output_json_lines,
+    "output_written": output_written,
     "payloads": payloads,
     "retry_plan": retry_plan,
     "retryable_statuses": retryable_statuses,
     "delivery_outcomes": delivery_outcomes,
     "posting_gate": posting_gate,
     "post_report": post_report,
+    "post_sink": post_sink,
     "repost_pending": repost_pending,
     "fence_strip": fence_strip,
     "response_order": response_order,
     "single_pass_result": single_pass_result,
+    "single_pass_parity": single_pass_parity,
     "stage_steps": stage_steps,
     "outputs_order": outputs_order,
     "findings_order": findings_shape,
@@ -751,18 +895,25 @@ QUERIES = {
     "stage_lookup": stage_lookup,
     "staged_result": staged_result,
     "staged_result_unknown": staged_result_unknown,
+    "thorough_result": thorough_result,
+    "run_timings": run_timings,
     "mode_consistency": mode_consistency,
     "validate_basic": validate_basic,
     "validate_model": validate_model,
     "correct_pick": correct_pick,
+    "correct_pick_shifted": correct_pick_shifted,
     "confidence_gate": confidence_split,
+    "accepted_orders": accepted_orders,
+    "review_orders": review_orders,
     "route_fallback": route_fallback,
     "batch_report": batch_report,
     "batch_totals": batch_totals,
+    "batch_positions": batch_positions,
     "batch_devices": batch_devices,
     "quality_fields": quality_fields,
     "quality_fill": quality_fill,
     "compare_paths": compare_paths,
+    "compare_tables": compare_tables,
     "compare_summary": compare_summary,
     "consistency": repeat_consistency,
     "consistency_marks": consistency_marks,

@@ -250,8 +250,8 @@ def assessor_response() -> Column:
     )
 
 
-def validation_response() -> Column:
-    kind = pick(F.col("note_id"), "validation", SIX_KINDS)
+def validation_response(salt: str = "validation") -> Column:
+    kind = pick(F.col("note_id"), salt, SIX_KINDS)
     return (
         F.when(kind == 0, F.lit('{"is_valid":true,"validation_score":0.95,"issues":[]}'))
         .when(
@@ -285,7 +285,7 @@ def correction_responses(order: str = "expected") -> Column:
 
 def stage_responses(notes: DataFrame) -> DataFrame:
     """``(note_id, stage, attempt, response)``: a log of answers, with stale first attempts
-    at the extractor stage."""
+    at the extractor stage. Attempts at a correction are on record without an answer as well."""
     stale = '{"device_order":{"device":"Stale"}}'
     answers = {
         "document_analyzer": analyzer_response(),
@@ -318,7 +318,65 @@ def stage_responses(notes: DataFrame) -> DataFrame:
         ),
     )
     log = notes.select("note_id", F.inline(F.concat(F.array(*rows), fixes)))
-    return log.filter(F.col("response").isNotNull())
+    return log.filter(F.col("response").isNotNull() | (F.col("stage") == CORRECTION))
+
+
+def verdict_rounds(notes: DataFrame) -> DataFrame:
+    """Three verdicts of each note, the first as in ``stage_responses``; some had no answer."""
+    rows = [
+        F.struct(F.lit(VALIDATION).alias("stage"), F.lit(n).alias("attempt"), validation_response(salt).alias("response"))
+        for n, salt in enumerate(("validation", "validation2", "validation3"), 1)
+    ]
+    return notes.select("note_id", F.inline(F.array(*rows)))
+
+
+ATTEMPT_SHIFTS = (-1, 0, 4, 100)
+
+
+def shifted_attempts(log: DataFrame) -> DataFrame:
+    """The log with attempts numbered from 0, 1, 5 or 101."""
+    shift = choose(F.col("note_id"), "shift", ATTEMPT_SHIFTS)
+    return log.withColumn("attempt", F.col("attempt") + shift)
+
+
+def timed_responses(log: DataFrame) -> DataFrame:
+    """The log with the milliseconds that each attempt took."""
+    draw = F.concat_ws("-", "note_id", "stage", F.col("attempt").cast("string"))
+    return log.withColumn("duration_ms", pick(draw, "ms", 900) + 100)
+
+
+def delivered_again(events: DataFrame, newest) -> DataFrame:
+    """``(note_id, ts, delivery)`` of a second delivery: every third event half an hour after its
+    time, some a minute after the newest of the first, some notes that are new, and one that is
+    too late."""
+    key = F.col("event_id")
+    name = key.cast("string")
+    kinds = [
+        (F.when(key % 3 == 0, name), F.col("ts") + F.expr("INTERVAL 30 MINUTES")),
+        (F.when(key % 7 == 1, name), F.lit(newest) + F.expr("INTERVAL 1 MINUTE")),
+        (F.when(key % 11 == 0, F.concat(F.lit("new-"), name)), F.lit(newest) + F.expr("INTERVAL 2 MINUTES")),
+        (F.when(key == 1, F.lit("late")), F.col("ts")),
+    ]
+    kinds = F.array(*[F.struct(note.alias("note_id"), time.alias("ts")) for note, time in kinds])
+    rows = events.select(F.inline(kinds)).filter("note_id IS NOT NULL")
+    return rows.withColumn("delivery", F.lit(2))
+
+
+def write_files(rows: DataFrame) -> DataFrame:
+    """Write ``(path, content)`` rows as files, empty ones as well, and return their paths."""
+
+    def run(batches):
+        from notewright.sources.listing import open_folder
+
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                store, file, _ = open_folder(path)
+                store.create_dir(file.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(file) as out:
+                    out.write(content.encode())
+            yield batch[["path"]]
+
+    return rows.select("path", "content").mapInPandas(run, "path string")
 
 
 def attempt_log(orders: DataFrame) -> DataFrame:
