@@ -16,11 +16,12 @@ IN_PARTITION = (1 << 33) - 1  # monotonically_increasing_id: the partition above
 
 def with_position(df: DataFrame, *order: str | Column, name: str = "position", label: str = "positions") -> DataFrame:
     """``df`` with ``name``: 1 for the first row in the order, 2 for the next, and so on. Nulls
-    come first; equal rows are numbered in any order. The sorted table is written once, so
-    that numbers stay as they are when a task is repeated."""
+    come first; equal rows are numbered in any order. The rows are written before they are
+    sorted, as finding the ranges reads them once more, and after it, so that numbers stay as
+    they are when a task is repeated."""
     part, row = f"_{name}_part", f"_{name}_row"
     number = F.monotonically_increasing_id()
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = materialize(df, label).repartitionByRange(*order).sortWithinPartitions(*order)
     placed = ranged.withColumn(row, number)
     placed = materialize(
         placed.withColumn(part, F.shiftright(row, 33)).withColumn(row, F.col(row).bitwiseAND(F.lit(IN_PARTITION))), label

@@ -47,6 +47,9 @@ def random_orders(df: DataFrame, key: str, devices: tuple[str, ...] = RANDOM_DEV
     )
 
 
+# The sentences and the labelled lines that notes are made of, below.
+
+
 def note_sentence() -> Column:
     """The request sentence for the order columns of the row."""
     device, add_ons = F.col("device"), F.col("add_ons")

@@ -301,10 +301,10 @@ def run_live(
         done = (*done, stage)
     # written first, so that the filter reads a flag and does not repeat the work behind it
     settled = settle(run_stages(attach_responses(notes, log.table(), done), staged), staged)
-    settled = materialize(settled.select("note_id", "path", "text", "_fell_back"), "settled")
+    settled = materialize(settled.select("note_id", "path", "text", "_fell_back", "staged_order"), "settled")
     log.ask(single_request(settled.filter("_fell_back"), model), SINGLE_PASS, 1)
     if staged.require_validation:
-        check_live(notes, log, job)
+        check_live(settled.filter("NOT _fell_back"), log, job)
     told = log.table()
     failed = F.map_from_entries(F.collect_list(F.struct("stage", "error")))
     # a row a failed stage of a note, so a few a note
@@ -318,16 +318,13 @@ def run_live(
 PENDING = ("note_id", "path", "text", "_draft", "_rounds", "validation")
 
 
-def check_live(notes: DataFrame, log: Log, job: JobParams) -> None:
-    """Verdicts and corrections, round by round. What is pending, the notes whose order scored too
-    low, with that order and verdict, shrinks from one round to the next."""
+def check_live(settled: DataFrame, log: Log, job: JobParams) -> None:
+    """Verdicts and corrections of the notes whose stages gave an order, round by round. What is
+    pending, the notes whose order scored too low, with that order and verdict, shrinks from one
+    round to the next."""
     model, staged = job.model, job.staged
-    unchecked = replace(job, staged=replace(staged, require_validation=False))
-    drafts = replay(notes, log.table(), unchecked).select(
-        "note_id", "path", "text", F.col("order").alias("_draft"), F.lit(0).alias("_rounds"), "extractor_version"
-    )
-    # written first, as above
-    drafts, waiting = materialize(drafts, "drafts").filter(F.col("extractor_version") == EXTRACTOR_VERSION), []
+    drafts = settled.select("note_id", "path", "text", F.col("staged_order").alias("_draft"), F.lit(0).alias("_rounds"))
+    waiting: list[DataFrame] = []
     for number in range(1, staged.max_corrections + 2):
         if drafts is not None:
             told = log.ask(validation_request(drafts, "_draft", model), VALIDATION, F.col("_rounds") + 1)

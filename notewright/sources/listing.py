@@ -66,7 +66,9 @@ class Listing:
         self.extensions = tuple(options.get("extensions", ".txt,.json").split(","))
         self.empty = options.get("empty", "false") == "true"
 
-    def list(self, part: Folder) -> Iterator[tuple[str, int, int]]:
+    def list(self, part: Folder | None) -> Iterator[tuple[str, int, int]]:
+        if part is None:  # what Spark gives a task where there are no partitions
+            return
         for row in files(part.path, self.extensions, self.empty):
             if row[2] > part.since and (part.until is None or row[2] <= part.until):
                 yield row
@@ -76,7 +78,7 @@ class ListingReader(Listing, DataSourceReader):
     def partitions(self) -> list[Folder]:
         return [Folder(f) for f in folders(self.path)]
 
-    def read(self, partition: Folder) -> Iterator[tuple[str, int, int]]:
+    def read(self, partition: Folder | None) -> Iterator[tuple[str, int, int]]:
         yield from self.list(partition)
 
 
@@ -94,7 +96,7 @@ class ListingStreamReader(Listing, DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[Folder]:
         return [Folder(f, start["until"], end["until"]) for f in folders(self.path)]
 
-    def read(self, partition: Folder) -> Iterator[tuple[str, int, int]]:
+    def read(self, partition: Folder | None) -> Iterator[tuple[str, int, int]]:
         yield from self.list(partition)
 
     def commit(self, end: dict) -> None:

@@ -7,6 +7,7 @@ from notewright.operators.extract import extract_orders
 from notewright.operators.rules import DEVICE_LABELS
 from notewright.params import RuleParams
 
+# Golden notes, and the orders that they must give.
 HEADER = "Patient Name: {}\nDOB: {}\nDiagnosis: {}\nOrdering Physician: {}\n"
 
 CASES = [

@@ -782,8 +782,10 @@ def compare_tables(spark, sf_dir):
     found = with_rule_order(notes(spark, sf_dir)).filter(pick(key, "in_rules", 5) > 0)
     rules = found.select(F.col("expected.patient_name").alias("patient"), "rule_order.*")
     told = parse_response(clean_notes(patients(spark, sf_dir)).withColumn("r", single_response()), "r")
+    # written first, so that the filter reads a flag and repeats no parsing
+    told = materialize(told.select("note_id", F.col("expected.patient_name").alias("patient"), "model_order"), "answers")
     told = told.filter((pick(key, "in_models", 5) > 1) & F.col("model_order").isNotNull())
-    models = told.select(F.col("expected.patient_name").alias("patient"), "model_order.*")
+    models = told.select("patient", "model_order.*")
     return compare_orders(rules, models, "patient")
 
 

@@ -71,8 +71,8 @@ def clean_notes(patients: DataFrame) -> DataFrame:
 def messy_notes(patients: DataFrame) -> DataFrame:
     """``(note_id, path, raw, text, status, error, expected)``: the same notes with line
     ends, labels, order of mention and side remarks as they vary in practice."""
-    notes = clean_notes(patients)
-    text, layout = F.col("text"), pick(F.col("note_id"), "layout", LAYOUTS)
+    notes = clean_notes(patients).withColumn("_layout", pick(F.col("note_id"), "layout", LAYOUTS))
+    text, layout = F.col("text"), F.col("_layout")
     expected = F.col("expected")
     dob_line = F.concat(F.lit("DOB: "), expected["dob"])
     varied = (
@@ -129,9 +129,14 @@ def order_text(order: str = "expected") -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
-def single_response(order: str = "expected") -> Column:
+def drawn(kind: Column | None, salt: str, n: int) -> Column:
+    """A kind that is drawn already, or drawn here."""
+    return pick(F.col("note_id"), salt, n) if kind is None else kind
+
+
+def single_response(order: str = "expected", kind: Column | None = None, text: Column | None = None) -> Column:
     """A single-pass answer of one of eight kinds; null where the model gave none."""
-    kind, text = pick(F.col("note_id"), "single", SINGLE_KINDS), order_text(order)
+    kind, text = drawn(kind, "single", SINGLE_KINDS), order_text(order) if text is None else text
     device = F.col(f"{order}.device")
     return (
         F.when(kind == 0, text)
@@ -154,9 +159,9 @@ def single_response(order: str = "expected") -> Column:
     )
 
 
-def extractor_response(order: str = "expected") -> Column:
+def extractor_response(order: str = "expected", kind: Column | None = None, text: Column | None = None) -> Column:
     """An extractor answer of one of twelve kinds, one per way of giving the order."""
-    kind, text = pick(F.col("note_id"), "extractor", EXTRACTOR_KINDS), order_text(order)
+    kind, text = drawn(kind, "extractor", EXTRACTOR_KINDS), order_text(order) if text is None else text
     device, provider = F.col(f"{order}.device"), F.col(f"{order}.ordering_provider")
     quoted = F.replace(text, F.lit('"'), F.lit('\\"'))
     lead = '{"reasoning":"read","confidence":0.9,"tokens_used":210,'
@@ -220,8 +225,8 @@ def extractor_response(order: str = "expected") -> Column:
     )
 
 
-def analyzer_response() -> Column:
-    kind = pick(F.col("note_id"), "analyzer", FOUR_KINDS)
+def analyzer_response(kind: Column | None = None) -> Column:
+    kind = drawn(kind, "analyzer", FOUR_KINDS)
     told = '{"reasoning":"two sections","confidence":0.85,"tokens_used":120.5,"key_sections":["a","b"]}'
     return (
         F.when(kind == 0, F.lit(told))
@@ -230,8 +235,8 @@ def analyzer_response() -> Column:
     )
 
 
-def validator_response() -> Column:
-    kind = pick(F.col("note_id"), "validator", FOUR_KINDS)
+def validator_response(kind: Column | None = None) -> Column:
+    kind = drawn(kind, "validator", FOUR_KINDS)
     return (
         F.when(kind == 0, F.lit('{"reasoning":"complete","confidence":0.7,"tokens_used":35}'))
         .when(kind == 1, F.lit('{"confidence":1,"medical_flags":["f"],"tokens_used":true}'))
@@ -239,8 +244,8 @@ def validator_response() -> Column:
     )
 
 
-def assessor_response() -> Column:
-    kind = pick(F.col("note_id"), "assessor", SIX_KINDS)
+def assessor_response(kind: Column | None = None) -> Column:
+    kind = drawn(kind, "assessor", SIX_KINDS)
     return (
         F.when(kind == 0, F.lit('{"overall_confidence":0.95,"tokens_used":50}'))
         .when(kind == 1, F.lit('{"overall_confidence":"0.6","confidence":0.6}'))
@@ -250,8 +255,8 @@ def assessor_response() -> Column:
     )
 
 
-def validation_response(salt: str = "validation") -> Column:
-    kind = pick(F.col("note_id"), salt, SIX_KINDS)
+def validation_response(salt: str = "validation", kind: Column | None = None) -> Column:
+    kind = drawn(kind, salt, SIX_KINDS)
     return (
         F.when(kind == 0, F.lit('{"is_valid":true,"validation_score":0.95,"issues":[]}'))
         .when(
@@ -267,13 +272,13 @@ def validation_response(salt: str = "validation") -> Column:
     )
 
 
-def correction_responses(order: str = "expected") -> Column:
+def correction_responses(order: str = "expected", kind: Column | None = None, text: Column | None = None) -> Column:
     """Attempts 1 to 3 as an array of structs; the third is past the default limit."""
-    kind = pick(F.col("note_id"), "correction", FOUR_KINDS)
+    kind, text = drawn(kind, "correction", FOUR_KINDS), order_text(order) if text is None else text
     fixed = F.concat(F.lit('{"device":"Corrected '), F.col(f"{order}.device"), F.lit('"}'))
     second = (
         F.when(kind == 0, F.lit("cannot correct"))
-        .when(kind == 1, F.concat(F.lit("```"), order_text(order), F.lit("```")))
+        .when(kind == 1, F.concat(F.lit("```"), text, F.lit("```")))
         .when(kind == 2, F.lit("[1]"))
     )
     return F.array(
@@ -287,13 +292,22 @@ def stage_responses(notes: DataFrame) -> DataFrame:
     """``(note_id, stage, attempt, response)``: a log of answers, with stale first attempts
     at the extractor stage. Attempts at a correction are on record without an answer as well."""
     stale = '{"device_order":{"device":"Stale"}}'
+    # drawn once a note, as an answer is chosen by comparing its kind again and again
+    counts = {
+        "analyzer": FOUR_KINDS, "extractor": EXTRACTOR_KINDS, "validator": FOUR_KINDS, "assessor": SIX_KINDS,
+        "single": SINGLE_KINDS, "validation": SIX_KINDS, "correction": FOUR_KINDS,
+    }
+    kinds = [pick(F.col("note_id"), salt, n).alias(f"_{salt}") for salt, n in counts.items()]
+    notes = notes.select("note_id", "expected", order_text().alias("_json"), *kinds)
+    json, kind = F.col("_json"), {salt: F.col(f"_{salt}") for salt in counts}
+    extracted = extractor_response(kind=kind["extractor"], text=json)
     answers = {
-        "document_analyzer": analyzer_response(),
-        "primary_extractor": extractor_response(),
-        "medical_validator": validator_response(),
-        "confidence_assessor": assessor_response(),
-        SINGLE_PASS: single_response(),
-        VALIDATION: validation_response(),
+        "document_analyzer": analyzer_response(kind["analyzer"]),
+        "primary_extractor": extracted,
+        "medical_validator": validator_response(kind["validator"]),
+        "confidence_assessor": assessor_response(kind["assessor"]),
+        SINGLE_PASS: single_response(kind=kind["single"], text=json),
+        VALIDATION: validation_response(kind=kind["validation"]),
     }
     rows = [
         F.struct(
@@ -308,11 +322,11 @@ def stage_responses(notes: DataFrame) -> DataFrame:
             F.lit("primary_extractor").alias("stage"),
             F.lit(1).alias("attempt"),
             # a first attempt is on record only where there is a second
-            F.when(extractor_response().isNotNull(), F.lit(stale)).alias("response"),
+            F.when(kind["extractor"] < EXTRACTOR_KINDS - 1, F.lit(stale)).alias("response"),
         )
     )
     fixes = F.transform(
-        correction_responses(),
+        correction_responses(kind=kind["correction"], text=json),
         lambda fix: F.struct(
             F.lit(CORRECTION).alias("stage"), fix["attempt"].alias("attempt"), fix["response"].alias("response")
         ),
