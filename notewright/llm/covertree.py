@@ -122,6 +122,12 @@ def slacks(norms: np.ndarray, radius: np.ndarray, centre_norms: np.ndarray) -> n
     return np.where(np.isfinite(out), out, np.inf)
 
 
+def in_range(mid: np.ndarray, slack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(upper, lower) bounds, as far as scores of 64 bits go; none where floats overflow."""
+    upper, lower = np.where(np.isfinite(mid), mid + slack, np.inf), np.where(np.isfinite(mid), mid - slack, -np.inf)
+    return np.clip(upper, -float(LONG), float(LONG)), np.clip(lower, -float(LONG), float(LONG))
+
+
 def descend(tree: CoverTree, upper: np.ndarray, lower: np.ndarray, fits: np.ndarray, verify, window: tuple, k: int) -> list[tuple]:
     """The ``k`` best (score, id known, -id, point) with a score in ``window``, of points that
     ``verify`` gives for a leaf; nodes that ``fits`` rules out by label are skipped."""
@@ -194,7 +200,8 @@ class Cells:
         """Least and largest inner product of each query with what each cell may hold."""
         mid = queries @ self.pivots[:, :-1].T
         slack = slacks(np.sqrt((queries**2).sum(1)), self.radius, np.sqrt((self.pivots**2).sum(1)))
-        return np.where(np.isfinite(mid), mid - slack, -np.inf), np.where(np.isfinite(mid), mid + slack, np.inf)
+        upper, lower = in_range(mid, slack)
+        return lower, upper
 
 
 def augmented(floats: np.ndarray, norm: float) -> np.ndarray:
@@ -258,8 +265,7 @@ def answers(tasks: DataFrame, same: bool, k: int, norm: float, params: MiningPar
                     with np.errstate(over="ignore", invalid="ignore"):
                         mid = query @ centres[:, :-1].T
                         slack = slacks(np.sqrt((query**2).sum(1)), tree.radius, np.sqrt((centres**2).sum(1)))
-                        upper = np.where(np.isfinite(mid), mid + slack, np.inf)
-                        lower = np.where(np.isfinite(mid), mid - slack, -np.inf)
+                        upper, lower = in_range(mid, slack)
                     for i in range(a, b):
                         where = int(np.searchsorted(known, labels[i]))
                         mine = where if where < len(known) and known[where] == labels[i] else -2
@@ -269,6 +275,7 @@ def answers(tasks: DataFrame, same: bool, k: int, norm: float, params: MiningPar
                         def verify(members: np.ndarray, vector=vector, mine=mine) -> list[tuple]:
                             some = members[(place[members] == mine) == same]
                             scores = (exact[some] @ vector).tolist() if len(some) else []
+                            scores = [max(-LONG - 1, min(LONG, s)) for s in scores]
                             return [(s, 0 if ids[start + m] is None else 1, -(ids[start + m] or 0), m) for s, m in zip(scores, some.tolist(), strict=True)]
 
                         for w, (lo, hi) in enumerate(zip(lows[i - cut], highs[i - cut], strict=True)):
@@ -277,7 +284,7 @@ def answers(tasks: DataFrame, same: bool, k: int, norm: float, params: MiningPar
                                 out[0].append(numbers[i])
                                 out[1].append(w)
                                 out[2].append(ids[start + m])
-                                out[3].append(max(-LONG - 1, min(LONG, score)))
+                                out[3].append(score)
                                 out[4].append(same and ids[start + m] == ids[i] and keys[start + m] == keys[i])
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["ask", "window", "vec_id", "score", "self"])
@@ -388,7 +395,7 @@ def mine_length(points: DataFrame, anchors: DataFrame, params: MiningParams) ->
 def hard_negatives(vectors: DataFrame, anchor: Column, vec_id: str = "vec_id", label: str = "label", column: str = "embedding", params: MiningParams = MiningParams()) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score) for the rows
     in which ``anchor``, a condition on vec_id and label, holds. Scores are inner products
-    of floor(scale * x), exact; those beyond 64 bits are given as the nearest that fits. An
+    of floor(scale * x), exact; those beyond 64 bits count as the nearest that fits. An
     anchor's positives are its best other rows of its label, a positive's negatives the best
     rows of other labels within ``low`` to ``high`` percent of its score; equal scores are
     ordered by id, a null id last. Rows with a null label, a null vector or a null or

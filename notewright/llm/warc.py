@@ -178,7 +178,7 @@ class ArchiveReader:
     length doesn't fit, the record has a problem and reading goes on at the next header."""
 
     def __init__(self, file: str):
-        self.file, self.at, self.fields, self.parts, self.left, self.lost = file, 0, None, [], 0, False
+        self.file, self.at, self.fields, self.parts, self.left, self.lost, self.half = file, 0, None, [], 0, False, False
 
     def made(self, problem: str | None) -> tuple:
         f = self.fields or {}
@@ -189,12 +189,16 @@ class ArchiveReader:
             self.file, self.at, kind, own, f.get("warc-segment-origin-id", own), number(f.get("warc-segment-number")),
             number(f.get("warc-segment-total-length")), f.get("warc-refers-to"), f.get("warc-target-uri"), f.get("x-page-id"),
             hex_digest(f.get("warc-payload-digest")), f.get("content-type", "").lower().startswith("application/http"),
-            None if problem else BLANK.join(self.parts), problem,
+            None if problem else b"".join(self.parts), problem,
         )
-        self.fields, self.parts = None, []
+        self.fields, self.parts, self.half = None, [], False
         return out
 
     def feed(self, piece: bytes) -> Iterator[tuple]:
+        if self.half:  # the block ended in a line end, so half of the blank line after it is here
+            whole = piece.startswith(b"\r\n")
+            yield self.made(None if whole else "bad length")
+            piece, self.lost = piece[2:] if whole else piece, not whole
         if self.fields is None:
             if piece.startswith(b"WARC/"):
                 self.fields, self.lost = header_fields(piece), False
@@ -202,24 +206,29 @@ class ArchiveReader:
                 if self.left is None:
                     yield self.made("no length")
                     self.lost = True
-            elif not self.lost:  # one row for a stretch that is no record
+            elif piece and not self.lost:  # one row for a stretch that is no record
                 self.lost = True
                 yield self.made("no header")
             return
-        self.left -= len(piece) + (len(BLANK) if self.parts else 0)
-        if self.left < 0:
+        self.parts.append(piece)
+        self.left -= len(piece)
+        if self.left == 0:
+            yield self.made(None)
+        elif self.left == 2:
+            self.parts.append(b"\r\n")
+            self.half = True
+        elif self.left >= len(BLANK):
+            self.parts.append(BLANK)
+            self.left -= len(BLANK)
+        else:
             yield self.made("bad length")
             self.lost = True
             if piece.startswith(b"WARC/"):
                 yield from self.feed(piece)
-            return
-        self.parts.append(piece)
-        if self.left == 0:
-            yield self.made(None)
 
     def end(self) -> Iterator[tuple]:
         if self.fields is not None:
-            yield self.made("cut off")
+            yield self.made(None if self.half else "cut off")
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -350,7 +359,8 @@ class Capture:
             problem = "missing segment"
         if problem is None and self.total is not None and self.total != self.length:
             problem = "bad total length"
-        problem = problem or self.decoder.end()
+        if row["type"] != "revisit":  # a revisit may do without the body that its headers tell of
+            problem = problem or self.decoder.end()
         digest = self.decoder.digest.hexdigest()
         if problem is None and row["type"] != "revisit" and row["declared"] not in (None, digest):
             problem = "bad digest"
