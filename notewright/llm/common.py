@@ -123,17 +123,35 @@ def _powers(n: int, base: np.uint64, cache: dict) -> np.ndarray:
 _POWERS: dict[int, np.ndarray] = {}
 
 
+WIDE = 8
+
+
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """Polynomial hashes (mod 2**64) of every prefix of bytes, the empty one first."""
+    """Polynomial hashes (mod 2**64) of every prefix, the empty one first: one of the bytes, and
+    one of all runs of eight bytes, each mixed first. The second tells apart texts that are made to
+    cancel out in the first."""
+    n = len(data)
+    wide = np.zeros(max(0, n - WIDE + 1), np.uint64)
+    data = np.ascontiguousarray(data)
+    for k in range(min(WIDE, len(wide))):
+        whole = (n - k) // WIDE
+        wide[k::WIDE] = data[k : k + whole * WIDE].view("<u8")
+    out = np.zeros((2, n + 1), np.uint64)
+    powers = _powers(n, _ODD, _POWERS)
     with np.errstate(over="ignore"):
-        terms = _BYTE_VALUES[data] * _powers(len(data), _ODD, _POWERS)
-        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
+        np.cumsum(_BYTE_VALUES[data] * powers, dtype=np.uint64, out=out[0, 1:])
+        np.cumsum(mix(wide ^ _ODD) * powers[: len(wide)], dtype=np.uint64, out=out[1, 1 : len(wide) + 1])
+    out[1, len(wide) + 1 :] = out[1, len(wide)]
+    return out
 
 
 def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the spans, equal for equal bytes wherever they stand."""
+    inverse = _powers(prefix.shape[1], _INVERSE, _POWERS)[starts]
+    last = np.maximum(starts, ends - (WIDE - 1))  # runs that lie in the span begin before it
     with np.errstate(over="ignore"):
-        return mix((prefix[ends] - prefix[starts]) * _powers(len(prefix), _INVERSE, _POWERS)[starts])
+        wide = mix((prefix[1, last] - prefix[1, starts]) * inverse + _ODD)
+        return mix((prefix[0, ends] - prefix[0, starts]) * inverse ^ wide)
 
 
 class Words:
