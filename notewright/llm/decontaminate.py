@@ -170,9 +170,12 @@ def _one_block(df, shared, text, size, kept, source, block, blocks):
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs``, all columns, without the rows that hold a window of an item."""
     plain = docs
-    renamed = {f.name: free_name(docs, "own_" + f.name) for f in FIELDS if f.name in docs.columns}
-    for old, new in renamed.items():
-        plain = plain.withColumnRenamed(old, new)
+    taken = {f.name for f in FIELDS}
+    renamed = {}
+    for name in docs.columns:  # a column in any case, as Spark tells names apart without it
+        if name.lower() in taken:
+            renamed[name] = free_name(plain, "own_" + name)
+            plain = plain.withColumnRenamed(name, renamed[name])
     found = decontaminate(plain, items, keep=plain.columns).filter(F.col("n_hit") == 0)
     return found.select(*(F.col(renamed.get(c, c)).alias(c) for c in docs.columns))
 

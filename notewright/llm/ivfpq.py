@@ -23,6 +23,9 @@ from notewright.llm.components import components
 from notewright.session import materialize
 
 
+MARGIN = 1e-4  # by which estimates may differ between ways of adding them up
+
+
 @dataclass(frozen=True)
 class PqParams:
     """``sample_rows`` bounds the vectors that the index is fitted on; ``probes`` lists are
@@ -91,6 +94,12 @@ class Index:
         return out
 
 
+    def decoded(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The vectors that codes stand for, row by row."""
+        parts = [book[code] for book, code in zip(self.books, codes.T, strict=True)]
+        return self.coarse[lists] + np.concatenate(parts, 1)
+
+
 def unit(column: pa.Array, dims: int, padded: int) -> np.ndarray:
     """Rows of float64 bytes as unit vectors of float32."""
     raw = np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dims)
@@ -168,7 +177,7 @@ def link_counts(one: DataFrame, dims: int, params: PqParams) -> DataFrame:
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        index, least = shared.value, params.cosine - params.slack
         for part in whole_groups(batches, 0, 1024):
             groups = part.column(0).to_numpy()
             edges = np.concatenate([[0], np.flatnonzero(groups[1:] != groups[:-1]) + 1, [len(groups)]])
@@ -192,17 +201,24 @@ def link_counts(one: DataFrame, dims: int, params: PqParams) -> DataFrame:
                 left, right = [], []
                 for q in range(cut, end, 256):
                     guess = index.estimates(points[q : min(q + 256, end)], here, codes[start:cut])
-                    i, j = np.nonzero(guess >= params.cosine - params.slack)
+                    i, j = np.nonzero(guess >= least - MARGIN)
                     i, j = i + q, j + start
                     for some in np.array_split(np.arange(len(i)), max(1, len(i) // 20_000)):
                         a, b = i[some], j[some]
                         exact = (raw[a] * raw[b]).sum(1) / (norms[a] * norms[b])
-                        for x, y in zip(a[exact >= params.cosine].tolist(), b[exact >= params.cosine].tolist(), strict=True):
-                            home = lists[x][0]
-                            # a pair that meets in both lists is counted in one of them
-                            if keys[x] != keys[y] and (
-                                keys[x] < keys[y] if home == here else (here < home or home not in lists[y])
-                            ):
+                        a, b = a[exact >= params.cosine], b[exact >= params.cosine]
+                        if not len(a):
+                            continue
+                        # as each side of the pair would estimate the other, the same in any task
+                        homes = np.array([lists[x][0] for x in a.tolist()])
+                        there = (points[a] * index.decoded(np.full(len(b), here), codes[b])).sum(1) >= least
+                        back = (points[b] * index.decoded(homes, codes[a])).sum(1) >= least
+                        for x, y, home, seen, other in zip(a.tolist(), b.tolist(), homes.tolist(), there.tolist(), back.tolist(), strict=True):
+                            if keys[x] == keys[y] or not seen:
+                                continue
+                            # a pair that is found in two ways is counted in one of them
+                            first = keys[x] < keys[y] if home == here else here < home
+                            if first or not other or home not in lists[y]:
                                 left.append(x)
                                 right.append(y)
                 if left:

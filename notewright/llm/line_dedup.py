@@ -178,10 +178,11 @@ def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", te
     doc, row, own = free_name(docs, "doc"), free_name(docs, "row"), free_name(docs, "bitmap")
     keys = identified(docs, doc_id, text)
     left = docs.withColumns({doc: keys[0], row: keys[1]})
+    doc_r, row_r = free_name(left, "doc_r"), free_name(left, "row_r")
     right = bitmaps.select(
-        F.col("doc").alias(doc + "_r"), F.col("row").alias(row + "_r"), F.col("bitmap").alias(own)
+        F.col("doc").alias(doc_r), F.col("row").alias(row_r), F.col("bitmap").alias(own)
     ).hint("shuffle_hash")
-    on = (F.col(doc) == F.col(doc + "_r")) & (F.col(row) == F.col(row + "_r"))
+    on = (F.col(doc) == F.col(doc_r)) & (F.col(row) == F.col(row_r))
     return left.join(right, on, "left").select(*docs.columns, own), own
 
 

@@ -69,7 +69,8 @@ def counts(docs: DataFrame, targets: DataFrame, params: ResampleParams) -> tuple
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(both[0][at]), pa.array(both[1][at])], names=["at", "target", "raw"])
 
     # bounded by target_rows
-    marked = docs.join(F.broadcast(targets), docs["doc_id"] == targets["target_id"], "left")
+    slim = docs.select("doc_id", "text")
+    marked = slim.join(F.broadcast(targets), slim["doc_id"] == targets["target_id"], "left")
     rows = marked.select(F.col("text").cast("binary"), F.col("target_id").isNotNull().alias("target"))
     sums = rows.mapInArrow(run, "at long, target long, raw long").groupBy("at").agg(F.sum("target").alias("t"), F.sum("raw").alias("r"))
     out = np.zeros((2, size))

@@ -9,6 +9,8 @@ is written as canonical JSON (sorted keys, no blanks)."""
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,8 +52,39 @@ def problems(value, schema: dict, at: str = "$") -> list[str]:
     return out
 
 
+LONE = re.compile("[\ud800-\udfff]")
+
+
+def escaped(text: str) -> str:
+    """Text in which halves of a character that stand alone are written as JSON escapes, as they
+    have no UTF-8 form."""
+    return LONE.sub(lambda half: f"\\u{ord(half[0]):04x}", text)
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return escaped(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def finite(text: str) -> float:
+    number = float(text)
+    if not math.isfinite(number):
+        raise ValueError(f"{text} is no number that JSON can hold")
+    return number
+
+
+def no_constant(name: str):
+    raise ValueError(f"{name} is not JSON")
+
+
+def read_json(text: str):
+    """The value of a JSON text; ValueError for what is none: NaN and infinities, numbers beyond
+    doubles, and arrays and objects nested too deeply to be walked through."""
+    try:
+        value = json.loads(text, parse_constant=no_constant, parse_float=finite)
+        json.dumps(value)
+    except RecursionError:
+        raise ValueError("nested too deeply") from None
+    return value
 
 
 def ranks(calls: DataFrame) -> DataFrame:
@@ -131,8 +164,9 @@ def link_all(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) ->
     depth of the chain, so that a result (level + 1) comes before what waits for it;
     ``after`` means the first call of that id in the conversation. Null in a circle and
     without a call or an id. Arguments that are no JSON, or for a name without schema, are
-    not valid. ``message`` is canonical JSON; unreadable arguments are kept in it as a
-    string."""
+    not valid; neither are NaN, infinities, numbers beyond doubles and too deep nesting JSON.
+    ``message`` is canonical JSON; unreadable arguments are kept in it as a string, and half
+    characters as escapes."""
     pairs = materialize(paired(calls, results), "calls")
     named = pairs.filter(F.col("key").isNotNull() & F.col("c").isNotNull())
     waits = call_key(F.col("c.conv_id"), F.col("c.after"))
@@ -168,14 +202,17 @@ def link_all(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) ->
                     errors.append("")
                     messages.append(canonical({"id": call_id, "result": content}))
                     continue
+                call = {"id": call_id, "name": name} | ({"result": content} if status == "linked" else {})
                 try:
-                    value = json.loads(text or "")
+                    value = read_json(text or "")
                     found = problems(value, schemas[name]) if name in schemas else ["$: no schema"]
-                except ValueError:
-                    value, found = text, ["$: no JSON"]
+                    message = canonical(call | {"arguments": value})
+                except (ValueError, RecursionError):
+                    found = ["$: no JSON"]
+                    message = canonical(call | {"arguments": text})
                 valid.append(not found)
-                errors.append("; ".join(found))
-                messages.append(canonical({"id": call_id, "name": name, "arguments": value} | ({"result": content} if status == "linked" else {})))
+                errors.append(escaped("; ".join(found)))
+                messages.append(message)
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(n) for n in names[:7]),
