@@ -1,23 +1,28 @@
 """Benchmark decontamination by an Aho-Corasick automaton, and op10_decontaminate.
 
-All windows of the benchmark items go into one automaton over normalised text (A-Z in
-lower case, words parted by one space); a document is scanned once, and what is hit is
-given as words and as places in the original text. Items are read in blocks of a bounded
-size, so that no automaton grows with the benchmark: there is one scan a block."""
+Words of the benchmark items (A-Z in lower case) are numbered, and their windows go into one
+automaton over word numbers, ten nodes a window at most; a document is scanned once, and
+what is hit is given as words and as places in the original text. Items are read in blocks
+of a bounded number of words, so that no automaton grows with the benchmark: there is one
+scan a block, and only what a scan hits is kept of it."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import ahocorasick
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notewright.llm.common import WORD, free_name, map_text, table
+from notewright.llm.common import WORD, _arrow_type, free_name, map_text, table, texts
 from notewright.session import materialize
 
 WINDOW = 10
-BLOCK_BYTES = 4_000_000  # of item text in one automaton
+BLOCK_WORDS = 100_000  # of items in one automaton
+PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 FIELDS = [
@@ -29,25 +34,33 @@ FIELDS = [
 ]
 
 
-def windows(text: bytes, size: int) -> list[bytes]:
-    """Normalised windows, each with a space on both sides."""
-    words = WORD.findall(text.lower())
-    last = max(1, len(words) - size + 1) if words else 0
-    return [b" " + b" ".join(words[i : i + size]) + b" " for i in range(last)]
-
-
-def automaton(items: list[tuple[str, bytes]], size: int) -> ahocorasick.Automaton:
-    """For each window: how many words it has and which items (by number) hold it."""
-    held: dict[bytes, set[int]] = {}
-    for number, (_, text) in enumerate(items):
-        for window in windows(text, size):
-            held.setdefault(window, set()).add(number)
-    out = ahocorasick.Automaton()
-    for window, numbers in held.items():
-        out.add_word(window.decode("latin-1"), (window.count(b" ") - 1, tuple(sorted(numbers))))
-    if held:
-        out.make_automaton()
-    return out
+class Windows:
+    """The automaton of some items: for each window how many words it has and which items (by
+    number) hold it."""
+
+    def __init__(self, items: list[tuple[str, bytes]], size: int):
+        self.names, self.numbers = [name for name, _ in items], {}
+        held: dict[tuple[int, ...], set[int]] = {}
+        for number, (_, text) in enumerate(items):
+            words = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in WORD.findall(text.lower()))
+            for i in range(max(1, len(words) - size + 1) if words else 0):
+                held.setdefault(words[i : i + size], set()).add(number)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for window, numbers in held.items():
+            self.automaton.add_word(window, tuple(sorted(numbers)) + (len(window),))
+        if held:
+            self.automaton.make_automaton()
+
+    def scan(self, words: list[bytes]) -> tuple[set[str], list[tuple[int, int]]]:
+        """(items, runs of words) that the words of a text hit; 0 is a word that no item has."""
+        items: set[str] = set()
+        hit = np.zeros(len(words), bool)
+        if len(self.automaton) and words:
+            number = self.numbers.get
+            for last, (*numbers, size) in self.automaton.iter(tuple([number(w, 0) for w in words])):
+                hit[last + 1 - size : last + 1] = True
+                items.update(self.names[i] for i in numbers)
+        return items, runs(hit)
 
 
 def runs(hit: np.ndarray) -> list[tuple[int, int]]:
@@ -55,28 +68,12 @@ def runs(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-def scan(text: bytes, found: ahocorasick.Automaton, names: list[str], before: dict | None = None) -> dict:
-    """Hits of one text, added to those of ``before``. Every byte of the UTF-8 text is one
-    character to the automaton: a match can't begin inside a word, as it begins with a
-    space, so matches are those of whole code points."""
-    low = text.lower()
-    words = WORD.findall(low)
-    n = len(words)
-    hit = np.zeros(n, bool)
-    items: set[str] = set()
-    if before:
-        items |= set(before["items"])
-        for span in before["hit_words"]:
-            hit[span["start"] : span["end"]] = True
-    if len(found) and n:
-        line = b" " + b" ".join(words) + b" "
-        matches = list(found.iter(line.decode("latin-1")))
-        if matches:
-            blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)  # the i-th blank ends word i - 1
-            lasts = np.searchsorted(blanks, [end for end, _ in matches]).tolist()
-            for last, (_, (size, numbers)) in zip(lasts, matches, strict=True):
-                hit[last - size : last] = True
-                items.update(names[i] for i in numbers)
+def fields_of(text: bytes, low: bytes, words: list[bytes], found: list[tuple[set[str], list[tuple[int, int]]]]) -> dict:
+    """The result fields of one text from what its scans found."""
+    hit = np.zeros(len(words), bool)
+    for _, places in found:
+        for start, end in places:
+            hit[start:end] = True
     hit_words, hit_chars = runs(hit), []
     if hit_words:
         spans = [m.span() for m in WORD.finditer(low)]
@@ -84,7 +81,8 @@ def scan(text: bytes, found: ahocorasick.Automaton, names: list[str], before: di
         heads = np.flatnonzero((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)  # bytes that begin a character
         places = np.searchsorted(heads, at).tolist()
         hit_chars = list(zip(places[: len(hit_words)], places[len(hit_words) :], strict=True))
-    return {"n_words": n, "n_hit": int(hit.sum()), "items": sorted(items), "hit_words": hit_words, "hit_chars": hit_chars}
+    items = sorted(set().union(*(i for i, _ in found)))
+    return {"n_words": len(words), "n_hit": int(hit.sum()), "items": items, "hit_words": hit_words, "hit_chars": hit_chars}
 
 
 def decontaminate(
@@ -94,77 +92,91 @@ def decontaminate(
     item_id: str = "item_id",
     item_text: str = "text",
     size: int = WINDOW,
-    block_bytes: int = BLOCK_BYTES,
+    block_words: int = BLOCK_WORDS,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """One row a document row: the columns ``keep``, n_words, n_hit, items (ids as strings,
     sorted), hit_words and hit_chars (maximal hit runs, ends exclusive, chars in the text
     as given). A window is ``size`` consecutive words of an item, or all words of a
     shorter one; items without words and null texts hit nothing; an item without an id
-    is called 'null'. No items: nothing is hit. Repeated rows give repeated results."""
+    is called 'null'. No items: nothing is hit. Repeated rows give repeated results. Items of
+    more than ``block_words`` words take a scan for each block of about as many."""
     spark = docs.sparkSession
     named = items.select(
         F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("id"),
         F.coalesce(F.col(item_text).cast("binary"), F.lit("").cast("binary")).alias("text"),
     ).distinct()
-    total = named.agg(F.sum(F.octet_length("text") + F.lit(64)).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-total * 5 // (4 * block_bytes)) if total > block_bytes else 1)
-    if blocks > 1:
-        named = materialize(named.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks))), "items")
-    df = docs
-    source = free_name(docs, "source_text")
+    low = F.lower(F.col("text").cast("string"))
+    total = named.agg(F.sum(F.regexp_count(low, F.lit(PATTERN))).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-total * 5 // (4 * block_words)) if total > block_words else 1)
     kept = list(docs.columns if keep is None else keep)
     kept = [c for c in kept if c.lower() not in {f.name.lower() for f in FIELDS}]
-    for block in range(blocks):
-        part = named if blocks == 1 else named.filter(F.col("block") == block)
-        # at most about block_bytes: hashed blocks, and one block only where all fits
-        rows = sorted((r["id"], bytes(r["text"])) for r in part.select("id", "text").collect())
-        shared = spark.sparkContext.broadcast(rows)
-        df = _one_block(df, shared, text if block == 0 else source, size, kept, source, block, blocks)
-    return df
+    if blocks == 1:
+        return _one_block(docs, _shared(named), text, size, kept)
+    named = materialize(named.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks))), "items")
+    source, row, found = (free_name(docs, name) for name in ("source_text", "source_row", "found"))
+    # written once, with a number for each row, by which its hits come back to it
+    rows = docs.select(*(docs[c] for c in kept), docs[text].cast("binary").alias(source), F.monotonically_increasing_id().alias(row))
+    rows = materialize(rows, "decontaminate")
+    slim = rows.select(F.col(row).alias("row"), F.col(source).alias("text"))
+    # about block_words at most: hashed blocks
+    hits = reduce(DataFrame.union, [_hits(slim, _shared(named.filter(F.col("block") == b)), size) for b in range(blocks)])
+    # one entry a block that hits a row
+    hits = materialize(hits.groupBy("row").agg(F.collect_list(F.struct("items", "hit_words")).alias("found")), "hits")
+    hits = hits.select(F.col("row").alias(f"{row}_hit"), F.col("found").alias(found))
+    joined = rows.join(hits, F.col(row) == F.col(f"{row}_hit"), "left").select(*kept, source, found)
+    schema = T.StructType([*(rows.schema[c] for c in kept), *FIELDS])
 
+    def run(batches):
+        for batch in batches:
+            made = []
+            for item, told in zip(texts(batch.column(len(kept))), batch.column(len(kept) + 1).to_pylist(), strict=True):
+                low = item.lower()
+                parts = [(set(t["items"]), [(x["start"], x["end"]) for x in t["hit_words"]]) for t in told or []]
+                made.append(fields_of(item, low, WORD.findall(low), parts))
+            columns = [pa.array([r[f.name] for r in made], _arrow_type(f.dataType)) for f in FIELDS]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *columns], names=schema.names)
 
-def _one_block(df, shared, text, size, kept, source, block, blocks):
-    def load():
-        items = shared.value
-        return automaton(items, size), [name for name, _ in items]
+    return joined.mapInArrow(run, schema)
 
-    if blocks == 1:
 
-        def make():
-            found, names = load()
+def _shared(named: DataFrame):
+    """A broadcast of the items of one block."""
+    rows = sorted((r["id"], bytes(r["text"])) for r in named.select("id", "text").collect())
+    return named.sparkSession.sparkContext.broadcast(rows)
 
-            def work(items):
-                rows = [scan(x, found, names) for x in items]
-                return [[r[f.name] for r in rows] for f in FIELDS]
 
-            return work
+def _one_block(docs: DataFrame, shared, text: str, size: int, kept: list[str]) -> DataFrame:
+    def make():
+        windows = Windows(shared.value, size)
 
-        return map_text(df, make, FIELDS, text, kept)
+        def work(items):
+            made = []
+            for item in items:
+                low = item.lower()
+                words = WORD.findall(low)
+                made.append(fields_of(item, low, words, [windows.scan(words)]))
+            return [[r[f.name] for r in made] for f in FIELDS]
 
-    import pyarrow as pa
+        return work
 
-    from notewright.llm.common import _arrow_type, texts
+    return map_text(docs, make, FIELDS, text, kept)
 
-    last = block == blocks - 1
-    carried = [] if last else [T.StructField(source, T.BinaryType())]
-    taken = [*(F.col(c) for c in kept), F.col(text).cast("binary").alias(source)]
-    if block:
-        taken += [F.col(f.name) for f in FIELDS]
-    schema = T.StructType([*(df.schema[c] for c in kept), *carried, *FIELDS])
+
+def _hits(rows: DataFrame, shared, size: int) -> DataFrame:
+    """(row, items, hit_words) of the rows that a block of items hits."""
+    made = [FIELDS[2], FIELDS[3]]
 
     def run(batches):
-        found, names = load()
+        windows = Windows(shared.value, size)
         for batch in batches:
-            items = texts(batch.column(len(kept)))
-            before = batch.select([f.name for f in FIELDS]).to_pylist() if block else [None] * len(items)
-            rows = [scan(x, found, names, b) for x, b in zip(items, before, strict=True)]
-            made = [pa.array([r[f.name] for r in rows], _arrow_type(f.dataType)) for f in FIELDS]
-            own = [] if last else [pa.array(items, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *own, *made], names=schema.names)
-
-    out = df.select(*taken).mapInArrow(run, schema)
-    return out if last else materialize(out, "decontaminate")
+            out = [(row, *windows.scan(WORD.findall(text.lower()))) for row, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True)]
+            out = [(row, sorted(items), places) for row, items, places in out if items]
+            columns = zip(*out, strict=True) if out else ([], [], [])
+            kinds = [pa.int64(), *(_arrow_type(f.dataType) for f in made)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["row", "items", "hit_words"])
+
+    return rows.mapInArrow(run, T.StructType([T.StructField("row", T.LongType()), *made]))
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import json
+import math
 import os
 import random
 import re
@@ -17,6 +18,7 @@ import tiktoken
 
 import corpus_pipeline
 from notewright.llm import bpe, chosen_path, decontaminate, ivfpq, licenses, line_dedup, repeats, resample, toolcalls, toxicity
+from notewright.llm.common import Words
 from notewright.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -103,11 +105,11 @@ def hits(text, items, size=10):
     return len(words), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block_bytes", [4_000_000, 150])
-def test_decontaminate(spark, odd, none, block_bytes):
+@pytest.mark.parametrize("block_words", [100_000, 6])
+def test_decontaminate(spark, odd, none, block_words):
     items = [(1, "Quick BROWN fox"), (2, "one two three"), (3, None), (4, "..."), (5, "lazy dog and runs away the quick brown fox jumps over"), (6, "absent words")]
     bench = spark.createDataFrame(items, "item_id int, text string")
-    found = decontaminate.decontaminate(odd, bench, keep=["doc_id", "text"], block_bytes=block_bytes).collect()
+    found = decontaminate.decontaminate(odd, bench, keep=["doc_id", "text"], block_words=block_words).collect()
     assert len(found) == odd.count()
     for r in found:
         assert (r["n_words"], r["n_hit"], r["items"]) == hits(r["text"], items)
@@ -117,6 +119,9 @@ def test_decontaminate(spark, odd, none, block_bytes):
     assert decontaminate.decontaminate(odd, bench.limit(0)).filter("n_hit > 0").count() == 0
     assert decontaminate.decontaminate(none, bench).count() == 0
     assert decontaminate.clean(odd, bench).columns == odd.columns
+    named = spark.createDataFrame([(1, "clean words", 7, "a"), (2, "a quick brown fox", 8, "b")], "doc_id long, text string, N_HIT int, Items string")
+    left = decontaminate.clean(named, bench)
+    assert left.columns == named.columns and [tuple(r) for r in left.collect()] == [(1, "clean words", 7, "a")]
 
 
 # --- 8: line dedup ---------------------------------------------------------------------
@@ -141,6 +146,23 @@ def test_line_dedup_odd(spark, odd, none):
     assert line_dedup.keep_bitmaps(none).count() == 0
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    line = "a line of text that is long enough to be counted here"
+    df = spark.createDataFrame([(i, f"{line}\n{i}", 1, 2, "x") for i in range(6)], "doc_id long, text string, doc_r int, Row_R int, bitmap string")
+    rows = sorted(line_dedup.drop_lines(df).collect())
+    assert [r["text"] for r in rows] == [*(str(i) for i in range(5)), f"{line}\n5"] and {(r["doc_r"], r["Row_R"]) for r in rows} == {(1, 2)}
+
+
+def test_hashes_tell_patterns_apart():
+    """Two words that a polynomial hash modulo 2**64 can't tell apart."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    hashes = Words([word.encode(), f"x {other} {word}".encode()]).hash
+    assert hashes[0] == hashes[3] != hashes[2]
+
+
 def test_line_decisions_across_tasks():
     """A key that spans sorted partitions is settled by the summaries of its ends."""
     import pyarrow as pa
@@ -299,6 +321,41 @@ def test_toxicity_keeps_all_where_nothing_was_learned(spark):
 
 
 @given
+@pytest.mark.parametrize("labels", [[], [(1, 0)], [(1, 1)], [(1, 0), (2, 1)], [(1, None)]])
+def test_toxicity_predicts_by_the_score_alone(spark, tmp_path, labels):
+    docs = spark.createDataFrame([(i, f"some words {i}" if i % 3 else None, "en", "s", 3) for i in range(12)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = toxicity.op6_toxicity(spark, str(tmp_path)).collect()
+    assert len(rows) == 12 and all(r["predicted"] == (r["score"] >= 0.3) for r in rows)
+    if len({t for _, t in labels}) < 2:
+        assert toxicity.reject(docs, spark.read.parquet(str(tmp_path / "labels.parquet")), 0.3).count() == 12
+
+
+def ftrl_plainly(found, labels, params):
+    """One coordinate at a time, in plain Python."""
+    z, n, bias = {}, {}, 1 << params.bits
+    weight = lambda k: 0.0 if abs(z.get(k, 0.0)) <= (0 if k == bias else params.l1) else -(z[k] - math.copysign(0 if k == bias else params.l1, z[k])) / ((params.beta + math.sqrt(n[k])) / params.alpha + params.l2)
+    for epoch in range(params.epochs):
+        for i in np.random.default_rng(epoch).permutation(len(labels)):
+            at = [*found[i].tolist(), bias]
+            w = {k: weight(k) for k in at}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - labels[i]
+            for k in at:
+                before = n.get(k, 0.0)
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / params.alpha * w[k]
+                n[k] = before + g * g
+    return {k: weight(k) for k in z if weight(k)}
+
+
+def test_toxicity_weights_equal_plain_ftrl(spark):
+    params = toxicity.FtrlParams()
+    texts = [(f"{'awful nasty' if i % 3 == 0 else 'kind calm'} word{i % 7} text", int(i % 3 == 0), i) for i in range(60)]
+    got = dict(toxicity.fit(spark.createDataFrame(texts, "text string, label int, order long"), 60, params))
+    wanted = ftrl_plainly(toxicity.present([t.encode() for t, _, _ in texts], params.bits), [y for _, y, _ in texts], params)
+    assert set(got) == set(wanted) and all(abs(got[k] - wanted[k]) < 1e-9 for k in got)
+
+
 def test_toxicity_learns_only_from_its_rows(spark):
     """Labels of held-out rows don't matter."""
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
@@ -321,6 +378,28 @@ def test_resample(spark, odd, none):
 
 
 @given
+def test_resample_scores_equal_brute_force(spark):
+    """The log ratio of each text from plain counts, and the k rows of largest score."""
+    draw = random.Random(4)
+    docs = [(i, " ".join(draw.choices(["good", "fine", "plain", "bad,", "worse!", "é"], k=draw.randrange(0, 9)))) for i in range(80)] + [(90, None), (91, "")]
+    labels = [(i, int("good" in (t or ""))) for i, t in docs]
+    df = spark.createDataFrame([(*d, 5) for d in docs], "doc_id long, text string, target_id int")
+    params = resample.ResampleParams(bits=8)
+    rows = resample.resample(df, spark.createDataFrame(labels, "doc_id long, quality int"), params).collect()
+    grams = {i: resample.grams([(t or "").encode()], params.bits)[1].tolist() for i, t in docs}
+    good = [i for i, q in labels if q and zlib.crc32(str(i).encode()) % 4 != 2]
+    raw, target = np.zeros(256), np.zeros(256)
+    for i, g in grams.items():
+        for b in g:
+            raw[b] += 1
+            target[b] += i in good
+    ratio = np.log((target + 1) / (target + 1).sum()) - np.log((raw + 1) / (raw + 1).sum())
+    for r in rows:
+        assert r["n_grams"] == len(grams[r["doc_id"]]) and abs(r["log_weight"] - sum(ratio[b] for b in grams[r["doc_id"]])) < 1e-6
+    kept = [r["gumbel_key"] for r in rows if r["kept"]]
+    assert len(kept) == math.ceil(params.keep * len(rows)) and min(kept) > max(r["gumbel_key"] for r in rows if not r["kept"])
+
+
 def test_licenses(spark, odd, none):
     got = {r["doc_id"]: r for r in licenses.op2_license_scan(spark, SF).collect()}
     for doc_id, text in documents():
@@ -411,6 +490,21 @@ def test_tool_calls_lose_no_row(spark):
 
 
 @given
+def test_tool_calls_with_odd_arguments(spark):
+    """Half characters, deep nesting, NaN and numbers beyond doubles neither fail nor pass as JSON."""
+    texts = {"half": '{"query":"\\ud800"}', "deep": "[" * 100_000, "closed": "[" * 5_000 + "]" * 5_000, "nan": '{"query":NaN}', "inf": '{"x":1e999}', "big": "9" * 5_000, "key": '{"\\udfff":1}'}
+    calls = spark.createDataFrame([(1, i, k, "search", t, None) for i, (k, t) in enumerate(texts.items())], "conv_id long, turn long, call_id string, name string, arguments string, after string")
+    results = spark.createDataFrame([(1, 9, "half", "ok")], "conv_id long, turn long, call_id string, content string")
+    rows = {r["call_id"]: r for r in toolcalls.link_all(calls, results, toolcalls.SCHEMAS).collect()}
+    assert len(rows) == len(texts)
+    assert rows["half"]["valid"] and rows["half"]["message"] == '{"arguments":{"query":"\\ud800"},"id":"half","name":"search","result":"ok"}'
+    assert not any(rows[k]["valid"] for k in texts if k != "half")
+    assert all(rows[k]["errors"] == "$: no JSON" for k in ("deep", "nan", "inf", "big"))
+    for k, r in rows.items():
+        assert "NaN" not in r["message"] or k == "nan"
+        assert isinstance(json.loads(r["message"])["arguments"], (dict, list, str))
+
+
 def test_tool_calls_of_conversations(spark):
     rows = toolcalls.op3_tool_calls(spark, SF).collect()
     turns = {(c, t): r for c, t, r in duckdb.sql(f"SELECT conv_id, turn, role FROM '{SF}/conversations.parquet'").fetchall()}
