@@ -45,7 +45,6 @@ class MiningParams:
     block: int = 2048
     asks: int = 2048
     leaf: int = 8
-    seed: int = 11
 
 
 def whole(packed: list[bytes], scale: int) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +182,7 @@ def candidates(vectors: DataFrame, vec_id: str, label: str, column: str) -> Data
 
 @dataclass(frozen=True)
 class Cells:
-    """Pivots, augmented; the norm of all candidates; per cell its radius and size."""
+    """Pivots, augmented; the largest norm of the candidates; the radius of each cell."""
 
     pivots: np.ndarray
     norm: float
@@ -333,8 +332,8 @@ def mine_length(points: DataFrame, anchors: DataFrame, params: MiningParams) ->
     shared = share(Cells(spots[centres], norm, radius))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The cells in which a query looks: those that its windows meet, but for ``home``;
-        with ``home`` null, the one with the largest bound alone."""
+        """The cells in which a query looks: those that its windows meet, but for ``home``, where it
+        has looked; or, if ``alone``, the one with the largest bound."""
         cells = shared.value
         for batch in batches:
             if batch.num_rows:
