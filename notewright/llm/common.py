@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from notewright.session import configure
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 BATCH_ROWS, BATCH_BYTES = 2000, "8m"
 
 _U = np.uint64
