@@ -65,3 +65,16 @@ def test_texts_that_close_the_array(spark):
 
     rows = with_objects(df, {"o": (F.col("t"), ["device"])}).select("t", F.col("o").isNotNull(), is_json(F.col("t"))).collect()
     assert {r[0] for r in rows if r[1]} == set(good) and {r[0] for r in rows if r[2]} == set(good)
+
+
+def test_ingested_files_are_dealt_out(spark, tmp_path, monkeypatch):
+    from workload import queries
+
+    suppliers = [(i, f"Supplier#{i:09d}") for i in [*range(2100), 7]] + [(None, "Supplier#000000001")]
+    spark.createDataFrame(suppliers, "s_suppkey long, s_name string").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    folder = tmp_path / "shared"
+    monkeypatch.setattr(queries, "run_dir", lambda spark, label: f"file://{folder}")
+    got = sorted(r["s_suppkey"] for r in QUERIES["file_ingest"](spark, str(tmp_path)).collect())
+    assert got == sorted([*range(2100), 7])  # a row that comes twice is two files, a row without a key none
+    sizes = [sum(f.endswith((".txt", ".json")) for f in files) for _, _, files in os.walk(folder)]
+    assert sum(sizes) == 2101 and max(sizes) <= 1000

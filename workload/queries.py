@@ -259,6 +259,9 @@ def failed_input_files(spark, sf_dir):
     return failed_inputs(files.select("path"), processed)
 
 
+FILES_A_FOLDER = 1000
+
+
 def file_ingest(spark, sf_dir):
     """One file per supplier, written and read back: every second as a JSON envelope."""
     configure(spark)
@@ -268,14 +271,17 @@ def file_ingest(spark, sf_dir):
         "s_name",
         F.pmod(F.col("s_suppkey"), F.lit(9)) + 1,
     )
-    named = suppliers.select("s_suppkey", sentence.alias("note"))
     folder = run_dir(spark, "ingest")
     even = F.pmod(F.col("s_suppkey"), F.lit(2)) == 0
-    split = {"txt": named.filter(even), "json": named.filter(~even)}
-    for form, part in split.items():
-        # a file a note is what is tested; they stand together in one folder
-        writer = part.select("note").write.option("maxRecordsPerFile", 1)
-        (writer.text if form == "txt" else writer.json)(f"{folder}/{form}")
+    # numbered as read, so that a task that is repeated writes the same files again
+    rows = suppliers.select(sentence.alias("note"), even.alias("even"), F.monotonically_increasing_id().alias("n"))
+    form = F.when(F.col("even"), "txt").otherwise("json")
+    content = F.when(F.col("even"), F.col("note")).otherwise(F.to_json(F.struct("note")))
+    # a file a note is what is tested; they stand in folders of a thousand, written by all cores
+    path = F.format_string(f"{folder}/%s-%d/%d.%s", form, F.floor(F.col("n") / FILES_A_FOLDER), "n", form)
+    files = rows.filter("even IS NOT NULL").select("n", path.alias("path"), F.concat(content, F.lit("\n")).alias("content"))
+    dealt = files.repartition(4 * spark.sparkContext.defaultParallelism, "n")
+    materialize(write_files(dealt), "ingest-files")
     read = read_notes(spark, f"{folder}/*")
     found = extract_orders(read, keep=("path", "status"))
     key = F.regexp_extract("patient_name", r"(\d+)$", 1).cast("bigint")
