@@ -12,6 +12,8 @@ from .text import trim_all
 
 
 END = "_notewright_end_of_text"
+# Fixed value: the characters that a JSON value, or what some parsers take for a number, begins with.
+FIRST = '{["-+.0123456789tfnNI'
 
 
 def bracketed(text: Column) -> Column:
@@ -21,17 +23,25 @@ def bracketed(text: Column) -> Column:
     return F.concat(F.lit("["), text, F.lit(',{"' + END + '":1}]'))
 
 
+def begins(text: Column, first: str) -> Column:
+    """True if the first character that JSON does not pass over is one of ``first``."""
+    return F.substring(F.ltrim(text, F.lit(" \t\r\n")), 1, 1).isin(*first)
+
+
 def with_objects(df: DataFrame, texts: dict[str, tuple[Column, Sequence[str]]]) -> DataFrame:
     """Parse JSON objects: for ``name: (text, keys)`` add a struct ``name`` with one variant
     per key, null where ``text`` is not exactly one JSON object. A repeated key has its
-    last value. One pass over each text picks out just the keys that are read."""
+    last value. One pass over each text picks out just the keys that are read; a text that does
+    not begin like an object is not handed to the parser, as its exceptions cost more than parsing."""
+    given = df.select("*", *[text.alias(f"_{name}_given") for name, (text, _) in texts.items()])
     arrays = {
         name: F.from_json(
-            bracketed(text), "array<struct<" + ",".join(f"{k}:variant" for k in (*keys, END)) + ">>"
+            F.when(begins(F.col(f"_{name}_given"), "{"), bracketed(F.col(f"_{name}_given"))),
+            "array<struct<" + ",".join(f"{k}:variant" for k in (*keys, END)) + ">>",
         )
-        for name, (text, keys) in texts.items()
+        for name, (_, keys) in texts.items()
     }
-    read = df.select("*", *[array.alias(f"_{name}_array") for name, array in arrays.items()])
+    read = given.select("*", *[array.alias(f"_{name}_array") for name, array in arrays.items()])
     single = [
         F.when(
             (F.size(f"_{name}_array") == 2) & F.get(f"_{name}_array", F.lit(1))[END].isNotNull(),
@@ -44,7 +54,7 @@ def with_objects(df: DataFrame, texts: dict[str, tuple[Column, Sequence[str]]])
 
 def is_json(text: Column) -> Column:
     """True if ``text`` is exactly one JSON value of any kind."""
-    array = F.try_parse_json(bracketed(text))
+    array = F.try_parse_json(F.when(begins(text, FIRST), bracketed(text)))
     return at(array, f"$[1].{END}").isNotNull() & at(array, "$[2]").isNull()
 
 

@@ -78,3 +78,24 @@ def test_ingested_files_are_dealt_out(spark, tmp_path, monkeypatch):
     assert got == sorted([*range(2100), 7])  # a row that comes twice is two files, a row without a key none
     sizes = [sum(f.endswith((".txt", ".json")) for f in files) for _, _, files in os.walk(folder)]
     assert sum(sizes) == 2101 and max(sizes) <= 1000
+
+
+def test_texts_that_are_no_object_are_not_parsed(spark):
+    from pyspark.sql import functions as F
+
+    from notewright.functions.variants import END, at, bracketed
+
+    texts = ["The note", "no", "null", "1", "-1", "+1", "NaN", '"a"', "[1]", "[{}]", " \t\r\n{}", "﻿{}", "\x0b{}", "\xa0{}", ",{}", "", " ", None]
+    texts += ['{"a":1}', '\n{"a":{"b":2}} ', '{"a":1', '{"a":1}{"a":2}', "/*c*/{}", "true", "False", "`{}`"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    array = F.from_json(bracketed(F.col("t")), f"array<struct<a:variant,{END}:variant>>")
+    plain = F.when((F.size(array) == 2) & F.get(array, F.lit(1))[END].isNotNull(), F.get(array, F.lit(0)).dropFields(END))
+    value = F.try_parse_json(bracketed(F.col("t")))
+    whole = at(value, f"$[1].{END}").isNotNull() & at(value, "$[2]").isNull()
+    shown = [(c.isNotNull(), F.to_json(c["a"])) for c in (plain, F.col("o"))]
+    made = with_objects(df, {"o": (F.col("t"), ["a"])})
+    rows = made.select("t", *shown[0], whole, *shown[1], is_json(F.col("t"))).collect()
+    assert [tuple(r)[1:4] for r in rows] == [tuple(r)[4:] for r in rows]
+    assert sum(r[1] for r in rows) == 3 and sum(r[3] for r in rows) >= 3
+    # the parser is given null for the others
+    assert "from_json" in (plan := made._jdf.queryExecution().analyzed().toString()) and "ltrim" in plan
