@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -106,6 +105,20 @@ def with_single_or_rules(df: DataFrame, response: str, out: str, job: JobParams,
     return ruled.select(*kept, F.coalesce("_single", "_ruled").alias(out))
 
 
+def run_totals(stages: tuple[str, ...]) -> tuple[Column, Column]:
+    """Tokens and confidence of a run of ``stages``, each null where it cannot be read."""
+    tokens = reduce(Column.__add__, [tokens_used(F.col(f"ans_{s}")) for s in stages])
+    confidence = overall_confidence(F.col(f"ans_{ASSESSOR}")) if ASSESSOR in stages else F.lit(DEFAULT_CONFIDENCE)
+    return tokens, confidence
+
+
+def run_failed(tokens: Column, confidence: Column, state: Column, params: StagedParams) -> Column:
+    """A confidence or token count that cannot be read fails the whole run of that note; no
+    usable extractor answer does so too unless ``on_model_failure`` is ``unknown``."""
+    failed = confidence.isNull() | tokens.isNull()
+    return failed | (state == "fallback") if params.on_model_failure == "rules" else failed
+
+
 def run_stages(df: DataFrame, params: StagedParams) -> DataFrame:
     """Response columns to ``steps``, the extractor's order and the run's confidence."""
     stages = MODE_STAGES[params.mode]
@@ -113,10 +126,7 @@ def run_stages(df: DataFrame, params: StagedParams) -> DataFrame:
     timed = timed if set(timed.values()) <= set(df.columns) else None
     stepped = add_steps(df, {s: response_column(s) for s in stages}, EXTRACTOR, timed)
     parsed = parse_answer(stepped, f"ans_{EXTRACTOR}", "staged_order")
-    tokens = reduce(Column.__add__, [tokens_used(F.col(f"ans_{s}")) for s in stages])
-    confidence = F.lit(DEFAULT_CONFIDENCE)
-    if ASSESSOR in stages:
-        confidence = overall_confidence(F.col(f"ans_{ASSESSOR}"))
+    tokens, confidence = run_totals(stages)
     return parsed.select(
         *df.columns,
         "staged_order",
@@ -129,13 +139,8 @@ def run_stages(df: DataFrame, params: StagedParams) -> DataFrame:
 
 
 def settle(df: DataFrame, params: StagedParams) -> DataFrame:
-    """Decide per note whether the staged order holds or the note falls back.
-
-    A confidence or token count that cannot be read fails the whole run of that note; no
-    usable extractor answer does so too unless ``on_model_failure`` is ``unknown``."""
-    failed = F.col("_confidence").isNull() | F.col("_tokens").isNull()
-    if params.on_model_failure == "rules":
-        failed = failed | (F.col("_extractor_state") == "fallback")
+    """Decide per note whether the staged order holds or the note falls back."""
+    failed = run_failed(F.col("_tokens"), F.col("_confidence"), F.col("_extractor_state"), params)
     back = F.col("_fell_back")
     agents = F.array(*[F.lit(stage) for stage in MODE_STAGES[params.mode]])
     kept = [c for c in df.columns if c not in ("_tokens", "_confidence", "_extractor_state")]
@@ -245,16 +250,22 @@ def replay(notes: DataFrame, responses: DataFrame, job: JobParams = JobParams())
 def replay_modes(
     notes: DataFrame, responses: DataFrame, modes: tuple[str, ...], job: JobParams = JobParams()
 ) -> DataFrame:
-    """``(note_id, mode, order)``: the unvalidated order of every note in each mode. The
-    responses are attached once; each mode is a projection over the same rows."""
+    """``(note_id, mode, order)``: the unvalidated order of every note in each mode. The responses
+    are attached and read once: the extractor's order and the one to fall back on are the same in
+    every mode, and a mode only says, by the stages that it asks, whether a note falls back."""
     stages = tuple(dict.fromkeys(s for mode in modes for s in MODE_STAGES[mode]))
     df = attach_responses(notes, responses, (*stages, SINGLE_PASS))
-    for mode in modes:
-        staged = replace(job.staged, mode=mode, require_validation=False)
-        run = staged_extract(df, replace(job, staged=staged), response_column(SINGLE_PASS))
-        df = run.select(*df.columns, F.col("order").alias(f"_order_{mode}"))
-    found = [F.struct(F.lit(m).alias("mode"), F.col(f"_order_{m}").alias("order")) for m in modes]
-    return df.select("note_id", F.inline(F.array(*found)))
+    stepped = add_steps(df, {s: response_column(s) for s in stages}, EXTRACTOR)
+    parsed = parse_answer(stepped, f"ans_{EXTRACTOR}", "staged_order")
+    state = F.col(f"step_{EXTRACTOR}")["state"]
+    backs = [run_failed(*run_totals(MODE_STAGES[m]), state, job.staged).alias(f"_back_{m}") for m in modes]
+    read = parsed.select(*df.columns, "staged_order", *backs)
+    back = {m: F.col(f"_back_{m}") for m in modes}
+    settled = read.withColumn("_fell_back", reduce(Column.__or__, back.values()))
+    fallen = with_fallback(settled, job, response_column(SINGLE_PASS))
+    orders = {m: or_blank(F.when(back[m], F.col("_order")).otherwise(F.col("staged_order"))) for m in modes}
+    found = [F.struct(F.lit(m).alias("mode"), order.alias("order")) for m, order in orders.items()]
+    return fallen.select("note_id", F.inline(F.array(*found)))
 
 
 class Log:

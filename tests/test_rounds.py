@@ -163,3 +163,26 @@ def test_worst_severity(spark):
     rows = [('[{"severity":"Info"},{"severity":"Critical"},{"severity":"Error"}]',), ("[]",)]
     df = spark.createDataFrame(rows, "j string").select(worst_severity(issues).alias("w"))
     assert [r["w"] for r in df.collect()] == ["Critical", None]
+
+
+def test_modes_are_read_once(spark):
+    from notewright.params import MODES, JobParams, StagedParams
+    from notewright.plans.staged import replay, replay_modes
+
+    good, bad = '{"device_order":{"device":"Cane"},"tokens_used":3}', '{"overall_confidence":"high"}'
+    log = [
+        ("a", "primary_extractor", 1, good), ("b", "primary_extractor", 1, good), ("b", "confidence_assessor", 1, bad),
+        ("b", "single_pass", 1, '{"device":"Walker"}'), ("c", "medical_validator", 1, '{"tokens_used":"many"}'),
+        ("d", "primary_extractor", 1, '{"device_order":{"device":"Cane"},"tokens_used":"many"}'),
+    ]
+    notes = spark.createDataFrame([(n, n, "needs cpap") for n in "abcde"], "note_id string, path string, text string")
+    log = spark.createDataFrame(log, "note_id string, stage string, attempt int, response string")
+    for failure in ("rules", "unknown"):
+        found = replay_modes(notes, log, MODES, JobParams(staged=StagedParams(on_model_failure=failure)))
+        got = {(r["note_id"], r["mode"]): r["order"] for r in found.collect()}
+        for mode in MODES:
+            job = JobParams(staged=StagedParams(on_model_failure=failure, mode=mode, require_validation=False))
+            assert {r["note_id"]: r["order"] for r in replay(notes, log, job).collect()} == {n: got[n, mode] for n in "abcde"}
+        plan = found._jdf.queryExecution().analyzed().toString()
+        one = replay_modes(notes, log, ("Standard",), JobParams(staged=StagedParams(on_model_failure=failure)))
+        assert plan.count("from_json(") == one._jdf.queryExecution().analyzed().toString().count("from_json(")
