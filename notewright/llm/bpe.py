@@ -83,6 +83,28 @@ def decode_ids(df: DataFrame, path: str, ids: str = "ids", keep: list[str] | Non
     return df.select(*(df[c] for c in kept), df[ids]).mapInArrow(run, schema)
 
 
+def encode_checked(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``df`` with ``n_tokens``, ``ids`` as ``encode_texts`` gives them and ``decoded_sha256``, the
+    digest of the bytes that they decode to. One pass: a task has one Python worker, where encoding and
+    decoding one after the other have two, each with an encoding of its own, which stay for later stages."""
+
+    def make():
+        own = encoding(path)
+
+        def work(items):
+            found = [np.array(encode(x.decode("utf-8", "replace"), path), np.int32) for x in items]
+            return [len(x) for x in found], found, [hashlib.sha256(own.decode_bytes(x.tolist())).hexdigest() for x in found]
+
+        return work
+
+    fields = [
+        T.StructField("n_tokens", T.LongType()),
+        T.StructField("ids", T.ArrayType(T.IntegerType())),
+        T.StructField("decoded_sha256", T.StringType()),
+    ]
+    return map_text(df, make, fields, text, keep)
+
+
 def digest(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Encodes and decodes in one pass and returns n_tokens and the digests of the ids and
     of the decoded bytes, so that no ids cross back to the JVM."""

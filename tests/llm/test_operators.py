@@ -570,3 +570,17 @@ def test_pipeline_odd(spark, odd, none, tmp_path):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, str(tmp_path))
         assert docs.count() <= odd.count()
+
+
+def test_pipeline_encodes_in_one_python_pass(spark, odd):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    got = corpus_pipeline.encode(spark, odd, "")
+    # each Python step of a task has a worker of its own, which stays for later stages
+    assert got._jdf.queryExecution().analyzed().toString().count("MapInArrow") == 1
+    path = public_tokenizers.path(bpe.RANKS)
+    wanted = bpe.decode_ids(bpe.encode_texts(odd, path, keep=["doc_id", "lang", "source"]), path)
+    wanted = wanted.select("doc_id", "lang", "source", F.size("ids").cast("long"), "ids", F.sha2("decoded", 256))
+    assert got.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256"]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, wanted.collect())))
