@@ -99,3 +99,34 @@ def test_texts_that_are_no_object_are_not_parsed(spark):
     assert sum(r[1] for r in rows) == 3 and sum(r[3] for r in rows) >= 3
     # the parser is given null for the others
     assert "from_json" in (plan := made._jdf.queryExecution().analyzed().toString()) and "ltrim" in plan
+
+
+@pytest.fixture
+def small_tables(spark, tmp_path):
+    """Orders with keys that repeat or are missing, and customers some of whom are missing."""
+    from datetime import datetime
+
+    orders = [(i, i % 7, datetime(2024, 1, 1 + i % 28), f"{i % 5}-LOW") for i in [*range(200), 7, 7]] + [(None, 1, None, None)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    customers = [(i, f"Customer#{i}", "BUILDING") for i in range(5)]
+    spark.createDataFrame(customers, "c_custkey long, c_name string, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    return str(tmp_path)
+
+
+def test_log_of_some_stages(spark, small_tables):
+    from pyspark.sql import functions as F
+
+    from workload.queries import notes
+    from workload.tables import stage_responses
+
+    source = notes(spark, small_tables)
+    rows = sorted(map(repr, stage_responses(source).collect()))
+    names = sorted({r["stage"] for r in stage_responses(source).select("stage").distinct().collect()})
+    assert len(names) == 7
+    for some in [(n,) for n in names] + [tuple(names), ("primary_extractor", "correction")]:
+        wanted = stage_responses(source).filter(F.col("stage").isin(*some))
+        assert sorted(map(repr, stage_responses(source, some).collect())) == sorted(map(repr, wanted.collect())), some
+    assert sorted(map(repr, stage_responses(source, tuple(names)).collect())) == rows
+    for name in ("compare_paths", "compare_summary"):  # no row is made for a stage that is not read
+        plan = QUERIES[name](spark, small_tables)._jdf.queryExecution().optimizedPlan().toString()
+        assert "single_pass" in plan and "confidence_assessor" not in plan and "Stale" not in plan

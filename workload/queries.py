@@ -499,7 +499,7 @@ def stage_steps(spark, sf_dir):
     """Every step of every note: what was concluded from each stage's answer."""
     source = notes(spark, sf_dir)
     stages = tuple(s.stage for s in STAGES)
-    df = attach_responses(note_ids(spark, sf_dir), stage_responses(source), stages)
+    df = attach_responses(note_ids(spark, sf_dir), stage_responses(source, stages), stages)
     stepped = add_steps(df, {s: response_column(s) for s in stages}, EXTRACTOR)
     steps = stepped.select("note_id", F.explode(F.array(*[f"step_{s}" for s in stages])).alias("s"))
     return steps.select(
@@ -548,7 +548,7 @@ def outputs_merge(spark, sf_dir):
     """Extractor and validator outputs merged, as key and value rows."""
     source = notes(spark, sf_dir)
     stages = (EXTRACTOR, VALIDATOR)
-    df = attach_responses(note_ids(spark, sf_dir), stage_responses(source), stages)
+    df = attach_responses(note_ids(spark, sf_dir), stage_responses(source, stages), stages)
     stepped = add_steps(df, {s: response_column(s) for s in stages}, EXTRACTOR)
     merged = merge_outputs(F.col(f"out_{EXTRACTOR}"), F.col(f"out_{VALIDATOR}"))
     rows = stepped.select("note_id", F.explode(merged).alias("key", "value"))
@@ -773,7 +773,7 @@ def quality_fill(spark, sf_dir):
 def compare_paths(spark, sf_dir):
     """Rule order against model order per note, the model answers coming from the log."""
     source = notes(spark, sf_dir)
-    df = attach_responses(source, stage_responses(source), (SINGLE_PASS,))
+    df = attach_responses(source, stage_responses(source, (SINGLE_PASS,)), (SINGLE_PASS,))
     both = parse_response(with_rule_order(df), response_column(SINGLE_PASS))
     return both.select(
         "note_id",

@@ -288,22 +288,24 @@ def correction_responses(order: str = "expected", kind: Column | None = None, te
     )
 
 
-def stage_responses(notes: DataFrame) -> DataFrame:
+def stage_responses(notes: DataFrame, stages: tuple[str, ...] | None = None) -> DataFrame:
     """``(note_id, stage, attempt, response)``: a log of answers, with stale first attempts
-    at the extractor stage. Attempts at a correction are on record without an answer as well."""
+    at the extractor stage. Attempts at a correction are on record without an answer as well.
+    With ``stages`` only their rows, all of them: a filter is not pushed below the rows being made."""
     stale = '{"device_order":{"device":"Stale"}}'
-    # drawn once a note, as an answer is chosen by comparing its kind again and again
-    counts = {
-        "analyzer": FOUR_KINDS, "extractor": EXTRACTOR_KINDS, "validator": FOUR_KINDS, "assessor": SIX_KINDS,
-        "single": SINGLE_KINDS, "validation": SIX_KINDS, "correction": FOUR_KINDS,
+    salts = {
+        "document_analyzer": ("analyzer", FOUR_KINDS), "primary_extractor": ("extractor", EXTRACTOR_KINDS),
+        "medical_validator": ("validator", FOUR_KINDS), "confidence_assessor": ("assessor", SIX_KINDS),
+        SINGLE_PASS: ("single", SINGLE_KINDS), VALIDATION: ("validation", SIX_KINDS), CORRECTION: ("correction", FOUR_KINDS),
     }
-    kinds = [pick(F.col("note_id"), salt, n).alias(f"_{salt}") for salt, n in counts.items()]
+    wanted = [s for s in salts if stages is None or s in stages]
+    # drawn once a note, as an answer is chosen by comparing its kind again and again
+    kinds = [pick(F.col("note_id"), *salts[s]).alias(f"_{salts[s][0]}") for s in wanted]
     notes = notes.select("note_id", "expected", order_text().alias("_json"), *kinds)
-    json, kind = F.col("_json"), {salt: F.col(f"_{salt}") for salt in counts}
-    extracted = extractor_response(kind=kind["extractor"], text=json)
+    json, kind = F.col("_json"), {salt: F.col(f"_{salt}") for salt, _ in salts.values()}
     answers = {
         "document_analyzer": analyzer_response(kind["analyzer"]),
-        "primary_extractor": extracted,
+        "primary_extractor": extractor_response(kind=kind["extractor"], text=json),
         "medical_validator": validator_response(kind["validator"]),
         "confidence_assessor": assessor_response(kind["assessor"]),
         SINGLE_PASS: single_response(kind=kind["single"], text=json),
@@ -316,22 +318,27 @@ def stage_responses(notes: DataFrame) -> DataFrame:
             response.alias("response"),
         )
         for stage, response in answers.items()
+        if stage in wanted
     ]
-    rows.append(
-        F.struct(
-            F.lit("primary_extractor").alias("stage"),
-            F.lit(1).alias("attempt"),
-            # a first attempt is on record only where there is a second
-            F.when(kind["extractor"] < EXTRACTOR_KINDS - 1, F.lit(stale)).alias("response"),
+    if "primary_extractor" in wanted:
+        rows.append(
+            F.struct(
+                F.lit("primary_extractor").alias("stage"),
+                F.lit(1).alias("attempt"),
+                # a first attempt is on record only where there is a second
+                F.when(kind["extractor"] < EXTRACTOR_KINDS - 1, F.lit(stale)).alias("response"),
+            )
         )
-    )
-    fixes = F.transform(
-        correction_responses(kind=kind["correction"], text=json),
-        lambda fix: F.struct(
-            F.lit(CORRECTION).alias("stage"), fix["attempt"].alias("attempt"), fix["response"].alias("response")
-        ),
-    )
-    log = notes.select("note_id", F.inline(F.concat(F.array(*rows), fixes)))
+    made = F.array(*rows)
+    if CORRECTION in wanted:
+        fixes = F.transform(
+            correction_responses(kind=kind["correction"], text=json),
+            lambda fix: F.struct(
+                F.lit(CORRECTION).alias("stage"), fix["attempt"].alias("attempt"), fix["response"].alias("response")
+            ),
+        )
+        made = F.concat(made, fixes) if rows else fixes
+    log = notes.select("note_id", F.inline(made))
     return log.filter(F.col("response").isNotNull() | (F.col("stage") == CORRECTION))
 
 
