@@ -78,26 +78,34 @@ Note:
 Answer with the whole order as one JSON object with the same keys."""
 
 
-def request(
-    df: DataFrame, stage: str, system: str, prompt: Column, model: ModelParams
-) -> DataFrame:
-    """Add the request columns for ``stage``."""
+def request_parts(stage: str, system: str, prompt: Column, model: ModelParams) -> list[Column]:
+    """The request columns for ``stage``."""
     temperature = model.temperature
     if stage != SINGLE_PASS:
         temperature = min(temperature, STAGE_TEMPERATURE_CAP)
-    return df.select(
-        "*",
+    return [
         F.lit(stage).alias("stage"),
         F.lit(system).alias("system"),
         prompt.alias("prompt"),
         F.lit(model.model).alias("model"),
         F.lit(model.max_tokens).alias("max_tokens"),
         F.lit(temperature).alias("temperature"),
-    )
+    ]
+
+
+def all_requests(df: DataFrame, parts: list[list[Column]], keep: tuple[str, ...] = ("note_id",)) -> DataFrame:
+    """The columns ``keep`` and a row a request for every row, so that several requests about a note are
+    made from one pass over the notes."""
+    return df.select(*keep, F.inline(F.array(*[F.struct(*columns) for columns in parts])))
+
+
+def single_parts(model: ModelParams = ModelParams()) -> list[Column]:
+    return request_parts(SINGLE_PASS, SINGLE_SYSTEM, fill(SINGLE_PROMPT, F.col("text")), model)
 
 
 def single_request(notes: DataFrame, model: ModelParams = ModelParams()) -> DataFrame:
-    return request(notes, SINGLE_PASS, SINGLE_SYSTEM, fill(SINGLE_PROMPT, F.col("text")), model)
+    """Add the request columns of the single pass."""
+    return notes.select("*", *single_parts(model))
 
 
 def quoted(text: Column) -> Column:
@@ -142,6 +150,16 @@ def stage_prompt(stage: str, staged: StagedParams, previous: Column | None) -> C
     )
 
 
+def stage_parts(
+    stage: str,
+    model: ModelParams = ModelParams(),
+    staged: StagedParams = StagedParams(),
+    available: tuple[str, ...] = (),
+) -> list[Column]:
+    prompt = stage_prompt(stage, staged, previous_outputs(stage, available))
+    return request_parts(stage, STAGE_SYSTEM % stage, prompt, model)
+
+
 def stage_request(
     df: DataFrame,
     stage: str,
@@ -149,18 +167,25 @@ def stage_request(
     staged: StagedParams = StagedParams(),
     available: tuple[str, ...] = (),
 ) -> DataFrame:
-    prompt = stage_prompt(stage, staged, previous_outputs(stage, available))
-    return request(df, stage, STAGE_SYSTEM % stage, prompt, model)
+    return df.select("*", *stage_parts(stage, model, staged, available))
 
 
-def validation_request(df: DataFrame, order: str, model: ModelParams = ModelParams()) -> DataFrame:
+def validation_parts(order: str, model: ModelParams = ModelParams()) -> list[Column]:
     prompt = fill(VALIDATION_PROMPT, F.to_json(order), F.col("text"))
-    return request(df, VALIDATION, STAGE_SYSTEM % VALIDATION, prompt, model)
+    return request_parts(VALIDATION, STAGE_SYSTEM % VALIDATION, prompt, model)
+
+
+def validation_request(df: DataFrame, order: str, model: ModelParams = ModelParams()) -> DataFrame:
+    return df.select("*", *validation_parts(order, model))
+
+
+def correction_parts(order: str, validation: str, model: ModelParams = ModelParams()) -> list[Column]:
+    issues = F.to_json(F.col(validation)["issues"])
+    prompt = fill(CORRECTION_PROMPT, F.to_json(order), issues, F.col("text"))
+    return request_parts(CORRECTION, STAGE_SYSTEM % CORRECTION, prompt, model)
 
 
 def correction_request(
     df: DataFrame, order: str, validation: str, model: ModelParams = ModelParams()
 ) -> DataFrame:
-    issues = F.to_json(F.col(validation)["issues"])
-    prompt = fill(CORRECTION_PROMPT, F.to_json(order), issues, F.col("text"))
-    return request(df, CORRECTION, STAGE_SYSTEM % CORRECTION, prompt, model)
+    return df.select("*", *correction_parts(order, validation, model))

@@ -130,3 +130,11 @@ def test_log_of_some_stages(spark, small_tables):
     for name in ("compare_paths", "compare_summary"):  # no row is made for a stage that is not read
         plan = QUERIES[name](spark, small_tables)._jdf.queryExecution().optimizedPlan().toString()
         assert "single_pass" in plan and "confidence_assessor" not in plan and "Stale" not in plan
+
+
+def test_prompts_are_made_in_one_pass(spark, small_tables):
+    frame = QUERIES["stage_prompts"](spark, small_tables)
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 4  # orders and customers, once for the notes and once for the log
+    counts = {r["note_id"]: r["count"] for r in frame.groupBy("note_id").count().collect()}
+    assert len(counts) == 201 and counts.pop("7") == 21 and set(counts.values()) == {7}

@@ -66,10 +66,11 @@ from notewright.plans.prompts import (
     CORRECTION,
     SINGLE_PASS,
     VALIDATION,
-    correction_request,
-    single_request,
-    stage_request,
-    validation_request,
+    all_requests,
+    correction_parts,
+    single_parts,
+    stage_parts,
+    validation_parts,
 )
 from notewright.plans.staged import replay, replay_modes, stage_table, with_rule_order, with_single_order
 from notewright.schema import ORDER_COLUMNS
@@ -561,22 +562,23 @@ def stage_prompts(spark, sf_dir):
     pass's, or the one wanted."""
     source = notes(spark, sf_dir)
     model = ModelParams(available=True, temperature=0.7)
-    told = parse_response(source.withColumn("r", single_response()), "r").withColumn(
-        "draft", F.coalesce("model_order", "expected")
-    )
-    told = add_basic_validation(told, "draft").select("note_id", "path", "text", "draft", "validation")
     stages = tuple(s.stage for s in STAGES)
-    answered = attach_responses(source.select("note_id", "path", "text"), stage_responses(source), stages[:-1])
+    log = stage_responses(source, stages[:-1])
+    answered = attach_responses(source.select("note_id", "path", "text", "expected"), log, stages[:-1])
     answered = add_steps(answered, {s: response_column(s) for s in stages[:-1]}, EXTRACTOR)
-    parts = (
-        single_request(told, model),
-        stage_request(told, ANALYZER, model),
-        *[stage_request(answered, stage, model, available=stages[:i]) for i, stage in enumerate(stages) if i],
-        validation_request(told, "draft", model),
-        correction_request(told, "draft", "validation", model),
+    told = parse_response(answered.withColumn("r", single_response()), "r").withColumn(
+        "draft", F.coalesce("model_order", "expected")
     )
+    told = add_basic_validation(told, "draft")
+    parts = [
+        single_parts(model),
+        stage_parts(ANALYZER, model),
+        *[stage_parts(stage, model, available=stages[:i]) for i, stage in enumerate(stages) if i],
+        validation_parts("draft", model),
+        correction_parts("draft", "validation", model),
+    ]
     shown = ("note_id", "stage", "model", "max_tokens", "temperature", F.md5("prompt").alias("prompt_md5"))
-    return reduce(DataFrame.unionByName, [part.select(*shown) for part in parts])
+    return all_requests(told, parts).select(*shown)
 
 
 def stage_lookup(spark, sf_dir):
