@@ -2,7 +2,8 @@
 
 Each task posts its rows and writes their report to a file of its own in a staging folder.
 Only when all tasks are done does the driver move the files of the tasks that counted into
-the report folder; where the job fails, it deletes what they left."""
+the report folder; where the job fails, it deletes what they left. The driver alone makes the
+staging folder, so that a task that starts after the end posts nothing and leaves nothing."""
 
 from __future__ import annotations
 
@@ -22,6 +23,7 @@ from ..sources.listing import open_folder
 
 FORMAT = "orders_api"
 STAGING = "_staging"
+CLEAR_TRIES = 5
 
 
 @dataclass
@@ -40,10 +42,18 @@ class OrdersWriter(DataSourceWriter):
     def staging(self, folder: str) -> str:
         return posixpath.join(folder, STAGING, self.run)
 
+    def begin(self) -> None:
+        """Runs on the driver, before the tasks."""
+        store, folder, _ = open_folder(self.report)
+        store.create_dir(self.staging(folder), recursive=True)
+
     def write(self, iterator: Iterator) -> Posted:
         """Runs in a task. An attempt that fails leaves a file that nothing names."""
+        from pyarrow.fs import FileType
+
         store, folder, _ = open_folder(self.report)
-        store.create_dir(self.staging(folder), recursive=True)
+        if store.get_file_info(self.staging(folder)).type != FileType.Directory:
+            raise FileNotFoundError(f"{self.staging(folder)}: the run has ended")
         name, n = f"part-{uuid.uuid4().hex}.json", 0
         slim = ((row["note_id"], row["idempotency_key"], row["payload"]) for row in iterator)
         with store.open_output_stream(posixpath.join(self.staging(folder), name)) as out:
@@ -71,10 +81,17 @@ class OrdersWriter(DataSourceWriter):
         self.clear(store, folder)
 
     def clear(self, store, folder: str) -> None:
+        """Tasks may still run when a job fails; one that opens its file meanwhile keeps the folder from going."""
         from pyarrow.fs import FileType
 
-        if store.get_file_info(self.staging(folder)).type == FileType.Directory:
-            store.delete_dir(self.staging(folder))
+        for left in reversed(range(CLEAR_TRIES)):
+            if store.get_file_info(self.staging(folder)).type != FileType.Directory:
+                return
+            try:
+                store.delete_dir(self.staging(folder))
+            except OSError:
+                if not left:
+                    raise
 
 
 def orders_sink(transport: Transport, params: PostParams = PostParams(), wait: Callable | None = None, name: str = FORMAT) -> type[DataSource]:
@@ -91,7 +108,9 @@ def orders_sink(transport: Transport, params: PostParams = PostParams(), wait: C
             missing = {"note_id", "idempotency_key", "payload"} - set(schema.names)
             if missing:
                 raise ValueError(f"orders to post lack {', '.join(sorted(missing))}")
-            return OrdersWriter(self.options["report"], transport, params, wait, overwrite)
+            writer = OrdersWriter(self.options["report"], transport, params, wait, overwrite)
+            writer.begin()
+            return writer
 
     return OrdersApi
 

@@ -155,3 +155,28 @@ def test_sink_reports_on_commit_only(spark, tmp_path):
 
         spark.dataSource.register(orders_sink(accept, LIVE))
         spark.range(1).write.format("orders_api").option("report", report).mode("append").save()
+
+
+@pytest.mark.parametrize("end", ["abort", "commit"])
+def test_sink_task_after_the_end(tmp_path, end):
+    """A task that the scheduler started before the end, and that begins after it, posts nothing and leaves nothing."""
+    from pyspark.sql.types import StringType, StructType
+
+    from notewright.sinks.orders_api import orders_sink
+
+    asked = []
+
+    def accept(payload, key, attempt):
+        asked.append(key)
+        return 200
+
+    order = {"note_id": "a", "idempotency_key": "k", "payload": "{}"}
+    schema = StructType()
+    for name in order:
+        schema.add(name, StringType())
+    writer = orders_sink(accept, LIVE)({"report": str(tmp_path / "report")}).writer(schema, False)
+    getattr(writer, end)([])
+    with pytest.raises(FileNotFoundError):
+        writer.write(iter([order]))
+    assert not asked and not [p for p in tmp_path.rglob("*") if p.is_file()]
+    assert not any((tmp_path / "report" / "_staging").iterdir())
