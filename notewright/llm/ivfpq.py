@@ -1,10 +1,10 @@
 """Embedding near-dedup by product quantisation, and op9_embedding_dedup.
 
 A bounded sample gives coarse centroids and codebooks of residual subspaces. Every vector
-is a member of its nearest inverted list and a query to several; distances come from table
-look-ups of the codes, and pairs near the threshold are measured again on the whole
-vectors. A task has one block of a list and one block of its queries. It writes a number
-of links and a local root for each vector, never pairs."""
+is a member of its nearest inverted list and a query to several; distances are to what the
+codes stand for, by one matrix product a block, and pairs near the threshold are measured again
+on the whole vectors. A task has one block of a list and one block of its queries. It writes a
+number of links and a local root for each vector, never pairs."""
 
 from __future__ import annotations
 
@@ -13,11 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notewright.llm.chosen_path import roots_of, whole_groups
+from notewright.llm.chosen_path import bounds, roots_of, whole_groups
 from notewright.llm.common import bounded_sample, table
 from notewright.llm.components import components
 from notewright.session import materialize
@@ -29,8 +29,9 @@ MARGIN = 1e-4  # by which estimates may differ between ways of adding them up
 @dataclass(frozen=True)
 class PqParams:
     """``sample_rows`` bounds the vectors that the index is fitted on; ``probes`` lists are
-    searched for each vector; look-up distances may err by ``slack`` before a pair is
-    passed over; ``block`` rows a side are compared by one task."""
+    searched for each vector; distances to codes may err by ``slack`` before a pair is
+    passed over; ``block`` rows a side are compared by one task, four times as many of a side with more
+    than four blocks, as each block of a side is sent to every block of the other."""
 
     cosine: float = 0.9
     lists: int = 64
@@ -85,24 +86,23 @@ class Index:
         far = (self.coarse**2).sum(1) / 2 - vectors @ self.coarse.T
         return np.argsort(far, 1, kind="stable")[:, :n]
 
-    def estimates(self, queries: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
-        """Cosines of queries with the members of a list, from tables of the codes."""
-        parts = np.split(queries, len(self.books), axis=1)
-        out = np.repeat(queries @ self.coarse[which][:, None], len(codes), 1)
-        for part, book, code in zip(parts, self.books, codes.T, strict=True):
-            out += (part @ book.T)[:, code]
-        return out
-
-
     def decoded(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """The vectors that codes stand for, row by row."""
         parts = [book[code] for book, code in zip(self.books, codes.T, strict=True)]
         return self.coarse[lists] + np.concatenate(parts, 1)
 
 
+def fixed(column: pa.Array, kind: type, width: int) -> np.ndarray:
+    """Binary values of one length, as rows of ``width`` numbers."""
+    column = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).cast(pa.large_binary())
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(kind).reshape(-1, width)
+
+
 def unit(column: pa.Array, dims: int, padded: int) -> np.ndarray:
     """Rows of float64 bytes as unit vectors of float32."""
-    raw = np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dims)
+    raw = fixed(column, np.float64, dims)
     scaled = raw / np.abs(raw).max(1, keepdims=True)
     return np.pad(scaled / np.linalg.norm(scaled, axis=1, keepdims=True), ((0, 0), (0, padded - dims))).astype(np.float32)
 
@@ -134,6 +134,12 @@ def distinct_vectors(vectors: DataFrame, vec_id: str, column: str) -> tuple[Data
     return packed.select("vec_id", "key"), one
 
 
+def blocks(n: Column, block: int) -> Column:
+    """Into how many blocks a side of ``n`` rows is dealt. Every block of a side is sent to every block
+    of the other, so a long side has wider ones."""
+    return F.ceil(n / F.when(n > 4 * block, 4 * block).otherwise(block)).cast("int")
+
+
 def link_counts(one: DataFrame, dims: int, params: PqParams) -> DataFrame:
     """(key, links, root), several rows a key, for distinct vectors of one length."""
     spark = one.sparkSession
@@ -162,8 +168,8 @@ def link_counts(one: DataFrame, dims: int, params: PqParams) -> DataFrame:
     # one row a list at most
     sizes = F.broadcast(
         rows.groupBy("list").agg(
-            F.ceil(F.count_if(~F.col("query")) / params.block).cast("int").alias("mine"),
-            F.ceil(F.count_if(F.col("query")) / params.block).cast("int").alias("asked"),
+            blocks(F.count_if(~F.col("query")), params.block).alias("mine"),
+            blocks(F.count_if(F.col("query")), params.block).alias("asked"),
         )
     )
     spread = rows.join(sizes, "list").filter("mine > 0 and asked > 0")
@@ -179,29 +185,32 @@ def link_counts(one: DataFrame, dims: int, params: PqParams) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, least = shared.value, params.cosine - params.slack
         for part in whole_groups(batches, 0, 1024):
-            groups = part.column(0).to_numpy()
-            edges = np.concatenate([[0], np.flatnonzero(groups[1:] != groups[:-1]) + 1, [len(groups)]])
+            edges = bounds(part.column(0).to_numpy())
             asks = part.column(1).to_numpy()
             which = part.column(2).to_numpy()
-            keys = part.column(3).to_pylist()
+            keys = fixed(part.column(3), np.uint64, 2).byteswap()
+            order = np.lexsort((keys[:, 1], keys[:, 0]))
+            # numbers in the order of the keys, one for equal keys
+            number = np.empty(len(keys), np.int64)
+            number[order] = np.cumsum(np.concatenate([[False], (keys[order[1:]] != keys[order[:-1]]).any(1)]))
             copies = part.column(4).to_numpy()
-            packed = part.column(5).combine_chunks()
-            points = unit(packed, dims, padded)
-            raw = np.frombuffer(b"".join(packed.to_pylist()), np.float64).reshape(-1, dims)
+            points = unit(part.column(5), dims, padded)
+            raw = fixed(part.column(5), np.float64, dims)
             raw = raw / np.abs(raw).max(1, keepdims=True)
             norms = np.sqrt((raw * raw).sum(1))
-            codes = np.frombuffer(b"".join(part.column(6).to_pylist()), np.uint8).reshape(len(groups), -1)
-            lists = part.column(7).to_pylist()
-            out: tuple[list, list, list] = ([], [], [])
+            codes = fixed(part.column(6), np.uint8, params.subspaces)
+            lists = part.column(7).combine_chunks().flatten().to_numpy().reshape(len(asks), -1)
+            out: list[tuple] = []
             for start, end in zip(edges[:-1], edges[1:], strict=True):
                 cut = start + int((~asks[start:end]).sum())
                 if cut in (start, end):
                     continue
                 here = int(which[start])
+                stand = index.decoded(np.full(cut - start, here), codes[start:cut]).astype(np.float32).T
                 left, right = [], []
                 for q in range(cut, end, 256):
-                    guess = index.estimates(points[q : min(q + 256, end)], here, codes[start:cut])
-                    i, j = np.nonzero(guess >= least - MARGIN)
+                    guess = points[q : min(q + 256, end)] @ stand
+                    i, j = np.divmod(np.flatnonzero(guess >= least - MARGIN), cut - start)
                     i, j = i + q, j + start
                     for some in np.array_split(np.arange(len(i)), max(1, len(i) // 20_000)):
                         a, b = i[some], j[some]
@@ -210,30 +219,25 @@ def link_counts(one: DataFrame, dims: int, params: PqParams) -> DataFrame:
                         if not len(a):
                             continue
                         # as each side of the pair would estimate the other, the same in any task
-                        homes = np.array([lists[x][0] for x in a.tolist()])
+                        homes = lists[a, 0]
                         there = (points[a] * index.decoded(np.full(len(b), here), codes[b])).sum(1) >= least
                         back = (points[b] * index.decoded(homes, codes[a])).sum(1) >= least
-                        for x, y, home, seen, other in zip(a.tolist(), b.tolist(), homes.tolist(), there.tolist(), back.tolist(), strict=True):
-                            if keys[x] == keys[y] or not seen:
-                                continue
-                            # a pair that is found in two ways is counted in one of them
-                            first = keys[x] < keys[y] if home == here else here < home
-                            if first or not other or home not in lists[y]:
-                                left.append(x)
-                                right.append(y)
-                if left:
+                        # a pair that is found in two ways is counted in one of them
+                        first = np.where(homes == here, number[a] < number[b], here < homes)
+                        mutual = back & (lists[b] == homes[:, None]).any(1)
+                        taken = there & (number[a] != number[b]) & (first | ~mutual)
+                        left.append(a[taken] - start)
+                        right.append(b[taken] - start)
+                a, b = (np.concatenate([np.zeros(0, np.int64), *side]) for side in (left, right))
+                if len(a):
                     links = np.zeros(end - start, np.int64)
-                    a, b = np.array(left) - start, np.array(right) - start
-                    np.add.at(links, a, copies[right])
-                    np.add.at(links, b, copies[left])
-                    root = roots_of(end - start, a, b)
-                    for x in np.flatnonzero(links).tolist():
-                        out[0].append(keys[start + x])
-                        out[1].append(int(links[x]))
-                        out[2].append(keys[start + root[x]])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["key", "links", "root"]
-            )
+                    np.add.at(links, a, copies[start:end][b])
+                    np.add.at(links, b, copies[start:end][a])
+                    linked = np.flatnonzero(links)
+                    out.append((start + linked, links[linked], start + roots_of(end - start, a, b)[linked]))
+            at, links, root = (np.concatenate([np.zeros(0, np.int64), *of]) for of in (zip(*out, strict=True) if out else ((), (), ())))
+            named = part.column(3).combine_chunks().cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([named.take(pa.array(at)), pa.array(links), named.take(pa.array(root))], names=["key", "links", "root"])
 
     return ordered.mapInArrow(compare, "key binary, links long, root binary")
 

@@ -541,6 +541,29 @@ def test_near_vectors(spark):
     assert ivfpq.near_vectors(df.limit(0)).count() == 0
 
 
+def test_near_vectors_of_long_lists(spark):
+    """Wide blocks of long lists, small ones, and a single one find the same links."""
+    from pyspark.sql import functions as F
+
+    n = spark.createDataFrame([(0,), (1,), (10,), (40,), (41,), (400,)], "n long")
+    assert [r[0] for r in n.select(ivfpq.blocks(F.col("n"), 10)).collect()] == [0, 1, 1, 4, 2, 10]
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(60, 20))
+    rows = [(i, (centres[i % 60] + rng.normal(scale=0.2, size=20)).tolist()) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    unit = np.array([v for _, v in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    true = (unit @ unit.T >= 0.9).sum(1) - 1
+    # few lists, so that each has more rows than four small blocks
+    got = [
+        sorted(map(tuple, ivfpq.near_vectors(df, params=ivfpq.PqParams(lists=2, probes=2, block=block)).collect()))
+        for block in (20, 600)
+    ]
+    assert got[0] == got[1]
+    found = np.array([r[1] for r in got[0]])
+    assert (found <= true).all() and found.sum() >= 0.95 * true.sum() > 0
+
+
 # --- pipeline --------------------------------------------------------------------------
 
 
