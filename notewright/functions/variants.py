@@ -13,7 +13,9 @@ from .text import trim_all
 
 END = "_notewright_end_of_text"
 # Fixed value: the characters that a JSON value, or what some parsers take for a number, begins with.
-FIRST = '{["-+.0123456789tfnNI'
+FIRST = '{["-+.0123456789'
+# Fixed value: how its words begin: true, false, null, and NaN, INF and Infinity for a number.
+WORDS = ("tr", "fa", "nu", "Na", "IN", "In")
 
 
 def bracketed(text: Column) -> Column:
@@ -23,9 +25,9 @@ def bracketed(text: Column) -> Column:
     return F.concat(F.lit("["), text, F.lit(',{"' + END + '":1}]'))
 
 
-def begins(text: Column, first: str) -> Column:
-    """True if the first character that JSON does not pass over is one of ``first``."""
-    return F.substring(F.ltrim(text, F.lit(" \t\r\n")), 1, 1).isin(*first)
+def begins(text: Column, *first: str) -> Column:
+    """True if the text begins with one of ``first``, of one length, after what JSON passes over."""
+    return F.substring(F.ltrim(text, F.lit(" \t\r\n")), 1, len(first[0])).isin(*first)
 
 
 def with_objects(df: DataFrame, texts: dict[str, tuple[Column, Sequence[str]]]) -> DataFrame:
@@ -54,7 +56,7 @@ def with_objects(df: DataFrame, texts: dict[str, tuple[Column, Sequence[str]]])
 
 def is_json(text: Column) -> Column:
     """True if ``text`` is exactly one JSON value of any kind."""
-    array = F.try_parse_json(F.when(begins(text, FIRST), bracketed(text)))
+    array = F.try_parse_json(F.when(begins(text, *FIRST) | begins(text, *WORDS), bracketed(text)))
     return at(array, f"$[1].{END}").isNotNull() & at(array, "$[2]").isNull()
 
 
